@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import neardup, quality
+from gridloom.llm import bpe, neardup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash": neardup.op5, "op10_quality": quality.op10}
+    return {"op5_minhash": neardup.op5, "op7_bpe": bpe.op7, "op10_quality": quality.op10}
 
 
 def oracle_sql() -> dict[str, str]:
