@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, neardup, quality
+from gridloom.llm import ann, bpe, chat, neardup, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash": neardup.op5, "op7_bpe": bpe.op7, "op10_quality": quality.op10}
+    return {
+        "op3_chat": chat.op3,
+        "op4_sharding": sharding.op4,
+        "op5_minhash": neardup.op5,
+        "op7_bpe": bpe.op7,
+        "op8_ann": ann.op8,
+        "op10_quality": quality.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
