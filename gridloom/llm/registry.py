@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, chat, neardup, quality, sharding
+from gridloom.llm import ann, bpe, chat, html_text, neardup, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash": neardup.op5,
         "op7_bpe": bpe.op7,
         "op8_ann": ann.op8,
+        "op9_html": html_text.op9,
         "op10_quality": quality.op10,
     }
 
