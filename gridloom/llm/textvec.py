@@ -77,6 +77,11 @@ def slices(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+#: ASCII punctuation separates words too
+LOOSE = _SPACE.copy()
+LOOSE[:48] = LOOSE[58:65] = LOOSE[91:97] = LOOSE[123:128] = True
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some rows, A-Z lower-cased.
 
@@ -84,12 +89,13 @@ class Words:
     start, end: byte positions in ``low``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):
+        """space: for each byte value whether it separates words."""
         base = int(offsets[0])
         self.low = _LOWER[data[base : int(offsets[-1])]]
         self.raw = data[base : int(offsets[-1])]
         self.off = offsets - base
-        word = ~_SPACE[self.low]
+        word = ~space[self.low]
         n = len(word)
         first = np.zeros(n + 1, bool)
         first[1:n] = word[1:] & ~word[:-1]
