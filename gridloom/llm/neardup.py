@@ -9,7 +9,10 @@ signatures, pairs at or above ``MATCHES`` are confirmed on the full sets, and co
 
 Lists are never expanded into all pairs. First every member is paired with its list's smallest
 member; members that a confirmed link puts in one component need no further pair, so only
-members of different components of one list are paired in a second round.
+members of different components of one list are compared in a second round. That round works in
+blocks of a list inside a task and gives out only pairs that may still be links: agreeing
+coordinates, sizes, and an upper bound of the overlap from bitmaps of the sets (a bit that one
+set has and the other has not is an element that they don't share, so no link is lost).
 
 With similarity s the number of agreeing coordinates is binomial(M, s): at s = 0.8 and 36 of 64 a
 link between two sets goes unseen with a chance of about 4e-6, at 0.9 below 1e-13.
@@ -33,6 +36,7 @@ from gridloom.llm.common import doc_texts, materialize
 from gridloom.llm.graph import components
 
 M, MATCHES = 64, 36
+BITS, BLOCK = 4096, 1024  # of a set's bitmap; members of a block of a list
 SALTS = 16
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(0, 1 << 63, M, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,13 +109,70 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 yield batch.select(["a", "b"]).slice(i, j - i).filter(pa.array(ok))
 
     a, b = texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), texts.withColumnsRenamed({"doc_id": "b", "text": "tb"})
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The text of each representative that a pair names, once."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+def _bitmaps(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, bits): each set's bitmap of BITS bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = tv.buffers(batch.column("text"))
+            for i, j in tv.slices(off, 1 << 18):
+                u, ptr = tv.row_sets(*tv.Words(data, off[i : j + 1]).shingles(words))
+                bits = np.zeros((j - i, BITS), bool)
+                bits[np.repeat(np.arange(j - i), np.diff(ptr)), (u >> np.uint64(20)) % np.uint64(BITS)] = True
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), tv.blobs(np.packbits(bits, axis=1).reshape(-1), np.arange(j - i + 1) * (BITS // 8))], ["rep", "bits"])
+
+    return texts.mapInArrow(run, "rep long, bits binary")
+
+
+def _compare(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one block pair of a list, of different components, that may be links. Rows come sorted by (key, i, j)."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch | None:
+        if t.num_rows < 2:
+            return None
+        rep, n, part, blk = (t.column(c).to_numpy() for c in ("rep", "n", "part", "blk"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, M)
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        same_block = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        a, b = [], []
+        for r in range(t.num_rows - 1):
+            x = r + 1 + np.flatnonzero((part[r + 1 :] != part[r]) & (100 * np.minimum(n[r + 1 :], n[r]) >= percent * np.maximum(n[r + 1 :], n[r])))
+            if not same_block:
+                x = x[blk[x] != blk[r]]
+            x = x[(sig[x] == sig[r]).sum(1) >= MATCHES]
+            if len(x):
+                mine = n[r] - np.bitwise_count(bits[r] & ~bits[x]).sum(1, dtype=np.int64)
+                both = np.minimum(mine, n[x] - np.bitwise_count(bits[x] & ~bits[r]).sum(1, dtype=np.int64))
+                x = x[100 * both >= percent * (n[r] + n[x] - both)]
+                a.append(np.minimum(rep[r], rep[x]))
+                b.append(np.maximum(rep[r], rep[x]))
+        if not a:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in ("key", "i", "j")):
+                cut = np.concatenate([[0], cut])
+            at = 0
+            for c in cut.tolist():
+                held.append(batch.slice(at, c - at))
+                if out := pairs(pa.Table.from_batches(held)):
+                    yield out
+                held, at = [], c
+            held.append(batch.slice(at))
+        if held and (out := pairs(pa.Table.from_batches(held))):
+            yield out
+
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -125,7 +186,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     shared = posted.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
     # pairs that a set alone has are its rarest; of the others it posts what its prefix still holds
     prefix = materialize(
-        posted.join(shared, "key")
+        posted.join(shared.hint("merge"), "key")
         .groupBy("rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("freq", "key"))).alias("k"))
         .filter(F.size("k") >= MATCHES)
@@ -133,21 +194,23 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         .select("rep", "n", "k.key"),
         "prefix",
     )
-    near = "5 * a_n >= 4 * b_n AND 5 * b_n >= 4 * a_n" if percent == 80 else f"100 * a_n >= {percent} * b_n AND 100 * b_n >= {percent} * a_n"
+    wanted = prefix.select(F.col("rep").alias("doc_id")).distinct()
+    texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     centre = prefix.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    star = prefix.join(centre, "key").filter("rep > c.rep").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.n").alias("a_n"), F.col("n").alias("b_n"))
-    first = materialize(_collide(star.filter(near).select("a", "b").distinct(), classes), "pairs")
-    links = materialize(_confirm(first, _texts_of(first, docs), words, percent), "links")
+    star = prefix.join(centre.hint("merge"), "key").filter(f"rep > c.rep AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
+    first = materialize(_collide(star.distinct(), classes), "pairs")
+    links = materialize(_confirm(first, texts, words, percent), "links")
     label = materialize(components(links), "labels")
 
     member = materialize(prefix.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("rep", "n", "key", F.coalesce("label", "rep").alias("part")), "members")
-    split = member.groupBy("key").agg((F.min("part") < F.max("part")).alias("split")).filter("split").select("key")
-    left = member.join(split, "key")
-    x, y = (left.select("key", *(F.col(c).alias(f"{s}{c2}") for c, c2 in (("rep", ""), ("n", "_n"), ("part", "_part")))) for s in "ab")
-    cross = x.join(y, "key").filter(f"a < b AND a_part <> b_part AND {near}").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(_collide(cross, classes), "pairs")
+    split = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("nb"))
+    left = member.join(split, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), "nb"))
+    ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))
+    bits = _bitmaps(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    full = left.join(classes.select("rep", "sig"), "rep").join(bits, "rep").withColumn("e", F.explode(ends)).select("key", "e.i", "e.j", "blk", "rep", "n", "part", "sig", "bits")
+    second = materialize(_compare(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), percent).distinct(), "pairs")
     if second.take(1):
-        more = materialize(_confirm(second, _texts_of(second, docs), words, percent), "links")
+        more = materialize(_confirm(second, texts, words, percent), "links")
         label = materialize(components(links.union(more)), "labels")
 
     rep = classes.filter("copies > 1").select("d1", "d2", F.col("n").alias("n_shingles"), "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
