@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, chat, decontaminate, html_text, neardup, quality, sharding
+from gridloom.llm import ann, bpe, chat, decontaminate, html_text, neardup, quality, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1,
+        "op2_suffix_dedup": substring_dedup.op2,
         "op3_chat": chat.op3,
         "op4_sharding": sharding.op4,
         "op5_minhash": neardup.op5,
