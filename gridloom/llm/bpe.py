@@ -88,15 +88,22 @@ class _Memo(dict):
 
     def __init__(self, codec: "Codec"):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, unit: str) -> tuple[bytes, bytes]:
-        ids = self.codec.ids(unit)
-        entry = " ".join(map(str, ids)).encode(), self.codec.decode(ids)
+        entry = self.old.get(unit)
+        if entry is None:
+            ids = self.codec.ids(unit)
+            entry = repr(ids)[1:-1].replace(",", "").encode(), self.codec.decode(ids)
         if len(unit) <= 64:
             self[unit] = entry
         return entry
 
+    def age(self) -> None:
+        """Full: what is in use moves on from the old generation on its next use, the rest goes."""
+        self.old = dict(self)
+        self.clear()
+
 
 class Codec:
     """Encoder and decoder of one vocabulary."""
@@ -171,10 +178,13 @@ class Codec:
         """(ids as decimal strings joined by spaces, the bytes that the ids decode to)."""
         memo = self._memo
         if len(memo) > MEMO:
-            memo.clear()
+            memo.age()
             self._pieces.clear()
-        found = [memo[u] for u in self._units.findall(text)]
-        return b" ".join([x for x, _ in found]), b"".join([y for _, y in found])
+        found = list(map(memo.__getitem__, self._units.findall(text)))
+        if not found:
+            return b"", b""
+        ids, decoded = zip(*found, strict=True)
+        return b" ".join(ids), b"".join(decoded)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
