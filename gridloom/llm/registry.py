@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, chat, decontaminate, html_text, neardup, quality, sharding, substring_dedup
+from gridloom.llm import ann, bpe, chat, decontaminate, html_text, language_model, neardup, quality, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": chat.op3,
         "op4_sharding": sharding.op4,
         "op5_minhash": neardup.op5,
+        "op6_suffix_tree": language_model.op6,
         "op7_bpe": bpe.op7,
         "op8_ann": ann.op8,
         "op9_html": html_text.op9,
