@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as tv
-from gridloom.llm.common import doc_texts
+from gridloom.llm.common import doc_texts, fresh
 
 PASSAGE, BLOCK, RANK, OVERSAMPLE = 48, 16, 112, 16
 COSINE, LCS, ANSWER = 0.33, 0.7, 0.5
@@ -225,64 +225,77 @@ def _search(w: tv.Words, index: Index) -> Iterator[tuple[int, int, float, float,
                 yield r, int(q), float(cos[p, q]), share, float(here)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, similarity, lcs_share, answer_share) for each document and item it holds."""
-    spark = docs.sparkSession
-    docs = doc_texts(docs, id_col, text_col)
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
+    """An index for each bounded block of items, read a partition at a time."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), answer.alias("answer"))
-    schema = "doc_id long, item_id long, similarity double, lcs_share double, answer_share double"
-    found: DataFrame | None = None
     block: list[tuple[int, str, str | None]] = []
     size = 0
+    for row in _closed(items.toLocalIterator()):
+        words = len(row["text"].split()) + 1 if row is not None else 0
+        if block and (row is None or size + words > ITEM_WORDS):
+            index = build_index(docs.sparkSession, block, docs)
+            if index is not None:
+                yield index
+            block, size = [], 0
+        if row is not None:
+            block.append((row["item_id"], row["text"], row["answer"]))
+            size += words
+
+
+def _closed(rows: Iterator) -> Iterator:
+    yield from rows
+    yield None
+
+
+def _found(data: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int, int, list[float]]]:
+    """(row, item, mean figures) of the items that the rows of a batch hold."""
+    passages = np.unique(index.item, return_counts=True)
+    of = dict(zip(passages[0].tolist(), passages[1].tolist(), strict=True))
+    for i, j in tv.slices(off, 1 << 19):
+        best: dict[tuple[int, int], dict[int, tuple]] = {}
+        for r, q, *figures in _search(tv.Words(data, off[i : j + 1], tv.LOOSE), index):
+            seen = best.setdefault((i + r, int(index.item[q])), {})
+            seen[q] = max(seen.get(q, ()), tuple(figures))
+        for (r, item), seen in best.items():
+            if 2 * len(seen) >= of[item]:
+                yield r, item, np.mean(list(seen.values()), axis=0).tolist()
 
-    def flush() -> None:
-        nonlocal found, size
-        index = build_index(spark, block, docs) if block else None
-        if index is not None:
-            part = _leaks_of(docs, index, schema)
-            found = part if found is None else found.union(part)
-        block.clear()
-        size = 0
-
-    for row in items.toLocalIterator():  # a partition at a time; only the current block is held
-        words = len(row["text"].split()) + 1
-        if block and size + words > ITEM_WORDS:
-            flush()
-        block.append((row["item_id"], row["text"], row["answer"]))
-        size += words
-    flush()
-    return found if found is not None else spark.createDataFrame([], schema)
 
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, similarity, lcs_share, answer_share) for each document and item it holds."""
+    docs = doc_texts(docs, id_col, text_col)
+    schema = "doc_id long, item_id long, similarity double, lcs_share double, answer_share double"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for index in _indexes(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-def _leaks_of(docs: DataFrame, index: Index, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(batch.column("doc_id")[r].as_py(), item, *figures) for r, item, figures in _found(*tv.buffers(batch.column("text")), shared.value)]
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "similarity", "lcs_share", "answer_share"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        passages = {i: int((index.item == i).sum()) for i in np.unique(index.item).tolist()}
-        for batch in batches:
-            data, off = tv.buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for i, j in tv.slices(off, 1 << 19):
-                best: dict[tuple[int, int], dict[int, tuple]] = {}
-                for r, q, *figures in _search(tv.Words(data, off[i : j + 1], tv.LOOSE), index):
-                    seen = best.setdefault((i + r, int(index.item[q])), {})
-                    seen[q] = max(seen.get(q, ()), tuple(figures))
-                for (r, item), seen in best.items():
-                    if 2 * len(seen) >= passages[item]:
-                        out.append((ids[r], item, *map(float, np.mean(list(seen.values()), axis=0))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "item_id", "similarity", "lcs_share", "answer_share"])
-
-    return docs.mapInArrow(run, schema)
+        found = found.union(docs.mapInArrow(run, schema))
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; all columns kept."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["leaking_id"], "left_anti")
+    """The rows of ``docs`` that hold no benchmark item; all columns kept. Each block of items filters where the text stands, without a join."""
+    text = fresh(docs, "text_to_search")
+    left = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    for index in _indexes(left.select(F.col(text).alias("text")), benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r for r, _, _ in _found(*tv.buffers(batch.column(text)), shared.value)]] = False
+                yield batch.filter(pa.array(keep))
+
+        left = left.mapInArrow(run, left.schema)
+    return left.drop(text)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,9 +181,9 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return doc_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
 
-def select(docs: DataFrame, labels: DataFrame, min_tail: float = 0.6) -> DataFrame:
-    """The rows of ``docs`` that the fitted classifier selects, all columns kept; text is scored where it stands, without a join."""
-    model = fit(docs, labels)
+def select(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None, min_tail: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` that the classifier selects, all columns kept; text is scored where it stands, without a join. It is fitted on the labelled rows of ``fit_on``, or else of ``docs``."""
+    model = fit(docs if fit_on is None else fit_on, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = fresh(docs, "text_to_score")
 

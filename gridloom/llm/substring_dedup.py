@@ -189,10 +189,10 @@ def op2(spark: SparkSession, sf_dir: str, length: int = LENGTH) -> DataFrame:
     return docs.join(spans(docs, length).hint("merge"), "doc_id", "left").select("doc_id", "text", "cover").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated strings cut out of the text; all columns and rows kept, a null text stays null."""
     key, cover = fresh(docs, "span_id"), fresh(docs, "span_cover")
-    found = spans(docs, length).withColumnsRenamed({"doc_id": key, "cover": cover})
+    found = spans(docs, length, gram).withColumnsRenamed({"doc_id": key, "cover": cover})
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
