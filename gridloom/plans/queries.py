@@ -543,7 +543,7 @@ def _updates(s: Source) -> tuple[DataFrame, DataFrame]:
     return bad, R.accepted(raw, bad)
 
 
-BADJ = "bad AS (SELECT DISTINCT job FROM u WHERE new_code = 'X99' OR job NOT IN (SELECT id FROM jobs))"
+BADJ = "bad AS (SELECT DISTINCT job FROM u WHERE new_code NOT IN (SELECT code FROM dict) OR job NOT IN (SELECT id FROM jobs))"
 
 
 @query(f"WITH {UPD}, {BADJ}, f AS (SELECT job, row, col, arg_max(coalesce(new_code, '-'), ord) AS c FROM u WHERE job NOT IN (SELECT job FROM bad) GROUP BY 1, 2, 3) SELECT cells.job, cells.row, cells.col, cells.code, CASE WHEN f.c IS NOT NULL THEN nullif(f.c, '-') ELSE corrected_code END AS corrected_code FROM cells LEFT JOIN f USING (job, row, col)")
@@ -558,7 +558,7 @@ def correction_counts(s):
     return R.counts(s("cells"), _updates(s)[1])
 
 
-@query(f"WITH {UPD} SELECT error, count(*) AS n FROM (SELECT CASE WHEN job NOT IN (SELECT id FROM jobs) THEN NULL WHEN new_code = 'X99' THEN 'INVALID_CODE' END AS error FROM u) x WHERE error IS NOT NULL GROUP BY 1")
+@query(f"WITH {UPD} SELECT error, count(*) AS n FROM (SELECT CASE WHEN job NOT IN (SELECT id FROM jobs) THEN NULL WHEN new_code NOT IN (SELECT code FROM dict) THEN 'INVALID_CODE' END AS error FROM u) x WHERE error IS NOT NULL GROUP BY 1")
 def error_contract_rows(s):
     """PRD-07, PRD-08."""
     return _updates(s)[0].groupBy("error").agg(F.count("*").alias("n"))
