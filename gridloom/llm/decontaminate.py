@@ -12,7 +12,7 @@ the answer's words must occur there. The answer is the column ``answer`` where t
 one, else the passage's quarter of words with the highest idf. A document leaks an item when one of
 the item's passages is confirmed or, for items of several passages, half of them at least.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Null or empty texts and items have no
+Words are runs of letters, digits and other non-ASCII characters, lower-cased. Null or empty texts and items have no
 words and match nothing. Repeated items and documents are reported each under its id; extra columns
 are ignored. Items go through in blocks of ITEM_WORDS words at most (or one item), so what is broadcast is
 bounded; each block is one pass over the documents.
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +69,14 @@ class Index:
         return out
 
 
+def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case, all letters."""
+    return tv.buffers(pc.utf8_lower(column))
+
+
 def _words(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return tv.Words(raw, np.array([0, len(raw)]), tv.LOOSE).h
+    data, off = _lower(pa.array([text], pa.string()))
+    return tv.Words(data, off, tv.LOOSE).h
 
 
 def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
@@ -81,7 +87,7 @@ def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray
         index = Index(shared.value, *[None] * 8)
         df, n = np.zeros(len(shared.value) + 1, np.int64), 0
         for batch in batches:
-            data, off = tv.buffers(batch.column("text"))
+            data, off = _lower(batch.column("text"))
             n += batch.num_rows
             for i, j in tv.slices(off):
                 w = tv.Words(data, off[i : j + 1], tv.LOOSE)
@@ -272,7 +278,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(batch.column("doc_id")[r].as_py(), item, *figures) for r, item, figures in _found(*tv.buffers(batch.column("text")), shared.value)]
+                out = [(batch.column("doc_id")[r].as_py(), item, *figures) for r, item, figures in _found(*_lower(batch.column("text")), shared.value)]
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "similarity", "lcs_share", "answer_share"])
@@ -291,7 +297,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r for r, _, _ in _found(*tv.buffers(batch.column(text)), shared.value)]] = False
+                keep[[r for r, _, _ in _found(*_lower(batch.column(text)), shared.value)]] = False
                 yield batch.filter(pa.array(keep))
 
         left = left.mapInArrow(run, left.schema)
