@@ -33,6 +33,7 @@ from gridloom.llm.suffix import suffixes
 
 LENGTH, GRAM = 400, 160
 SHARD_BYTES = 3 << 20
+PIECE = 1 << 23  # windows of one text that are anchored at once
 MEMORY = 1 << 23  # suffixes that the sorter of a shard holds; more go to disk
 _POS = np.uint64(28)
 
@@ -49,12 +50,21 @@ def _window_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, context hash, first window, last window) of each anchor of a slice; windows by their start in the row."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """(row, anchor hash, context hash, first window, last window) of each anchor of a slice; windows by their start in the row.
+
+    A row of more than ``piece`` windows is read piece by piece; a context then ends with its piece, its anchor still meets the others.
+    """
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     base, n = int(off[0]), int(off[-1] - off[0])
     if n < length:
         return empty
+    if len(off) == 2 and n - length + 1 > piece:
+        parts = []
+        for s in range(0, n - length + 1, piece):
+            r, h, c, a, b = anchors(data, base + np.array([s, min(n, s + piece + length - 1)]), length, gram, piece)
+            parts.append((r, h, c, a + s, b + s))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     raw = data[base : base + n]
     c = tv.prefix_hash(raw)
     at = np.arange(n - gram + 1)

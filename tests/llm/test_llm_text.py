@@ -180,3 +180,12 @@ def test_fisher_yates_is_uniform_and_repeatable():
 def test_rotation_is_orthogonal():
     q = ann.rotation(16)
     assert np.allclose(q @ q.T, np.eye(16))
+
+
+def test_anchors_in_pieces_cover_the_same_windows():
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(97, 100, 900).astype(np.uint8)
+    off = np.array([0, 900])
+    whole, cut = (sub.anchors(x, off, 40, 16, p) for p in (1 << 20, 100))
+    of = lambda t: {p: h for h, a, b in zip(t[1].tolist(), t[3].tolist(), t[4].tolist(), strict=True) for p in range(a, b + 1)}
+    assert of(whole) == of(cut) and len(of(cut)) == 861
