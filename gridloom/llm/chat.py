@@ -181,3 +181,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     return digests(format_turns(fold(as_log(turns.unionByName(extra)))))
+
+
+#: op3 in DuckDB: marks cost 13 characters a turn besides role and text, escapes one each.
+OP3_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '<|', '\<|'), '|>', '\|>') AS x, replace(replace(replace(role, '\', '\\'), '<|', '\<|'), '|>', '\|>') AS r FROM t)
+    SELECT conv_id::bigint AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+    sum(length(r) + length(x) + 13)::bigint AS formatted_chars FROM e GROUP BY 1"""

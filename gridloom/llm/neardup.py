@@ -230,3 +230,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size, component and whether it is kept; four-word shingles."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+#: op5 in DuckDB; words hold no spaces, so a joined shingle is unambiguous.
+OP5_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []::varchar[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END)) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+    r(doc_id, x) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.x)
+    SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(x) AS component_id, r.doc_id = min(x) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
