@@ -101,6 +101,7 @@ def draw(u: Column, shares: list[tuple[str, float]]) -> Column:
     return out.otherwise(shares[-1][0])
 
 
+#: Shares of the quality and of the luminance levels.
 QUALITY_LEVELS = [("clean", 0.55), ("light", 0.30), ("medium", 0.13), ("heavy", 0.02)]
 LUMINANCE_LEVELS = [("dark", 0.37), ("mid", 0.39), ("bright", 0.24)]
 

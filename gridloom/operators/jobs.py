@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.cells import page
 
+#: States of a job, and the columns a list may be sorted by.
 STATUSES = ["PENDING", "PROCESSING", "SUCCEEDED", "SUCCEEDED_WITH_WARNINGS", "FAILED"]
 SORTABLE = ["created_at", "updated_at", "status", "rows", "cols", "name"]
 

@@ -133,6 +133,7 @@ def infer(tensors: DataFrame, model: bytes, size: int = 48) -> DataFrame:
     return tensors.mapInPandas(run, "job long, row long, col long, logits array<double>")
 
 
+#: Header of a manifest.
 MANIFEST = ["编码", "文件名", "行", "列", "色相", "亮度"]
 
 
