@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that go to Python at once: texts may be long, so fewer than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; cuts the lineage for good.
 
@@ -28,6 +35,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Snappy works on the heap; zstd contexts of many small files added up outside it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -35,11 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) with null texts as empty; other columns, clashing names included, fall away."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have yet, ignoring case."""
+    """A column name that ``df`` does not have yet, ignoring case; for rows that go to Python whole."""
+    small_batches(df.sparkSession)
     taken = {c.lower() for c in df.columns}
     name, k = stem, 0
     while name.lower() in taken:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import textvec as tv
 from gridloom.llm.common import doc_texts, fresh
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 SLOT_BITS = 20
 SHAPE_SCALE = 4.0
 _SHAPE_SALT, _REPEAT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)

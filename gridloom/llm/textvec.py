@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20  # a slice of rows holds about this many bytes; one longer text makes a slice of its own
+CHUNK_BYTES = 1 << 19  # a slice of rows holds about this many bytes; one longer text makes a slice of its own
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
