@@ -186,6 +186,10 @@ class Codec:
         ids, decoded = zip(*found, strict=True)
         return b" ".join(ids), b"".join(decoded)
 
+    def forget(self) -> None:
+        """Drop the memo: workers live on after a task, and so would its memory."""
+        self._memo, self._pieces = _Memo(self), {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
@@ -218,6 +222,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str =
                 part = batch.slice(i, 500)
                 ids = [np.array(c.round_trip(t)[0].split(), dtype=np.int32) for t in _texts(part.column(text))]
                 yield part.drop_columns([text]).append_column(out, pa.array(ids, pa.list_(pa.int32())))
+        c.forget()
 
     schema = docs.withColumn(out, F.array().cast("array<int>")).schema
     return docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
