@@ -28,14 +28,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; cuts the lineage for good.
 
     Unlike a local checkpoint the rows outlive any executor, and later readers prune columns.
+    ``narrow``: rows of a few numbers, dealt to an eighth of the session's shuffle partitions so
+    that they don't end in many tiny files.
     Snappy works on the heap; zstd contexts of many small files added up outside it.
     """
     spark = df.sparkSession
     small_batches(spark)
+    if narrow:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

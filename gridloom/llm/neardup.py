@@ -198,20 +198,20 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     centre = prefix.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
     star = prefix.join(centre.hint("merge"), "key").filter(f"rep > c.rep AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
-    first = materialize(_collide(star.distinct(), classes), "pairs")
-    links = materialize(_confirm(first, texts, words, percent), "links")
-    label = materialize(components(links), "labels")
+    first = materialize(_collide(star.distinct(), classes), "pairs", narrow=True)
+    links = materialize(_confirm(first, texts, words, percent), "links", narrow=True)
+    label = materialize(components(links), "labels", narrow=True)
 
-    member = materialize(prefix.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("rep", "n", "key", F.coalesce("label", "rep").alias("part")), "members")
+    member = materialize(prefix.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("rep", "n", "key", F.coalesce("label", "rep").alias("part")), "members", narrow=True)
     split = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("nb"))
     left = member.join(split, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), "nb"))
     ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))
     bits = _bitmaps(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
     full = left.join(classes.select("rep", "sig"), "rep").join(bits, "rep").withColumn("e", F.explode(ends)).select("key", "e.i", "e.j", "blk", "rep", "n", "part", "sig", "bits")
-    second = materialize(_compare(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), percent).distinct(), "pairs")
+    second = materialize(_compare(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), percent).distinct(), "pairs", narrow=True)
     if second.take(1):
-        more = materialize(_confirm(second, texts, words, percent), "links")
-        label = materialize(components(links.union(more)), "labels")
+        more = materialize(_confirm(second, texts, words, percent), "links", narrow=True)
+        label = materialize(components(links.union(more)), "labels", narrow=True)
 
     rep = classes.filter("copies > 1").select("d1", "d2", F.col("n").alias("n_shingles"), "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = rows.select("doc_id", "n_shingles", "d1", "d2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
