@@ -5,8 +5,10 @@ frequencies over all documents) is factored by a distributed randomised SVD: a s
 power steps, each a pass that sums partial products over the partitions. Every document is read
 whole in windows of two blocks of BLOCK words, each block in two windows. A window is folded into
 the latent space and compared by cosine with the latent passages. A passage of l words is a
-candidate at COSINE * sqrt(min(1, l / window)): that a window holds the passage among other words
-lowers the cosine by that root. Candidates are then confirmed: the longest common subsequence of
+candidate at COSINE * sqrt(min(1, l / window)) * captured: that a window holds the passage among
+other words lowers the cosine by that root, and the rank by what it captures of the passage (the norm
+of the latent row; the cosine of the passage with itself). One matrix holds PASSAGES passages at
+most, so the rank captures about half of them however large the benchmark is. Candidates are then confirmed: the longest common subsequence of
 the passage's words and the words around the window must cover LCS of the passage, and ANSWER of
 the answer's words must occur there. The answer is the column ``answer`` where the benchmark has
 one, else the passage's quarter of words with the highest idf. A document leaks an item when one of
@@ -15,7 +17,7 @@ the item's passages is confirmed or, for items of several passages, half of them
 Words are runs of letters, digits and other non-ASCII characters, lower-cased. Null or empty texts and items have no
 words and match nothing. Repeated items and documents are reported each under its id; extra columns
 are ignored. Items go through in blocks of ITEM_WORDS words at most (or one item), so what is broadcast is
-bounded; each block is one pass over the documents.
+bounded; each block, with all its matrices, is one pass over the documents.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from gridloom.llm.common import doc_texts, fresh
 PASSAGE, BLOCK, RANK, OVERSAMPLE = 48, 16, 112, 16
 COSINE, LCS, ANSWER = 0.33, 0.7, 0.5
 ITEM_WORDS = 100_000
+PASSAGES = 256  # of one matrix
 SLOT_BITS = 20
 
 
@@ -134,8 +137,8 @@ def randomised_svd(spark: SparkSession, rows: list[tuple[list[int], list[float]]
     return best[:, : min(rank, keep)]
 
 
-def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], docs: DataFrame, rank: int = RANK) -> Index | None:
-    """The index of a bounded block of items; None if no item has a word."""
+def build_indexes(spark: SparkSession, items: list[tuple[int, str, str | None]], docs: DataFrame, rank: int = RANK) -> list[Index]:
+    """The indexes of a bounded block of items, PASSAGES passages each at most; none if no item has a word."""
     item, words, given = [], [], []
     for i, text, answer in items:
         w = _words(text or "")
@@ -146,10 +149,18 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], d
                 words.append(part)
                 given.append(_words(answer) if answer else None)
     if not words:
-        return None
+        return []
     vocab = np.unique(np.concatenate([*words, *(g for g in given if g is not None)]))
     df, n = document_frequencies(docs, vocab)
     idf = np.log((n + 1) / (df + 1)) + 0.1
+    cut = [int(x) for x in np.linspace(0, len(words), -(-len(words) // PASSAGES) + 1)]
+    return [_index(spark, item[a:b], words[a:b], given[a:b], vocab, idf, rank) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _index(spark: SparkSession, item: list[int], words: list[np.ndarray], given: list[np.ndarray | None], all_words: np.ndarray, all_idf: np.ndarray, rank: int) -> Index:
+    """The index of some passages; all_words, all_idf: the block's vocabulary."""
+    vocab = np.unique(np.concatenate([*words, *(g for g in given if g is not None)]))
+    idf = all_idf[np.searchsorted(all_words, vocab)]
     rows, norms = [], []
     for w in words:
         col, tf = np.unique(np.searchsorted(vocab, w), return_counts=True)
@@ -158,12 +169,13 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], d
         norms.append(len(w))
     v = randomised_svd(spark, rows, len(vocab), rank)
     latent = np.stack([np.array(x) @ v[c] for c, x in rows])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]
+    captured = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
+    latent /= captured[:, None]
     answers = []
     for w, g in zip(words, given, strict=True):
         u = np.unique(w)
         answers.append(np.unique(g) if g is not None and len(g) else u[np.argsort(-idf[np.searchsorted(vocab, u)], kind="stable")[: max(1, len(u) // 4)]])
-    bar = COSINE * np.sqrt(np.minimum(1, np.array(norms) / (2 * BLOCK)))
+    bar = COSINE * np.sqrt(np.minimum(1, np.array(norms) / (2 * BLOCK))) * captured
     return Index(vocab, idf, float(idf.mean()), (v * idf[:, None]).astype(np.float32), latent.astype(np.float32), bar.astype(np.float32), np.array(item), words, answers)
 
 
@@ -231,8 +243,8 @@ def _search(w: tv.Words, index: Index) -> Iterator[tuple[int, int, float, float,
                 yield r, int(q), float(cos[p, q]), share, float(here)
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """An index for each bounded block of items, read a partition at a time."""
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The indexes of each bounded block of items, read a partition at a time."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), answer.alias("answer"))
     block: list[tuple[int, str, str | None]] = []
@@ -240,9 +252,9 @@ def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
     for row in _closed(items.toLocalIterator()):
         words = len(row["text"].split()) + 1 if row is not None else 0
         if block and (row is None or size + words > ITEM_WORDS):
-            index = build_index(docs.sparkSession, block, docs)
-            if index is not None:
-                yield index
+            indexes = build_indexes(docs.sparkSession, block, docs)
+            if indexes:
+                yield indexes
             block, size = [], 0
         if row is not None:
             block.append((row["item_id"], row["text"], row["answer"]))
@@ -254,15 +266,17 @@ def _closed(rows: Iterator) -> Iterator:
     yield None
 
 
-def _found(data: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int, int, list[float]]]:
+def _found(data: np.ndarray, off: np.ndarray, indexes: list[Index]) -> Iterator[tuple[int, int, list[float]]]:
     """(row, item, mean figures) of the items that the rows of a batch hold."""
-    passages = np.unique(index.item, return_counts=True)
+    passages = np.unique(np.concatenate([x.item for x in indexes]), return_counts=True)
     of = dict(zip(passages[0].tolist(), passages[1].tolist(), strict=True))
     for i, j in tv.slices(off, 1 << 19):
-        best: dict[tuple[int, int], dict[int, tuple]] = {}
-        for r, q, *figures in _search(tv.Words(data, off[i : j + 1], tv.LOOSE), index):
-            seen = best.setdefault((i + r, int(index.item[q])), {})
-            seen[q] = max(seen.get(q, ()), tuple(figures))
+        best: dict[tuple[int, int], dict[tuple[int, int], tuple]] = {}
+        w = tv.Words(data, off[i : j + 1], tv.LOOSE)
+        for k, index in enumerate(indexes):
+            for r, q, *figures in _search(w, index):
+                seen = best.setdefault((i + r, int(index.item[q])), {})
+                seen[k, q] = max(seen.get((k, q), ()), tuple(figures))
         for (r, item), seen in best.items():
             if 2 * len(seen) >= of[item]:
                 yield r, item, np.mean(list(seen.values()), axis=0).tolist()
@@ -273,8 +287,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     docs = doc_texts(docs, id_col, text_col)
     schema = "doc_id long, item_id long, similarity double, lcs_share double, answer_share double"
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in _indexes(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _indexes(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -291,8 +305,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns kept. Each block of items filters where the text stands, without a join."""
     text = fresh(docs, "text_to_search")
     left = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
-    for index in _indexes(left.select(F.col(text).alias("text")), benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _indexes(left.select(F.col(text).alias("text")), benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -154,6 +154,15 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.clean(docs, none.limit(0)).count() == docs.count()
 
 
+def test_every_verbatim_item_of_a_large_benchmark_is_found(spark):
+    rnd = random.Random(5)
+    word = lambda: f"w{int(rnd.paretovariate(0.5)) % 20_000}"
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(2000)]
+    rows = [(k, " ".join([*(word() for _ in range(rnd.randrange(40))), t, *(word() for _ in range(rnd.randrange(40)))])) for k, t in items]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(k, k) for k, _ in items} <= {(r.doc_id, r.item_id) for r in found.collect()}
+
+
 def test_randomised_svd(spark):
     a = np.random.default_rng(0).normal(size=(40, 12)) @ np.diag(2.0 ** -np.arange(12)) @ np.random.default_rng(1).normal(size=(12, 30))
     rows = [(list(range(30)), list(map(float, r))) for r in a]
