@@ -12,7 +12,7 @@ most, so the rank captures about half of them however large the benchmark is. Ca
 the passage's words and the words around the window must cover LCS of the passage, and ANSWER of
 the answer's words must occur there. The answer is the column ``answer`` where the benchmark has
 one, else the passage's quarter of words with the highest idf. A document leaks an item when one of
-the item's passages is confirmed or, for items of several passages, half of them at least.
+the item's passages is confirmed; the figures are the means of those that are.
 
 Words are runs of letters, digits and other non-ASCII characters, lower-cased. Null or empty texts and items have no
 words and match nothing. Repeated items and documents are reported each under its id; extra columns
@@ -268,8 +268,6 @@ def _closed(rows: Iterator) -> Iterator:
 
 def _found(data: np.ndarray, off: np.ndarray, indexes: list[Index]) -> Iterator[tuple[int, int, list[float]]]:
     """(row, item, mean figures) of the items that the rows of a batch hold."""
-    passages = np.unique(np.concatenate([x.item for x in indexes]), return_counts=True)
-    of = dict(zip(passages[0].tolist(), passages[1].tolist(), strict=True))
     for i, j in tv.slices(off, 1 << 19):
         best: dict[tuple[int, int], dict[tuple[int, int], tuple]] = {}
         w = tv.Words(data, off[i : j + 1], tv.LOOSE)
@@ -278,8 +276,7 @@ def _found(data: np.ndarray, off: np.ndarray, indexes: list[Index]) -> Iterator[
                 seen = best.setdefault((i + r, int(index.item[q])), {})
                 seen[k, q] = max(seen.get((k, q), ()), tuple(figures))
         for (r, item), seen in best.items():
-            if 2 * len(seen) >= of[item]:
-                yield r, item, np.mean(list(seen.values()), axis=0).tolist()
+            yield r, item, np.mean(list(seen.values()), axis=0).tolist()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -163,6 +163,15 @@ def test_every_verbatim_item_of_a_large_benchmark_is_found(spark):
     assert {(k, k) for k, _ in items} <= {(r.doc_id, r.item_id) for r in found.collect()}
 
 
+def test_one_passage_of_a_long_item_is_a_leak(spark):
+    item = [f"word{k}" for k in range(192)]
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(k, f"{other} {' '.join(item[48 * k : 48 * k + 48])} {other}") for k in range(4)] + [(9, other)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(k, 7) for k in range(4)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [9]
+
+
 def test_randomised_svd(spark):
     a = np.random.default_rng(0).normal(size=(40, 12)) @ np.diag(2.0 ** -np.arange(12)) @ np.random.default_rng(1).normal(size=(12, 30))
     rows = [(list(range(30)), list(map(float, r))) for r in a]
