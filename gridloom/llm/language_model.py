@@ -1,9 +1,8 @@
 """LM scoring with a probabilistic suffix tree.
 
-States are contexts of one or two words. As in the classic learning algorithm a context is a candidate if
-its share of the training tokens is CONTEXT at least, and a continuation is stored in a state if the
-joint share is ENTRY at least; so there are at most 1/CONTEXT states of an order and 1/ENTRY
-entries, whatever the corpus, and the tree may be broadcast. (Counts below FLOOR never qualify.)
+States are contexts of one or two words. A context is a candidate if it occurs 2 * FLOOR times at
+least, a continuation is stored in a state if it occurs there FLOOR times at least: fixed counts,
+so the tree grows with the corpus. (``entry`` and ``context`` of ``learn`` raise them to shares of the tokens.)
 A candidate is retained if its next-symbol distribution diverges from that of its suffix: the
 Kullback-Leibler divergence over the stored continuations and the rest, times the context's count, must
 reach GAIN nats a symbol and half a logarithm of the count for each stored continuation. Suffixes of
@@ -14,8 +13,12 @@ P(w | s) = (n(s, w) + (R + MU) * P(w | suffix of s)) / (n(s) + MU); the root is
 (c + 0.1) / (N + 0.1 * (V + 1)), unseen words being one symbol. Each distribution sums to one.
 A token is scored in the longest retained suffix of its history; a history starts with its document.
 
-Counts cover all training documents. Words too rare for the broadcast table are joined: their
-root terms are looked up in the full count table and added to the document's sums.
+The tree is a written table. Logarithms make a score a sum of one term for each word, pair and triple of
+a document: ``back`` of a retained context, log10((R + MU) / (n(s) + MU)), falls on the token after it,
+``gain`` of a stored continuation is what its probability exceeds that sum by. So scoring is one
+join by hashed n-gram. The hottest part, shares of HOT of the tokens and more, is broadcast and looked up
+in place: it is bounded, and no key that many rows share is left to the join. N-grams that are in no
+table are mostly kept out of shuffles by a bit set of fixed size, which may pass some but drops none that counts.
 
 Null or empty text is one end token. Rows that repeat a doc_id are scored each. Extra columns are ignored.
 With no training document N and V are 0 and every token has the root's probability of the unseen, 1.
@@ -23,36 +26,38 @@ With no training document N and V are 0 and every token has the root's probabili
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as tv
 from gridloom.llm.common import doc_texts, fold_id, materialize
 
-ENTRY, CONTEXT = 2.0**-22, 2.0**-21
 FLOOR, MU, GAIN = 2, 2.0, 0.005
+HOT = 2.0**-21
+BITS = 27  # of a bit set's size
 END = np.uint64(0xE17D0F5EED0F7E87)
-HELD = 1 << 21  # keys a counting task holds before it compacts them
+HELD = 1 << 20  # keys a counting task holds before it compacts them
 NO = np.int64(-1)
 
 
 @dataclass
 class Tree:
-    """word: sorted hashes of the frequent words; p0: their root probabilities. For order k: states sorted by key
-    (order 1: word id, order 2: word id << 32 | word id), weight of the suffix's distribution, entries sorted by state << 32 | word id."""
+    """The hot part. word: sorted hashes; root: their log10 root probabilities; back: as contexts. gram: sorted keys of
+    pairs and triples; gain, gram_back: their terms. state: the retained contexts of each order. seen: bit set of the other pairs and triples."""
 
     word: np.ndarray
-    p0: np.ndarray
+    root: np.ndarray
+    back: np.ndarray
+    gram: np.ndarray
+    gain: np.ndarray
+    gram_back: np.ndarray
     state: list[np.ndarray]
-    count: list[np.ndarray]
-    back: list[np.ndarray]
-    entry: list[np.ndarray]
-    share: list[np.ndarray]
+    seen: np.ndarray
 
 
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -75,155 +80,211 @@ def tokens(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, ptr
 
 
-def ids_of(h: np.ndarray, ptr: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids of the tokens, of those before them and of those before these; -1 for rare words and before a row's start."""
-    w = find(word, h)
-    v = np.concatenate([[NO], w[:-1]]) if len(w) else w.copy()
-    v[ptr[:-1]] = NO
-    u = np.concatenate([[NO], v[:-1]]) if len(w) else w.copy()
-    u[ptr[:-1]] = NO
-    return w, v, u
+def before(h: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token k places before each token, whether it is in the row)."""
+    place = np.arange(len(h)) - np.repeat(ptr[:-1], np.diff(ptr))
+    return np.concatenate([h[:k], h[: max(0, len(h) - k)]])[: len(h)], place >= k
 
 
-def _counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, n): how often each key occurs, pre-aggregated in the tasks."""
+def _turn(x: np.ndarray, k: int) -> np.ndarray:
+    return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _turn(v, 21) ^ w
+
+
+def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _turn(u, 42) ^ pair_key(v, w)
+
+
+def _turned(c: str, k: int) -> Column:
+    return F.shiftleft(c, k).bitwiseOR(F.shiftrightunsigned(c, 64 - k))
+
+
+def _pair(v: str, w: str) -> Column:
+    return _turned(v, 21).bitwiseXOR(F.col(w))
+
+
+def _triple(u: str, v: str, w: str) -> Column:
+    return _turned(u, 42).bitwiseXOR(_pair(v, w))
+
+
+def bit_set(keys: DataFrame) -> np.ndarray:
+    """Two bits for each of the keys (key)."""
+    mask = (1 << BITS) - 1
+    bit = keys.select(F.explode(F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("key", 64 - BITS))).alias("bit"))
+    cells = bit.groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    if cells.num_rows:
+        out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that are not in the set."""
+    out = np.ones(len(keys), bool)
+    for at in (keys & np.uint64((1 << BITS) - 1), keys >> np.uint64(64 - BITS)):
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def _counted(docs: DataFrame, order: int, contexts: np.ndarray | None = None) -> DataFrame:
+    """(words of the n-gram, n): how often each n-gram occurs, pre-aggregated in the tasks; ``contexts``: bit set of the contexts that count."""
+    names = ["u", "v", "w"][3 - order :]
+    shared = docs.sparkSession.sparkContext.broadcast(contexts)
+
+    def grams(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
+        """The key and the words of each n-gram."""
+        if order == 1:
+            return [h, h]
+        v, ok = before(h, ptr, 1)
+        if order == 2:
+            at = np.flatnonzero(ok)
+            at = at[maybe(shared.value, v[at])]
+            return [pair_key(v[at], h[at]), v[at], h[at]]
+        u, ok = before(h, ptr, 2)
+        at = np.flatnonzero(ok)
+        at = at[maybe(shared.value, pair_key(u[at], v[at]))]
+        return [triple_key(u[at], v[at], h[at]), u[at], v[at], h[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def compact(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            """Key, words and count of the distinct keys."""
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            key, first, inv = np.unique(cols[0], return_index=True, return_inverse=True)
+            return [key, *(c[first] for c in cols[1:-1]), np.bincount(inv, cols[-1], len(key)).astype(np.int64)]
 
-        def compact() -> tuple[np.ndarray, np.ndarray]:
-            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            return u, np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
+        def out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(x[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[k : k + 100_000].view(np.int64)) for c in x[1:])], [*names, "n"])
 
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
             for i, j in tv.slices(off):
-                u, n = np.unique(keys_of(*tokens(tv.Words(data, off[i : j + 1]))), return_counts=True)
-                keys.append(u)
-                counts.append(n)
-                held += len(u)
-                if held > 2 * HELD:
-                    u, n = compact()
-                    if len(u) > HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["key", "n"])
-                        keys, counts, held = [], [], 0
-                    else:
-                        keys, counts, held = [u], [n], len(u)
-        if keys:
-            u, n = compact()
-            for k in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["key", "n"])
-
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+                g = grams(*tokens(tv.Words(data, off[i : j + 1])))
+                held.append(compact([[*g, np.ones(len(g[0]), np.int64)]]))
+                size += len(held[-1][0])
+                if size > 2 * HELD:
+                    held = [compact(held)]
+                    size = len(held[0][0])
+                    if size > HELD:
+                        yield from out(held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(compact(held))
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def _diverging(rows: DataFrame, of: list[str], parent_p: str) -> DataFrame:
+    """(of, c, rest, keep): each state of the stored continuations (of, c, n, parent_p) and whether it passes the divergence test."""
+    sums = rows.groupBy(*of).agg(
+        F.first("c").alias("c"), F.sum("n").alias("stored"), F.sum(parent_p).alias("covered"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") / F.col("c") / F.col(parent_p))).alias("gain")
+    )
+    rest = F.col("c") - F.col("stored")
+    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("c") / F.greatest(1 - F.col("covered"), F.lit(1e-9)))).otherwise(0.0)
+    keep = (gain >= GAIN * F.col("c")) & (gain >= 0.5 * F.col("k") * F.log(F.greatest(F.col("c"), F.lit(2))))
+    return sums.select(*of, F.col("c"), rest.alias("rest"), keep.alias("keep"))
+
+
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table, sorted by the first as an unsigned number."""
     t = df.toArrow()
-    if not t.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    k, n = t.column("key").to_numpy(), t.column("n").to_numpy()
-    order = np.argsort(k)
-    return k[order], n[order]
-
-
-def diverging(state_n: np.ndarray, of: np.ndarray, n: np.ndarray, parent_p: np.ndarray) -> np.ndarray:
-    """Which states pass the divergence test; of, n, parent_p: state, count and suffix probability of each stored continuation."""
-    size = len(state_n)
-    if not len(of):
-        return np.zeros(size, bool)
-    stored, covered, k = np.bincount(of, n, size), np.bincount(of, parent_p, size), np.bincount(of, minlength=size)
-    gain = np.bincount(of, n * np.log(n / state_n[of] / parent_p), size)
-    rest, rest_p = state_n - stored, np.maximum(1 - covered, 1e-9)
-    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-9) / state_n / rest_p), 0)
-    return (k > 0) & (gain >= GAIN * state_n) & (gain >= 0.5 * k * np.log(np.maximum(state_n, 2)))
-
-
-def learn(training: DataFrame, entry: float = ENTRY, context: float = CONTEXT) -> tuple[Tree, DataFrame, int, int]:
-    """(tree, full word counts, N, V) from the texts of ``training``."""
+    cols = [t.column(c).to_numpy() if t.num_rows else np.zeros(0, np.float64 if i else np.int64) for i, c in enumerate(t.column_names)]
+    key = cols[0].view(np.uint64)
+    order = np.argsort(key)
+    return [key[order], *(c[order] for c in cols[1:])]
+
+
+def learn(training: DataFrame, entry: float = 0.0, context: float = 0.0) -> tuple[Tree, DataFrame, int, int]:
+    """(hot tree, table (key, known, root, more) of what is not in it, N, V) from the texts of ``training``."""
     spark = training.sparkSession
-    words = materialize(_counted(training, lambda h, ptr: h.view(np.int64)), "words")
+    words = materialize(_counted(training, 1), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, least_context = max(FLOOR, entry * total), max(2 * FLOOR, context * total)
-    key, n = _sorted(words.filter(F.col("n") >= least))
-    h = key.view(np.uint64)
-    order = np.argsort(h)
-    word, c = h[order], n[order]
-    z = total + 0.1 * (kinds + 1)
-    p0 = (c + 0.1) / z
-    tree = Tree(word, p0, [], [], [], [], [])
-    one = np.flatnonzero((c >= least_context) & (word != END))
-    shared = spark.sparkContext.broadcast((word, c >= least_context))
-
-    def pairs(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        table, live = shared.value
-        w, v, _ = ids_of(h, ptr, table)
-        ok = (w >= 0) & (v >= 0)
-        ok[ok] = live[v[ok]]
-        return v[ok] << 32 | w[ok]
-
-    k1, n1 = _sorted(materialize(_counted(training, pairs), "pairs").filter(F.col("n") >= least))
-    two = n1 >= least_context
-    two &= word[k1 & 0xFFFFFFFF] != END if len(k1) else two
-    key2, count2 = k1[two], n1[two]
-    shared2 = spark.sparkContext.broadcast((word, key2))
-
-    def triples(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        table, states = shared2.value
-        w, v, u = ids_of(h, ptr, table)
-        ok = np.flatnonzero((w >= 0) & (v >= 0) & (u >= 0))
-        s = find(states, u[ok] << 32 | v[ok])
-        ok, s = ok[s >= 0], s[s >= 0]
-        return s << 32 | w[ok]
-
-    k2, n2 = _sorted(_counted(training, triples).filter(F.col("n") >= least)) if len(key2) else (k1[:0], n1[:0])
-
-    of1, w1 = np.searchsorted(one, k1 >> 32), k1 & 0xFFFFFFFF
-    keep1 = diverging(c[one], of1, n1, p0[w1])
-    # a pair context's suffix is the state of its second word, as if retained
-    back1 = c[one] - np.bincount(of1, n1, len(one)) + MU
-    of2, w2 = k2 >> 32, k2 & 0xFFFFFFFF
-    suffix = np.searchsorted(one, key2 & 0xFFFFFFFF)
-    s2 = suffix[of2]
-    at = find(k1, one[s2] << 32 | w2) if len(s2) else s2
-    p1 = (np.where(at >= 0, n1[at] if len(n1) else 0, 0) + back1[s2] * p0[w2]) / (c[one][s2] + MU)
-    keep2 = diverging(count2, of2, n2, p1)
-    keep1[suffix[keep2]] = True
-    for state, count, of, w, n, keep in ((one, c[one], of1, w1, n1, keep1), (key2, count2, of2, w2, n2, keep2)):
-        new = np.cumsum(keep) - 1
-        live = keep[of] if len(of) else np.zeros(0, bool)
-        stored = np.bincount(of, n, len(state)) if len(state) else np.zeros(0)
-        tree.state.append(state[keep])
-        tree.count.append(count[keep] + MU)
-        tree.back.append((count - stored + MU)[keep])
-        tree.entry.append(new[of[live]] << 32 | w[live])
-        tree.share.append(n[live].astype(np.float64))
-    return tree, words, total, kinds
+    least, least_context, hot = max(FLOOR, entry * total), max(2 * FLOOR, context * total), HOT * total
+    end = int(np.array([END]).view(np.int64)[0])
+    p0 = (F.col("n") + 0.1) / F.lit(total + 0.1 * (kinds + 1))
+    states = words.filter((F.col("n") >= least_context) & (F.col("w") != end)).select(F.col("w").alias("v"), F.col("n").alias("c"))
+    pairs = materialize(_counted(training, 2, bit_set(states.select(F.col("v").alias("key")))).filter(F.col("n") >= least), "pairs")
+    one = pairs.join(states.hint("merge"), "v").join(words.select("w", p0.alias("p0")).hint("merge"), "w")
+    one = materialize(one.select("v", "w", "n", "c", "p0"), "pairs_p")
+    tests = materialize(_diverging(one, ["v"], "p0"), "states1")
+    p1 = (F.col("n") + (F.col("rest") + MU) * F.col("p0")) / (F.col("c") + MU)
+    one = materialize(one.drop("c").join(tests.hint("merge"), "v").select("v", "w", "n", "p0", p1.alias("p1")), "pairs_q")
+    contexts = one.filter((F.col("n") >= least_context) & (F.col("w") != end)).select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("n").alias("c"))
+    two = _counted(training, 3, bit_set(contexts.select(_pair("u", "v").alias("key")))).filter(F.col("n") >= least)
+    two = two.join(contexts.hint("merge"), ["u", "v"]).join(one.select("v", "w", "p1").hint("merge"), ["v", "w"])
+    two = materialize(two.select("u", "v", "w", "n", "c", "p1"), "triples")
+    back = F.log10((F.col("rest") + MU) / (F.col("c") + MU))
+    kept2 = materialize(_diverging(two, ["u", "v"], "p1").filter("keep").select("u", "v", "c", "rest", back.alias("back")), "states2")
+    forced = kept2.select("v").distinct().withColumn("forced", F.lit(True))
+    kept1 = materialize(tests.join(forced.hint("merge"), "v", "left").filter("keep OR forced").select("v", back.alias("back")), "kept1")
+    gain2 = F.when(F.col("back").isNotNull(), F.log10("p1") - F.col("back") - F.log10("p0"))
+    grams2 = one.join(kept1.hint("merge"), "v", "left").select("v", "w", "n", gain2.alias("gain"))
+    grams2 = grams2.join(kept2.select(F.col("u").alias("v"), F.col("v").alias("w"), "back").hint("merge"), ["v", "w"], "left").filter("gain IS NOT NULL OR back IS NOT NULL")
+    p2 = (F.col("n") + (F.col("rest") + MU) * F.col("p1")) / (F.col("c") + MU)
+    grams3 = two.drop("c").join(kept2.hint("merge"), ["u", "v"])
+    zero = F.lit(0.0)
+    grams = grams2.select(_pair("v", "w").alias("key"), "n", F.coalesce("gain", zero).alias("gain"), F.coalesce("back", zero).alias("back"), F.col("back").isNotNull().alias("state")).unionByName(
+        grams3.select(_triple("u", "v", "w").alias("key"), "n", (F.log10(p2) - F.col("back") - F.log10("p1")).alias("gain"), zero.alias("back"), F.lit(False).alias("state"))
+    )
+    grams = materialize(grams, "grams")
+    table = words.withColumnRenamed("w", "v").join(kept1.hint("merge"), "v", "left")
+    table = materialize(table.select(F.col("v").alias("key"), "n", F.log10(p0).alias("root"), F.coalesce("back", zero).alias("back"), F.col("back").isNotNull().alias("state")), "table")
+    word, root, word_back, is_state = _arrays(table.filter(F.col("n") >= hot).select("key", "root", "back", F.col("state").cast("double")))
+    gram, gain, gram_back, is_pair_state = _arrays(grams.filter(F.col("n") >= hot).select("key", "gain", "back", F.col("state").cast("double")))
+    cold = grams.filter(F.col("n") < hot)
+    tree = Tree(word, root, word_back, gram, gain, gram_back, [word[is_state > 0], gram[is_pair_state > 0]], bit_set(cold.select("key")))
+    rest = table.filter(F.col("n") < hot).select("key", F.lit(1).alias("known"), "root", (F.col("root") + F.col("back")).alias("more"))
+    return tree, rest.unionByName(cold.select("key", F.lit(0).alias("known"), zero.alias("root"), (F.col("gain") + F.col("back")).alias("more"))), total, kinds
+
+
+def _terms(h: np.ndarray, ptr: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word ids, root part, score part) of the tokens in log10 as far as the hot tree has them; (token, key) of the pairs and triples that the table may hold."""
+    w = find(tree.word, h)
+    root = np.where(w >= 0, tree.root[w], 0.0) if len(tree.word) else np.zeros(len(h))
+    full = root.copy()
+    where, keys = [], []
+    if len(tree.word):
+        back = np.where(w >= 0, tree.back[w], 0.0)
+        full[1:] += back[:-1] * (h[:-1] != END)
+    v, has_v = before(h, ptr, 1)
+    u, has_u = before(h, ptr, 2)
+    for order, (key, ok) in enumerate(((pair_key(v, h), has_v), (triple_key(u, v, h), has_u))):
+        at = np.flatnonzero(ok)
+        k = find(tree.gram, key[at])
+        hit, at_hit = k[k >= 0], at[k >= 0]
+        full[at_hit] += tree.gain[hit]
+        if order == 0:
+            on = (h[at_hit] != END) & (at_hit + 1 < len(h))
+            full[at_hit[on] + 1] += tree.gram_back[hit[on]]
+        miss = at[k < 0]
+        miss = miss[maybe(tree.seen, key[miss])]
+        where.append(miss)
+        keys.append(key[miss])
+    return w, root, full, np.concatenate(where), np.concatenate(keys)
 
 
 def log_terms(h: np.ndarray, ptr: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids, root part, score part) of the tokens in log10; a rare word's parts lack its root term."""
-    w, v, u = ids_of(h, ptr, tree.word)
-    rare = w < 0
-    p = np.where(rare, 1.0, tree.p0[w] if len(tree.p0) else 1.0)
-    root = np.log10(p)
-    s = find(tree.state[0], v)
-    s[v < 0] = NO
-    for order in (0, 1):
-        at = np.flatnonzero(s >= 0)
-        if not len(at):
-            break
-        k = find(tree.entry[order], s[at] << 32 | w[at])
-        k[rare[at]] = NO
-        n = np.where(k >= 0, tree.share[order][k] if len(tree.share[order]) else 0.0, 0.0)
-        p[at] = (n + tree.back[order][s[at]] * p[at]) / tree.count[order][s[at]]
-        nxt = np.full(len(s), NO)
-        ok = at[u[at] >= 0]
-        nxt[ok] = find(tree.state[1], u[ok] << 32 | v[ok])
-        s = nxt
-    return w, root, np.log10(p)
-
-
-def score(docs: DataFrame, tree: Tree, words: DataFrame, total: int, kinds: int) -> DataFrame:
+    """(word ids, root part, score part) of the tokens in log10; a word that isn't hot lacks its root term."""
+    return _terms(h, ptr, tree)[:3]
+
+
+def _lists(row: np.ndarray, key: np.ndarray, rows: int) -> list[pa.Array]:
+    """The distinct keys of each row and how often each occurs."""
+    order = np.lexsort((key, row))
+    r, x = row[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])])) if len(r) else np.zeros(0, int)
+    tf = np.diff(np.append(first, len(r)))
+    cut = np.searchsorted(r[first], np.arange(rows + 1))
+    return [pa.LargeListArray.from_arrays(pa.array(cut, pa.int64()), pa.array(y)).cast(pa.list_(pa.int64())) for y in (x[first].view(np.int64), tf.astype(np.int64))]
+
+
+def score(docs: DataFrame, tree: Tree, table: DataFrame, total: int, kinds: int) -> DataFrame:
     """(row, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (row, doc_id, held_out, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
@@ -233,33 +294,29 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, total: int, kinds: int)
             data, off = tv.buffers(batch.column("text"))
             for i, j in tv.slices(off):
                 h, ptr = tokens(tv.Words(data, off[i : j + 1]))
-                w, root, full = log_terms(h, ptr, t)
+                w, root, full, at, key = _terms(h, ptr, t)
                 row = np.repeat(np.arange(j - i), np.diff(ptr))
                 rare = np.flatnonzero(w < 0)
-                base, sums = tv.row_sums(root, ptr), tv.row_sums(full, ptr)
-                order = np.lexsort((h[rare], row[rare]))
-                r, x = row[rare][order], h[rare][order]
-                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])])) if len(r) else np.zeros(0, int)
-                tf = np.diff(np.append(first, len(r)))
-                cut = np.searchsorted(r[first], np.arange(j - i + 1))
-                lists = [pa.LargeListArray.from_arrays(pa.array(cut, pa.int64()), pa.array(y)).cast(pa.list_(pa.int64())) for y in (x[first].view(np.int64), tf.astype(np.int64))]
                 known = np.diff(ptr) - np.bincount(row[rare], minlength=j - i)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ptr).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums), *lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "sums", "rare", "tf"],
+                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ptr).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(tv.row_sums(root, ptr)), pa.array(tv.row_sums(full, ptr))]
+                    + _lists(row[rare], h[rare], j - i) + _lists(row[at], key, j - i),
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "sums", "rare", "tf", "gram", "gram_tf"],
                 )
 
-    local = materialize(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, sums double, rare array<long>, tf array<long>"), "scores")
-    z = total + 0.1 * (kinds + 1)
-    rare = local.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.tf").alias("tf"))
-    found = rare.join(words.hint("merge"), "key", "left").groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(z))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("seen")
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, sums double, rare array<long>, tf array<long>, gram array<long>, gram_tf array<long>"
+    local = materialize(docs.mapInArrow(run, kind), "scores")
+    rare = local.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.tf").alias("tf"), F.lit(1).alias("known"))
+    grams = local.select("row", F.explode(F.arrays_zip("gram", "gram_tf")).alias("x")).select("row", F.col("x.gram").alias("key"), F.col("x.gram_tf").alias("tf"), F.lit(0).alias("known"))
+    unseen = F.when(F.col("known") == 1, F.log10(F.lit(0.1) / F.lit(total + 0.1 * (kinds + 1)))).otherwise(0.0)
+    found = rare.unionByName(grams).join(table.hint("merge"), ["key", "known"], "left").groupBy("row").agg(
+        F.sum(F.col("tf") * F.coalesce("root", unseen)).alias("root"), F.sum(F.col("tf") * F.coalesce("more", unseen)).alias("more"), F.sum(F.when(F.col("root").isNotNull(), F.col("tf") * F.col("known")).otherwise(0)).alias("seen")
     )
-    more = F.coalesce("more", F.lit(0.0))
+    zero = F.lit(0.0)
     return local.join(found.hint("merge"), "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("sums") + more).alias("score"),
+        (F.col("base") + F.coalesce("root", zero)).alias("base_score"), (F.col("sums") + F.coalesce("more", zero)).alias("score"),
     )
 
 
@@ -267,5 +324,5 @@ def op6(spark: SparkSession, sf_dir: str, **how: float) -> DataFrame:
     """Base and suffix-tree scores of every document."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = doc_texts(raw).withColumn("held_out", F.coalesce(fold_id(F.col("doc_id")) % 10 == 0, F.lit(False)))
-    tree, words, total, kinds = learn(docs.filter("NOT held_out").select("text"), **how)
-    return score(docs.withColumn("row", F.monotonically_increasing_id()), tree, words, total, kinds)
+    tree, table, total, kinds = learn(docs.filter("NOT held_out").select("text"), **how)
+    return score(docs.withColumn("row", F.monotonically_increasing_id()), tree, table, total, kinds)

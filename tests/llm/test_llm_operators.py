@@ -242,6 +242,23 @@ def test_tree_distributions_sum_to_one(spark):
         assert total == pytest.approx(1.0)
 
 
+def test_tree_keeps_contexts_by_count_in_any_corpus(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(400)) + (" red green blue" if k < 9 else " red dark sea") for k in range(60)]
+    df = spark.createDataFrame([(k, k, k % 10 == 0, t) for k, t in enumerate(texts)], "row long, doc_id long, held_out boolean, text string")
+    want = {r.doc_id: r for r in language_model.score(df, *language_model.learn(df.select("text"))).collect()}
+    monkeypatch.setattr(language_model, "HOT", 0.003)  # as in a corpus where few n-grams are hot
+    tree, *rest = language_model.learn(df.select("text"))
+    assert 0 < len(tree.word) < 50
+    got = {r.doc_id: r for r in language_model.score(df, tree, *rest).collect()}
+    assert all(got[k].score == pytest.approx(r.score) and got[k].base_score == pytest.approx(r.base_score) and got[k].n_known == r.n_known for k, r in want.items())
+    many = spark.range(0, 1000, 1, 4).selectExpr("concat_ws(' ', transform(sequence(1, 9000), i -> concat('x', i % 50))) AS text").unionByName(spark.createDataFrame([("once upon time",)] * 4, "text string"))
+    tree, table, n, v = language_model.learn(many)
+    assert n > 8 * 2**20
+    key = int(language_model.pair_key(*language_model.tokens(language_model.tv.Words(np.frombuffer(b"once upon", np.uint8), np.array([0, 9])))[0][:2, None])[0].view(np.int64))
+    assert len(tree.gram) and table.filter(F.col("key") == key).count() + (np.uint64(key % 2**64) in tree.gram) == 1
+
+
 def test_language_model_of_odd_texts(spark, odd, empty):
     df = odd.unionByName(odd).select("doc_id", "text").withColumn("held_out", F.lit(False)).withColumn("row", F.monotonically_increasing_id())
     df = df.withColumn("text", F.coalesce("text", F.lit("")))
