@@ -9,7 +9,9 @@ from boilerplate. Blocks of one parent that follow each other are one node, thei
 
 Null and empty pages give empty text, as do pages without content. Repeated rows are extracted
 each; extra columns are ignored. Broken markup never fails: unclosed elements end with their parent,
-stray end tags are passed over, a lone ``<`` is text. Work is linear in the page but for the flow,
+stray end tags are passed over, a lone ``<`` is text. The raw text of script, style and the like is left out up to
+the end tag or, as in browsers, the page's end. svg, math, object and canvas are inline elements like others; a button or
+select is boilerplate, but one without an end tag of its own loses its start tag only. ``/>`` closes these, and all inside svg and math. Work is linear in the page but for the flow,
 whose graph has a node for each run of blocks.
 """
 
@@ -28,16 +30,20 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = re.compile(r"</(script|style|noscript|template|textarea|title|svg|iframe|select|button|object|canvas|math)\b[^>]*>", re.I)
-
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "button", "object", "canvas", "math"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
+_RAW = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I) for tag in RAW}
+FOREIGN = {"svg", "math"}
+CONTROL = re.compile(r"<(/?)(button|select)(?![^\s/>])", re.I)
+CONTROLS, CLOSABLE = {"button", "select"}, {"svg", "math", "object", "canvas", "button", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input embed".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input embed object canvas"
+    " math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose semantics annotation"
+    " svg g path circle rect line polyline polygon ellipse text tspan textpath defs use symbol desc lineargradient radialgradient stop clippath mask pattern marker image filter".split()
 )
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-AWAY_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+AWAY_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "button", "select"}
 HOME_TAGS = {"article", "main"}
 AWAY_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup"
@@ -85,7 +91,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, -1)]  # tag, element number, innermost mark, parent's number
     numbers, pos, end = 0, 0, len(html)
     buf: list[str] = []
-    linked = anchors = 0
+    linked = anchors = foreign = 0
 
     def flush() -> None:
         nonlocal linked
@@ -101,9 +107,10 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal anchors
+        nonlocal anchors, foreign
         for tag, *_ in stack[k:]:
             anchors -= tag == "a"
+            foreign -= tag in FOREIGN
         del stack[k:]
 
     while pos < end:
@@ -138,15 +145,23 @@ def blocks(html: str) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
             continue
+        attrs = m[3] if m[2] else m[6]
+        if (foreign or tag in CLOSABLE) and attrs and attrs.rstrip().endswith("/"):
+            continue
         if tag in RAW:
-            found = next((x for x in _RAW.finditer(html, pos) if x[1].lower() == tag), None)
+            found = _RAW[tag].search(html, pos)
             pos = found.end() if found else end
             continue
-        attrs = m[3] if m[2] else m[6]
         if tag not in INLINE:
             flush()
         if tag in VOID:
             continue
+        if tag in CONTROLS:
+            found = next((x for x in CONTROL.finditer(html, pos) if x[2].lower() == tag), None)
+            if not found or not found[1]:
+                continue
+        if foreign and tag in CLOSES_P and not any(x[0] == "foreignobject" for x in stack):
+            close(next(k for k, x in enumerate(stack) if x[0] in FOREIGN))
         if tag in CLOSES_P or tag in SAME:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p" and tag in CLOSES_P or stack[k][0] == tag and tag in SAME or tag in ("dt", "dd") and stack[k][0] in ("dt", "dd") or tag in ("td", "th") and stack[k][0] in ("td", "th"):
@@ -157,11 +172,12 @@ def blocks(html: str) -> list[Block]:
         numbers += 1
         up = stack[-1]
         mark = up[2]
-        if mark > -2:
+        if mark > -2 and not foreign and tag not in FOREIGN:
             own = _mark(tag, attrs or "", mark == 1)
             mark = own or mark
         stack.append((tag, numbers, mark, up[1]))
         anchors += tag == "a"
+        foreign += tag in FOREIGN
     flush()
     return out
 

@@ -315,6 +315,17 @@ def test_op9(spark):
     assert [(r.text, r.n_chars) for r in html_text.extract(odd).collect()] == [("", 0)] * 3
 
 
+@pytest.mark.parametrize(
+    "piece, text",
+    [('<svg viewBox="0 0 1 1"/>', ""), ("<math/>", ""), ("<svg><path d='M0 0'/><title/>", ""), ('<svg aria-hidden="true">', ""), ("<button>", ""), ("<select>", ""), ("<object>", ""), ("<canvas>", ""), ("<button/>", ""),
+     ("<button>Share</button>", ""), ("<select><option>One<option>Two</select>", ""), ("<math><mi>x</mi> = <mn>2</mn></math>", "x = 2"), ("<object>Fallback</object>", "Fallback"), ("<canvas>Chart</canvas>", "Chart")],
+)
+def test_embedded_elements_cut_nothing_off(piece, text):
+    one, two = "The first paragraph has some words of prose in it.", "The second paragraph has some other words of prose."
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article><p>{one} {piece} Then more.</p><p>{two}</p></article><footer>Imprint <button>Go</button></footer></body></html>"
+    assert html_text.main_text(page) == " ".join(f"{one} {text} Then more. {two}".split())
+
+
 def test_op10_on_held_out_labels(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
