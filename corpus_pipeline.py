@@ -2,7 +2,7 @@
 
 quality          drops documents that the classifier rejects
 near_dedup       keeps one document of each group of near copies (five-word shingles, similarity 0.8)
-suffix_dedup     cuts repeated passages out of the texts and sets n_chars to the new length
+suffix_dedup     cuts repeated passages of over 50 words out of the texts and sets n_chars to the new length
 decontaminate    drops documents that hold a benchmark item
 encode           adds the token ids
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, decontaminate, neardup, quality, substring_dedup
 from gridloom.llm.common import materialize, table
 
-#: Bytes of a repeated passage: less than 51 words of these texts hold.
-PASSAGE_BYTES, PASSAGE_GRAM = 240, 96
+#: Words of a repeated passage, and of the anchors that find it.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.dedup(docs, PASSAGE_BYTES, PASSAGE_GRAM)
+    cut = substring_dedup.dedup_words(docs, PASSAGE_WORDS, PASSAGE_GRAM)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

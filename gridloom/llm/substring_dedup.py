@@ -36,6 +36,8 @@ SHARD_BYTES = 3 << 20
 PIECE = 1 << 23  # windows of one text that are anchored at once
 MEMORY = 1 << 23  # suffixes that the sorter of a shard holds; more go to disk
 _POS = np.uint64(28)
+CODE = 6  # letters of a word's code
+_LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
 
 
 def _window_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -219,3 +221,57 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     joined = docs.join(found.hint("merge"), docs["doc_id"] == found[key], "left").select(*(docs[c] for c in names), found[cover])
     return joined.mapInArrow(run, docs.schema)
+
+
+def word_codes(data: np.ndarray, off: np.ndarray) -> tuple[tv.Words, np.ndarray]:
+    """(words, CODE letters for each): letters stand for 6 bits each of a word's hash, capitals told apart."""
+    w = tv.Words(data, off)
+    h = tv.range_hash(tv.prefix_hash(w.raw), w.start, w.end) if len(w.raw) else np.zeros(0, np.uint64)
+    return w, _LETTERS[(h[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6)) & np.uint64(63)).astype(np.int64)]
+
+
+def word_runs(cover: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+    """First and last word of the repeated passages of ``words`` words, given the runs of repeated windows of their codes."""
+    for a, b in cover.reshape(-1, 2).tolist():
+        if -(-a // CODE) <= b // CODE:  # windows that start inside a code are none of whole words
+            yield -(-a // CODE), b // CODE + words - 1
+
+
+def dedup_words(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """``docs`` without the repeated passages of ``words`` words (split at white space) and more, whatever their bytes; ``gram``: words of an anchor.
+
+    The texts go through ``spans`` as codes of one width for each word. What stands between the words of a passage goes with it.
+    """
+    key, cover = fresh(docs, "span_id"), fresh(docs, "span_cover")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = tv.buffers(batch.column("text"))
+            for i, j in tv.slices(off):
+                w, letters = word_codes(data, off[i : j + 1])
+                flat, ends = letters.tobytes(), (w.ptr * CODE).tolist()
+                texts = [flat[a:b].decode("ascii") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    codes = materialize(doc_texts(docs).mapInArrow(encode, "doc_id long, text string"), "codes")
+    found = spans(codes, words * CODE, gram * CODE).withColumnsRenamed({"doc_id": key, "cover": cover})
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = tv.buffers(batch.column("text"))
+            texts = []
+            for i, (cov, old) in enumerate(zip(batch.column(cover), batch.column("text"), strict=True)):
+                if not cov.is_valid or not old.is_valid:
+                    texts.append(old.as_py())
+                    continue
+                w = tv.Words(data, off[i : i + 2])
+                step = np.zeros(len(w.raw) + 1, np.int32)
+                for a, b in word_runs(cov.values.to_numpy(), words):
+                    step[w.start[a]] += 1
+                    step[w.end[b]] -= 1
+                texts.append(w.raw[np.cumsum(step)[:-1] == 0].tobytes().decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+
+    joined = docs.join(found.hint("merge"), docs["doc_id"] == found[key], "left").select(*(docs[c] for c in names), found[cover])
+    return joined.mapInArrow(run, docs.schema)

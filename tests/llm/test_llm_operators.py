@@ -342,6 +342,28 @@ def test_op10_on_held_out_labels(spark, odd, empty):
     assert kept.columns == odd.columns and kept.filter("text IS NULL").count() == kept.filter("text = ''").count() == int(origin)
 
 
+def test_pipeline_cuts_repeated_passages_by_words(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(6)
+    some = lambda n, k: [f"{chr(97 + rnd.randrange(26))}{k if k else ''}" for _ in range(n)]
+    short, fifty, long = some(51, 0), some(50, 0), [f"longword{rnd.randrange(10**6)}" for _ in range(50)]
+    texts = [" ".join([*some(30, 10 + k), *p, *some(30, 40 + k)]) for k, p in enumerate((short, short, fifty, fifty, long, long))] + [" \n".join(short), None, "", "É x"]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOCS)
+
+    def brute(t, at):
+        w, seen = list(re.finditer(r"[^\x20\x09-\x0D]+", t)), bytearray(len(t))
+        for i in range(len(w) - 50):
+            if at[tuple(x[0] for x in w[i : i + 51])] > 1:
+                seen[w[i].start() : w[i + 50].end()] = b"\1" * (w[i + 50].end() - w[i].start())
+        return "".join(c for c, s in zip(t, seen, strict=True) if not s)
+
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    at = Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    got = {r.doc_id: r.text for r in pipeline.suffix_dedup_stage(spark, df, DIR).collect()}
+    assert got == {k: t and brute(t, at) for k, t in enumerate(texts)}
+    assert got[0] != texts[0] and got[6] == "" and all(got[k] == texts[k] for k in (2, 3, 4, 5, 7, 8, 9))
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
