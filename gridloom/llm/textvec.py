@@ -7,9 +7,11 @@ word is a few numpy passes and no Python object is made per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 19  # a slice of rows holds about this many bytes; one longer text makes a slice of its own
@@ -20,8 +22,8 @@ _POW = [np.ones(1, U64), np.ones(1, U64)]
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +47,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_LONG = 512  # bytes of a string that are hashed side by side with others
+
+
+def string_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each data[start:end] of bytes: 8 bytes at a time are mixed in, so no two strings collide by their form.
+
+    Strings over _LONG bytes are few; a hash of their own stands for the rest of them.
+    """
+    v = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    length = end - start
+    h = mix(v[start] & _MASK[np.minimum(length, 8)] ^ length.astype(U64) * U64(0xD6E8FEB86659FD93))
+    rest, k = np.flatnonzero(length > 8), 8
+    while len(rest) and k < _LONG:
+        h[rest] = mix(h[rest] * U64(0xD1342543DE82EF95) + (v[start[rest] + k] & _MASK[np.minimum(length[rest] - k, 8)]))
+        k += 8
+        rest = rest[length[rest] > k]
+    for i in rest.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return h
+
+
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """C with C[j]-C[i] = sum of values[i:j] times powers; n+1 entries."""
     c = np.zeros(len(values) + 1, U64)
@@ -78,18 +102,18 @@ def slices(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 #: ASCII punctuation separates words too
-LOOSE = _SPACE.copy()
+LOOSE = SPACE.copy()
 LOOSE[:48] = LOOSE[58:65] = LOOSE[91:97] = LOOSE[123:128] = True
 
 
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some rows, A-Z lower-cased.
 
-    h: word hashes; row pointers: words ptr[r]:ptr[r+1] belong to row r;
+    h: word hashes, on demand; row pointers: words ptr[r]:ptr[r+1] belong to row r;
     start, end: byte positions in ``low``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         """space: for each byte value whether it separates words."""
         base = int(offsets[0])
         self.low = _LOWER[data[base : int(offsets[-1])]]
@@ -110,7 +134,10 @@ class Words:
             last[inner] = word[inner - 1]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last)
         self.ptr = np.searchsorted(self.start, self.off)
-        self.h = range_hash(prefix_hash(self.low), self.start, self.end) if n else np.zeros(0, U64)
+
+    @cached_property
+    def h(self) -> np.ndarray:
+        return string_hash(self.low, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:
@@ -151,7 +178,7 @@ class Words:
         keep[1:] = kind[1:] != kind[:-1]
         keep[self.start] = True
         rank = np.concatenate([[0], np.cumsum(keep)])
-        return range_hash(prefix_hash(kind[keep]), rank[self.start], rank[self.end])
+        return string_hash(kind[keep], rank[self.start], rank[self.end])
 
 
 _SHAPE = np.arange(256, dtype=np.uint8)

@@ -110,10 +110,36 @@ def brute_cut(texts, n):
 
 
 def test_op2(spark, docs):
-    got = {r.doc_id: tuple(r)[1:] for r in registry.queries()["op2_suffix_dedup"](spark, DIR).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in registry.queries()["op2_suffix_dedup"](spark, DIR).collect()}
     assert got == brute_cut({r.doc_id: (r.text or "").encode() for r in docs.collect()}, 400)
 
 
+def brute_passage_bytes(rows, length, n):
+    """Bytes in repeated strings of ``length`` bytes, or of n words and fewer bytes."""
+    windows = []
+    for t in rows:
+        w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        windows.append([(p, p + length) for p in range(len(t) - length + 1)] + [(w[i][0], w[i + n - 1][1]) for i in range(len(w) - n + 1) if w[i + n - 1][1] - w[i][0] < length])
+    count = Counter((b - a, t[a:b]) for t, ws in zip(rows, windows, strict=True) for a, b in ws)
+    return [len({p for a, b in ws if count[b - a, t[a:b]] > 1 for p in range(a, b)}) for t, ws in zip(rows, windows, strict=True)]
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_bytes": 3000, "memory": 2000}, {"memory": 20_000}])
+def test_op2_with_hot_anchors_and_shards_larger_than_memory(spark, tmp_path, how):
+    """Rows that share a doc_id or have none, passages among other words, repeats within a text."""
+    rnd = random.Random(12)
+    some = lambda n: " ".join(f"{rnd.choice('abcdefg')}{rnd.randrange(50)}" for _ in range(n))
+    hot, long, short = some(51), some(160), some(50)
+    texts = [f"{some(40)} {p} {some(30)}" for p in (hot, long, short, "\n".join(long.split())) for _ in range(12)] + [None, "", long, long + long, "x" * 900, "y" * 401, "é" * 500]
+    ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]
+    spark.createDataFrame(list(zip(ids, texts, texts, strict=True)), "doc_id long, text string, n_bytes string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [(t or "").encode() for t in texts]
+    want = list(zip(*([w[k] for w in brute_cut(dict(enumerate(raw)), 400).values()] for k in range(4)), brute_passage_bytes(raw, 400, 51), strict=True))
+    got = sub.op2(spark, str(tmp_path), **how).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *w) for i, w in zip(ids, want, strict=True))
+    assert sum(w[4] > w[1] for w in want) >= 12
+
+
 def test_substring_dedup_of_periodic_and_odd_texts(spark, odd, empty):
     rnd = random.Random(1)
     bits = ["".join(rnd.choice("ab") for _ in range(30)) for _ in range(6)]

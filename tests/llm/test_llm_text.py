@@ -3,6 +3,7 @@
 import base64
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as PT
@@ -55,33 +56,49 @@ def brute_suffixes(x):
 
 
 @settings(max_examples=120, deadline=None)
-@given(st.lists(st.integers(0, 2), max_size=40), st.booleans(), st.sampled_from([5, 1 << 20]))
-def test_suffixes_and_shared_prefixes(x, twice, memory):
+@given(st.lists(st.integers(0, 2), max_size=40), st.booleans(), st.sampled_from([3, 5, 1 << 20]), st.sampled_from([3, 1000]))
+def test_suffixes_and_shared_prefixes(x, twice, memory, cap):
     x = x + x if twice else x
-    got = list(suffix.suffixes(np.array(x, np.int64), 1000, memory))
-    pos = np.concatenate([a[::-1] for a, _ in got])[::-1].tolist()
-    shared = np.concatenate([b[::-1] for _, b in got])[::-1].tolist()
-    assert (pos, shared) == brute_suffixes(x)
+    got = list(suffix.suffixes(np.array(x, np.int64), cap, memory))
+    pos, shared = (np.concatenate([y[k] for y in got]).tolist() for k in (0, 1))
+    order, least = brute_suffixes(x)
+    assert (pos[::-1], shared) == (order, [min(s, cap) for s in [0, *least[1:][::-1]]])
+
+
+@pytest.mark.parametrize("memory", [50, 500, 1 << 20])
+def test_suffixes_through_recursion(memory):
+    """Thousands of names, periods and repeats, so that names recurse and queues spill."""
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.integers(0, 26, 2500), np.tile(rnd.integers(0, 5, 40), 20), np.zeros(200, int), rnd.integers(0, 2, 500)]).astype(np.uint8)
+    x = np.concatenate([x, x[300:1800]])
+    got = list(suffix.suffixes(x, 400, memory))
+    pos, shared = (np.concatenate([y[k] for y in got]).tolist() for k in (0, 1))
+    order, least = brute_suffixes(x.tolist())
+    assert (pos[::-1], shared) == (order, [min(s, 400) for s in [0, *least[1:][::-1]]])
 
 
 def test_queue_spills_in_order():
     q = suffix.SymbolQueue(3)
     for k in range(10):
         q.push(k % 2, np.array([k]), np.array([k * 10]))
-    assert q.runs and q.pop(1)[0].tolist() == [1, 3, 5, 7, 9] and q.pop(0)[1].tolist() == [0, 20, 40, 60, 80]
+    assert q.runs
+    assert np.concatenate([p for p, _ in q.pop(1)]).tolist() == [1, 3, 5, 7, 9]
+    assert np.concatenate([v[::-1] for _, v in q.pop(0, newest_first=True)]).tolist() == [80, 60, 40, 20, 0]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab", min_size=12, max_size=40), min_size=1, max_size=6))
-def test_repeated_windows(ts):
-    raw = [t.encode() for t in ts]
-    n = 8
-    count = {}
-    for b in raw:
-        for p in range(len(b) - n + 1):
-            count[b[p : p + n]] = count.get(b[p : p + n], 0) + 1
-    for b, runs in zip(raw, sub.repeated(raw, np.zeros(len(raw), bool), n, 16), strict=True):
-        assert [p for a, e in runs for p in range(a, e + 1)] == [p for p in range(len(b) - n + 1) if count[b[p : p + n]] > 1]
+@given(st.lists(st.text(alphabet="ab ", min_size=12, max_size=40), min_size=1, max_size=6), st.sampled_from([6, 16, 1 << 20]))
+def test_repeated_windows(ts, memory):
+    raw, n, words = [t.encode() for t in ts], 8, 3
+    spots = [[(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", b)] for b in raw]
+    two = [[(w[i][0], w[i + 2][1]) for i in range(len(w) - 2) if w[i + 2][1] - w[i][0] < n] for w in spots]
+    count = Counter(b[p : p + n] for b in raw for p in range(len(b) - n + 1))
+    count_two = Counter(b[x:y] for b, ws in zip(raw, two, strict=True) for x, y in ws)
+    shape = np.array([len(b) | (len(b) - n) << 20 | (ws[0][0] << 30 | ws[-1][0] << 40 | ws[-1][1] << 50 if ws else 1023 << 30 | 1023 << 40 | 1023 << 50) for b, ws in zip(raw, two, strict=True)])
+    for b, ws, (one, more) in zip(raw, two, sub.repeated(raw, shape, np.zeros(len(raw), bool), n, words, memory), strict=True):
+        covered = {q for p in range(len(b) - n + 1) if count[b[p : p + n]] > 1 for q in range(p, p + n)}
+        assert {q for x, y in zip(one[::2], one[1::2], strict=True) for q in range(x, y)} == covered
+        assert list(zip(more[::2], more[1::2], strict=True)) == [(x, y) for x, y in ws if count_two[b[x:y]] > 1]
 
 
 @pytest.fixture(scope="module")
@@ -184,8 +201,24 @@ def test_rotation_is_orthogonal():
 
 def test_anchors_in_pieces_cover_the_same_windows():
     rnd = np.random.default_rng(3)
-    x = rnd.integers(97, 100, 900).astype(np.uint8)
-    off = np.array([0, 900])
-    whole, cut = (sub.anchors(x, off, 40, 16, p) for p in (1 << 20, 100))
-    of = lambda t: {p: h for h, a, b in zip(t[1].tolist(), t[3].tolist(), t[4].tolist(), strict=True) for p in range(a, b + 1)}
-    assert of(whole) == of(cut) and len(of(cut)) == 861
+    x = rnd.integers(97, 100, 1500).astype(np.uint8)
+    x[rnd.random(1500) < 0.25] = 32
+    x[200:300] = 97
+    off = np.array([0, 1500])
+
+    def windows(piece):
+        """The anchor of every window of 40 bytes and of 8 words, by its start; each window once."""
+        out = {}
+        for _, s, f in sub._pieces(x, off, 40, 8, 12, True, piece):
+            for a, shape, h in zip((f.lo + s).tolist(), f.shape.tolist(), f.anchor.tolist(), strict=True):
+                part = [shape >> 10 * k & 1023 for k in range(6)]
+                raw = np.concatenate([[32], x[a : a + part[0]], [32]]).astype(np.uint8)
+                two = sub.word_windows(raw, np.array([1]), np.array([shape]), 40, 8)[0] - 1
+                for kind, at in ((0, range(part[1], part[2] + 1) if part[1] != 1023 else ()), (1, two.tolist())):
+                    for p in at:
+                        assert (kind, a + p) not in out
+                        out[kind, a + p] = h
+        return out
+
+    whole = windows(1 << 20)
+    assert whole == windows(100) == windows(333) and sum(k == 0 for k, _ in whole) == 1461 and sum(k == 1 for k, _ in whole) > 50
