@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, decontaminate, neardup, quality, substring_dedup
 from gridloom.llm.common import materialize, table
 
-#: Words of a repeated passage, and of the anchors that find it.
-PASSAGE_WORDS, PASSAGE_GRAM = 51, 20
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.select(docs, table(spark, sf_dir, "labels"), fit_on=table(spark, sf_dir, "documents"))
@@ -30,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.dedup_words(docs, PASSAGE_WORDS, PASSAGE_GRAM)
+    cut = substring_dedup.dedup_words(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
