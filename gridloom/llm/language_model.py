@@ -1,8 +1,9 @@
 """LM scoring with a probabilistic suffix tree.
 
-States are contexts of one or two words. A context is a candidate if it occurs 2 * FLOOR times at
-least, a continuation is stored in a state if it occurs there FLOOR times at least: fixed counts,
-so the tree grows with the corpus. (``entry`` and ``context`` of ``learn`` raise them to shares of the tokens.)
+States are contexts of one to DEPTH words. A context is a candidate if it occurs ``least`` times at
+least, a continuation is stored in a state if it occurs there ``floor`` times at least: fixed counts,
+so the tree grows with the corpus. Contexts are lengthened by a word a level: only continuations of
+candidates are counted, and a level without candidates ends the growth.
 A candidate is retained if its next-symbol distribution diverges from that of its suffix: the
 Kullback-Leibler divergence over the stored continuations and the rest, times the context's count, must
 reach GAIN nats a symbol and half a logarithm of the count for each stored continuation. Suffixes of
@@ -13,11 +14,12 @@ P(w | s) = (n(s, w) + (R + MU) * P(w | suffix of s)) / (n(s) + MU); the root is
 (c + 0.1) / (N + 0.1 * (V + 1)), unseen words being one symbol. Each distribution sums to one.
 A token is scored in the longest retained suffix of its history; a history starts with its document.
 
-The tree is a written table. Logarithms make a score a sum of one term for each word, pair and triple of
-a document: ``back`` of a retained context, log10((R + MU) / (n(s) + MU)), falls on the token after it,
-``gain`` of a stored continuation is what its probability exceeds that sum by. So scoring is one
-join by hashed n-gram. The hottest part, shares of HOT of the tokens and more, is broadcast and looked up
-in place: it is bounded, and no key that many rows share is left to the join. N-grams that are in no
+The tree is a written table of n-grams by key, a hash of (key of the context, key of the n-gram without its first
+word). Logarithms make a score a sum of one term for each n-gram of a document up to DEPTH + 1 words:
+``back`` of a retained context, log10((R + MU) / (n(s) + MU)), falls due with each occurrence of it
+(a token follows it, as only the end has none), ``gain`` of a stored continuation is what its probability exceeds that sum by. So scoring is one
+join by key. The hottest part, shares of HOT of the tokens and more, is broadcast and looked up
+in place: it has 1 / HOT n-grams of a length at most, and no key that many rows share is left to the join. N-grams that are in no
 table are mostly kept out of shuffles by a bit set of fixed size, which may pass some but drops none that counts.
 
 Null or empty text is one end token. Rows that repeat a doc_id are scored each. Extra columns are ignored.
@@ -31,41 +33,54 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as tv
-from gridloom.llm.common import doc_texts, fold_id, materialize
+from gridloom.llm.common import doc_texts, drop, fold_id, materialize
 
-FLOOR, MU, GAIN = 2, 2.0, 0.005
-HOT = 2.0**-21
+DEPTH, LEAST, FLOOR, MU, GAIN = 4, 16, 4, 2.0, 0.005
+HOT = 2.0**-20
 BITS = 27  # of a bit set's size
 END = np.uint64(0xE17D0F5EED0F7E87)
-HELD = 1 << 20  # keys a counting task holds before it compacts them
+HELD = 1 << 19  # keys a counting task holds before it compacts them
 NO = np.int64(-1)
 
 
+class Lookup:
+    """Positions of keys in a sorted table, by slots of their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, n = keys, len(keys)
+        bits = max(4, n.bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), n).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 if it isn't there."""
+        out = np.full(len(keys), NO)
+        slot = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            out[left[hit]] = here[hit]
+            at[left] += 1
+            left = left[~hit & (at[left] < end[left])]
+        return out
+
+
 @dataclass
 class Tree:
-    """The hot part. word: sorted hashes; root: their log10 root probabilities; back: as contexts. gram: sorted keys of
-    pairs and triples; gain, gram_back: their terms. state: the retained contexts of each order. seen: bit set of the other pairs and triples."""
+    """The hot part. word: its words, with their root terms; gram: its n-grams, words included, with their terms; seen: bit set of all n-grams of two words and more."""
 
-    word: np.ndarray
+    word: Lookup
     root: np.ndarray
-    back: np.ndarray
-    gram: np.ndarray
-    gain: np.ndarray
-    gram_back: np.ndarray
-    state: list[np.ndarray]
+    gram: Lookup
+    more: np.ndarray
     seen: np.ndarray
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Position of each key in a sorted table, -1 if it isn't there."""
-    if not len(table):
-        return np.full(len(keys), NO)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, NO)
+    depth: int
 
 
 def tokens(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -80,34 +95,20 @@ def tokens(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, ptr
 
 
-def before(h: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token k places before each token, whether it is in the row)."""
-    place = np.arange(len(h)) - np.repeat(ptr[:-1], np.diff(ptr))
-    return np.concatenate([h[:k], h[: max(0, len(h) - k)]])[: len(h)], place >= k
-
-
-def _turn(x: np.ndarray, k: int) -> np.ndarray:
-    return x << np.uint64(k) | x >> np.uint64(64 - k)
-
+def gram_key(context: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Key of an n-gram from those of its context and of itself without its first word."""
+    return tv.mix(context * np.uint64(0x9FB21C651E98DF25) ^ rest)
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _turn(v, 21) ^ w
 
-
-def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _turn(u, 42) ^ pair_key(v, w)
-
-
-def _turned(c: str, k: int) -> Column:
-    return F.shiftleft(c, k).bitwiseOR(F.shiftrightunsigned(c, 64 - k))
-
-
-def _pair(v: str, w: str) -> Column:
-    return _turned(v, 21).bitwiseXOR(F.col(w))
-
-
-def _triple(u: str, v: str, w: str) -> Column:
-    return _turned(u, 42).bitwiseXOR(_pair(v, w))
+def gram_keys(h: np.ndarray, ptr: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(token, key, context, rest) of the n-grams of 2 to ``order`` words that end with each token."""
+    key, place = h, np.arange(len(h)) - np.repeat(ptr[:-1], np.diff(ptr))
+    for k in range(2, order + 1):
+        at = np.flatnonzero(place >= k - 1)
+        context, rest = key[at - 1], key[at]
+        key = key.copy()
+        key[at] = gram_key(context, rest)
+        yield at, key[at], context, rest
 
 
 def bit_set(keys: DataFrame) -> np.ndarray:
@@ -129,200 +130,212 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _compact(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Key columns and count of the distinct keys; the first column tells keys apart."""
+    cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.argsort(cols[0])
+    key = cols[0][order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    return [*(c[order[first]] for c in cols[:-1]), np.add.reduceat(cols[-1][order], first) if len(key) else cols[-1]]
+
+
 def _counted(docs: DataFrame, order: int, contexts: np.ndarray | None = None) -> DataFrame:
-    """(words of the n-gram, n): how often each n-gram occurs, pre-aggregated in the tasks; ``contexts``: bit set of the contexts that count."""
-    names = ["u", "v", "w"][3 - order :]
+    """(key, n) of the words, or (context, rest, n) of the n-grams whose context may be in the bit set ``contexts``; pre-aggregated in the tasks."""
+    names = ["key"] if order == 1 else ["context", "rest"]
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def grams(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
-        """The key and the words of each n-gram."""
         if order == 1:
-            return [h, h]
-        v, ok = before(h, ptr, 1)
-        if order == 2:
-            at = np.flatnonzero(ok)
-            at = at[maybe(shared.value, v[at])]
-            return [pair_key(v[at], h[at]), v[at], h[at]]
-        u, ok = before(h, ptr, 2)
-        at = np.flatnonzero(ok)
-        at = at[maybe(shared.value, pair_key(u[at], v[at]))]
-        return [triple_key(u[at], v[at], h[at]), u[at], v[at], h[at]]
+            return [h]
+        for _, key, context, rest in gram_keys(h, ptr, order):  # the last is the longest
+            pass
+        k = np.flatnonzero(maybe(shared.value, context))
+        return [key[k], context[k], rest[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
-        def compact(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-            """Key, words and count of the distinct keys."""
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            key, first, inv = np.unique(cols[0], return_index=True, return_inverse=True)
-            return [key, *(c[first] for c in cols[1:-1]), np.bincount(inv, cols[-1], len(key)).astype(np.int64)]
-
         def out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(x[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[k : k + 100_000].view(np.int64)) for c in x[1:])], [*names, "n"])
+            for k in range(0, len(x[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000].view(np.int64)) for c in x[-len(names) - 1 :]], [*names, "n"])
 
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
             for i, j in tv.slices(off):
                 g = grams(*tokens(tv.Words(data, off[i : j + 1])))
-                held.append(compact([[*g, np.ones(len(g[0]), np.int64)]]))
+                held.append(_compact([[*g, np.ones(len(g[0]), np.int64)]]))
                 size += len(held[-1][0])
                 if size > 2 * HELD:
-                    held = [compact(held)]
+                    held = [_compact(held)]
                     size = len(held[0][0])
                     if size > HELD:
                         yield from out(held[0])
                         held, size = [], 0
         if held:
-            yield from out(compact(held))
+            yield from out(_compact(held))
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def _diverging(rows: DataFrame, of: list[str], parent_p: str) -> DataFrame:
-    """(of, c, rest, keep): each state of the stored continuations (of, c, n, parent_p) and whether it passes the divergence test."""
-    sums = rows.groupBy(*of).agg(
-        F.first("c").alias("c"), F.sum("n").alias("stored"), F.sum(parent_p).alias("covered"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") / F.col("c") / F.col(parent_p))).alias("gain")
-    )
-    rest = F.col("c") - F.col("stored")
-    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("c") / F.greatest(1 - F.col("covered"), F.lit(1e-9)))).otherwise(0.0)
-    keep = (gain >= GAIN * F.col("c")) & (gain >= 0.5 * F.col("k") * F.log(F.greatest(F.col("c"), F.lit(2))))
-    return sums.select(*of, F.col("c"), rest.alias("rest"), keep.alias("keep"))
+def _with_key(grams: DataFrame) -> DataFrame:
+    """``grams`` (context, rest, n) with their key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, r = (batch.column(x).to_numpy().view(np.uint64) for x in ("context", "rest"))
+            yield batch.append_column("key", pa.array(gram_key(c, r).view(np.int64)))
 
-def _arrays(df: DataFrame) -> list[np.ndarray]:
-    """The columns of a bounded table, sorted by the first as an unsigned number."""
-    t = df.toArrow()
-    cols = [t.column(c).to_numpy() if t.num_rows else np.zeros(0, np.float64 if i else np.int64) for i, c in enumerate(t.column_names)]
-    key = cols[0].view(np.uint64)
-    order = np.argsort(key)
-    return [key[order], *(c[order] for c in cols[1:])]
+    return grams.mapInArrow(run, "context long, rest long, n long, key long")
 
 
-def learn(training: DataFrame, entry: float = 0.0, context: float = 0.0) -> tuple[Tree, DataFrame, int, int]:
-    """(hot tree, table (key, known, root, more) of what is not in it, N, V) from the texts of ``training``."""
-    spark = training.sparkSession
+def _diverging(rows: DataFrame) -> DataFrame:
+    """(context, c, left, keep): each state of the stored continuations (context, c, n, q), the rest of its count and whether it passes the divergence test."""
+    sums = rows.groupBy("context").agg(
+        F.first("c").alias("c"), F.sum("n").alias("stored"), F.sum("q").alias("covered"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") / F.col("c") / F.col("q"))).alias("gain")
+    )
+    left = F.col("c") - F.col("stored")
+    gain = F.col("gain") + F.when(left > 0, left * F.log(left / F.col("c") / F.greatest(1 - F.col("covered"), F.lit(1e-9)))).otherwise(0.0)
+    keep = (gain >= GAIN * F.col("c")) & (gain >= 0.5 * F.col("k") * F.log(F.greatest(F.col("c"), F.lit(2))))
+    return sums.select("context", F.col("c"), left.alias("left"), keep.alias("keep"))
+
+
+def grow(training: DataFrame, words: DataFrame, floor: int, least: int, depth: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(continuations (key, context, rest, n, q, p), states (context, c, left, keep)) of each level; q: probability in the suffix, p: in the state."""
+    levels = []
+    shorter = words.select("key", "n", "p")
+    for order in range(2, depth + 2):
+        contexts = shorter.filter(F.col("n") >= least).select(F.col("key").alias("context"), F.col("n").alias("c"))
+        bits = bit_set(contexts.select(F.col("context").alias("key")))
+        if not bits.any():
+            break
+        counted = materialize(_with_key(_counted(training, order, bits).filter(F.col("n") >= floor)), "counted")
+        rows = counted.join(shorter.select(F.col("key").alias("rest"), F.col("p").alias("q")).hint("merge"), "rest").join(contexts.hint("merge"), "context")
+        rows = materialize(rows.select("key", "context", "rest", "n", "q", "c"), "rows")
+        states = materialize(_diverging(rows), "states")
+        p = (F.col("n") + (F.col("left") + MU) * F.col("q")) / (F.col("c") + MU)
+        grams = materialize(rows.drop("c").join(states.hint("merge"), "context").select("key", "context", "rest", "n", "q", p.alias("p")), "level")
+        drop(counted, rows)
+        levels.append((grams, states))
+        shorter = grams.select("key", "n", "p")
+    return levels
+
+
+def learn(training: DataFrame, floor: int = FLOOR, least: int = LEAST, depth: int = DEPTH, hot: float = HOT) -> tuple[Tree, DataFrame, int, int]:
+    """(hot tree, table (key, root, more) of what is not in it, N, V) from the texts of ``training``; root is null but for words."""
     words = materialize(_counted(training, 1), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, least_context, hot = max(FLOOR, entry * total), max(2 * FLOOR, context * total), HOT * total
-    end = int(np.array([END]).view(np.int64)[0])
-    p0 = (F.col("n") + 0.1) / F.lit(total + 0.1 * (kinds + 1))
-    states = words.filter((F.col("n") >= least_context) & (F.col("w") != end)).select(F.col("w").alias("v"), F.col("n").alias("c"))
-    pairs = materialize(_counted(training, 2, bit_set(states.select(F.col("v").alias("key")))).filter(F.col("n") >= least), "pairs")
-    one = pairs.join(states.hint("merge"), "v").join(words.select("w", p0.alias("p0")).hint("merge"), "w")
-    one = materialize(one.select("v", "w", "n", "c", "p0"), "pairs_p")
-    tests = materialize(_diverging(one, ["v"], "p0"), "states1")
-    p1 = (F.col("n") + (F.col("rest") + MU) * F.col("p0")) / (F.col("c") + MU)
-    one = materialize(one.drop("c").join(tests.hint("merge"), "v").select("v", "w", "n", "p0", p1.alias("p1")), "pairs_q")
-    contexts = one.filter((F.col("n") >= least_context) & (F.col("w") != end)).select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("n").alias("c"))
-    two = _counted(training, 3, bit_set(contexts.select(_pair("u", "v").alias("key")))).filter(F.col("n") >= least)
-    two = two.join(contexts.hint("merge"), ["u", "v"]).join(one.select("v", "w", "p1").hint("merge"), ["v", "w"])
-    two = materialize(two.select("u", "v", "w", "n", "c", "p1"), "triples")
-    back = F.log10((F.col("rest") + MU) / (F.col("c") + MU))
-    kept2 = materialize(_diverging(two, ["u", "v"], "p1").filter("keep").select("u", "v", "c", "rest", back.alias("back")), "states2")
-    forced = kept2.select("v").distinct().withColumn("forced", F.lit(True))
-    kept1 = materialize(tests.join(forced.hint("merge"), "v", "left").filter("keep OR forced").select("v", back.alias("back")), "kept1")
-    gain2 = F.when(F.col("back").isNotNull(), F.log10("p1") - F.col("back") - F.log10("p0"))
-    grams2 = one.join(kept1.hint("merge"), "v", "left").select("v", "w", "n", gain2.alias("gain"))
-    grams2 = grams2.join(kept2.select(F.col("u").alias("v"), F.col("v").alias("w"), "back").hint("merge"), ["v", "w"], "left").filter("gain IS NOT NULL OR back IS NOT NULL")
-    p2 = (F.col("n") + (F.col("rest") + MU) * F.col("p1")) / (F.col("c") + MU)
-    grams3 = two.drop("c").join(kept2.hint("merge"), ["u", "v"])
-    zero = F.lit(0.0)
-    grams = grams2.select(_pair("v", "w").alias("key"), "n", F.coalesce("gain", zero).alias("gain"), F.coalesce("back", zero).alias("back"), F.col("back").isNotNull().alias("state")).unionByName(
-        grams3.select(_triple("u", "v", "w").alias("key"), "n", (F.log10(p2) - F.col("back") - F.log10("p1")).alias("gain"), zero.alias("back"), F.lit(False).alias("state"))
-    )
-    grams = materialize(grams, "grams")
-    table = words.withColumnRenamed("w", "v").join(kept1.hint("merge"), "v", "left")
-    table = materialize(table.select(F.col("v").alias("key"), "n", F.log10(p0).alias("root"), F.coalesce("back", zero).alias("back"), F.col("back").isNotNull().alias("state")), "table")
-    word, root, word_back, is_state = _arrays(table.filter(F.col("n") >= hot).select("key", "root", "back", F.col("state").cast("double")))
-    gram, gain, gram_back, is_pair_state = _arrays(grams.filter(F.col("n") >= hot).select("key", "gain", "back", F.col("state").cast("double")))
-    cold = grams.filter(F.col("n") < hot)
-    tree = Tree(word, root, word_back, gram, gain, gram_back, [word[is_state > 0], gram[is_pair_state > 0]], bit_set(cold.select("key")))
-    rest = table.filter(F.col("n") < hot).select("key", F.lit(1).alias("known"), "root", (F.col("root") + F.col("back")).alias("more"))
-    return tree, rest.unionByName(cold.select("key", F.lit(0).alias("known"), zero.alias("root"), (F.col("gain") + F.col("back")).alias("more"))), total, kinds
+    words = words.withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (kinds + 1)))
+    levels = grow(training, words, floor, least, depth)
+    back = F.log10((F.col("left") + MU) / (F.col("c") + MU))
+    nothing = F.lit(None).cast("double")
+    parts = [words.select("key", "n", F.log10("p").alias("root"), F.log10("p").alias("more"))]
+    forced = None
+    for k in reversed(range(len(levels))):
+        grams, states = levels[k]
+        if forced is not None:
+            states = states.join(forced.hint("merge"), "context", "left").withColumn("keep", F.col("keep") | F.coalesce("forced", F.lit(False)))
+        kept = materialize(states.filter("keep").select("context", "c", back.alias("back")), "kept")
+        parts.append(kept.select(F.col("context").alias("key"), F.col("c").alias("n"), nothing.alias("root"), F.col("back").alias("more")))
+        gain = F.log10("p") - F.col("back") - F.log10("q")
+        parts.append(grams.join(kept.hint("merge"), "context").select("key", "n", nothing.alias("root"), gain.alias("more")))
+        if k:
+            shorter = levels[k - 1][0].select(F.col("key").alias("context"), "rest")
+            forced = kept.join(shorter.hint("merge"), "context").select(F.col("rest").alias("context")).distinct().withColumn("forced", F.lit(True))
+    table = parts[0]
+    for x in parts[1:]:
+        table = table.unionByName(x)
+    table = materialize(table.groupBy("key").agg(F.max("n").alias("n"), F.max("root").alias("root"), F.sum("more").alias("more")), "table")
+    drop(words, *(x for level in levels for x in level))
+    hottest = table.filter(F.col("n") >= max(1.0, hot * total)).select("key", "root", "more").toArrow()
+    key = hottest.column("key").to_numpy().view(np.uint64) if hottest.num_rows else np.zeros(0, np.uint64)
+    order = np.argsort(key)
+    root, more = (hottest.column(c).to_numpy()[order].astype(np.float64) if len(key) else np.zeros(0) for c in ("root", "more"))
+    key, is_word = key[order], ~np.isnan(root)
+    seen = bit_set(table.filter("root IS NULL").select("key"))
+    tree = Tree(Lookup(key[is_word]), root[is_word], Lookup(key), more, seen, len(levels))
+    return tree, table.filter(F.col("n") < max(1.0, hot * total)).select("key", "root", "more"), total, kinds
 
 
 def _terms(h: np.ndarray, ptr: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids, root part, score part) of the tokens in log10 as far as the hot tree has them; (token, key) of the pairs and triples that the table may hold."""
-    w = find(tree.word, h)
-    root = np.where(w >= 0, tree.root[w], 0.0) if len(tree.word) else np.zeros(len(h))
-    full = root.copy()
-    where, keys = [], []
-    if len(tree.word):
-        back = np.where(w >= 0, tree.back[w], 0.0)
-        full[1:] += back[:-1] * (h[:-1] != END)
-    v, has_v = before(h, ptr, 1)
-    u, has_u = before(h, ptr, 2)
-    for order, (key, ok) in enumerate(((pair_key(v, h), has_v), (triple_key(u, v, h), has_u))):
-        at = np.flatnonzero(ok)
-        k = find(tree.gram, key[at])
-        hit, at_hit = k[k >= 0], at[k >= 0]
-        full[at_hit] += tree.gain[hit]
-        if order == 0:
-            on = (h[at_hit] != END) & (at_hit + 1 < len(h))
-            full[at_hit[on] + 1] += tree.gram_back[hit[on]]
-        miss = at[k < 0]
-        miss = miss[maybe(tree.seen, key[miss])]
-        where.append(miss)
-        keys.append(key[miss])
+    """(word ids, root part, score part) of the tokens in log10 as far as the hot tree has them; (token, key) of the n-grams that the table may hold."""
+    w = tree.word.find(h)
+    root = np.where(w >= 0, tree.root[w], 0.0) if len(tree.root) else np.zeros(len(h))
+    full = np.zeros(len(h))
+    where, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for order, (at, key) in enumerate(((np.arange(len(h)), h), *((a, k) for a, k, _, _ in gram_keys(h, ptr, tree.depth + 1)))):
+        if order:
+            k = np.flatnonzero(maybe(tree.seen, key))
+            at, key = at[k], key[k]
+        k = tree.gram.find(key)
+        hit = np.flatnonzero(k >= 0)
+        full[at[hit]] += tree.more[k[hit]]
+        if order:
+            miss = np.flatnonzero(k < 0)
+            where.append(at[miss])
+            keys.append(key[miss])
     return w, root, full, np.concatenate(where), np.concatenate(keys)
 
 
-def log_terms(h: np.ndarray, ptr: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids, root part, score part) of the tokens in log10; a word that isn't hot lacks its root term."""
-    return _terms(h, ptr, tree)[:3]
-
-
-def _lists(row: np.ndarray, key: np.ndarray, rows: int) -> list[pa.Array]:
-    """The distinct keys of each row and how often each occurs."""
+def _lists(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, how often) of the distinct keys of each row."""
     order = np.lexsort((key, row))
     r, x = row[order], key[order]
     first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])])) if len(r) else np.zeros(0, int)
-    tf = np.diff(np.append(first, len(r)))
-    cut = np.searchsorted(r[first], np.arange(rows + 1))
-    return [pa.LargeListArray.from_arrays(pa.array(cut, pa.int64()), pa.array(y)).cast(pa.list_(pa.int64())) for y in (x[first].view(np.int64), tf.astype(np.int64))]
+    return r[first], x[first], np.diff(np.append(first, len(r)))
+
+
+#: Kinds of the rows of a scoring pass: n-grams, words, the row's id with base sum and tokens, its score sum and known tokens, a row without id
+GRAM, WORD, BASE, SUM, NO_ID = range(5)
 
 
 def score(docs: DataFrame, tree: Tree, table: DataFrame, total: int, kinds: int) -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (row, doc_id, held_out, text)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (row, doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
+            row_id, doc_id = batch.column("row").to_numpy(), batch.column("doc_id")
             for i, j in tv.slices(off):
                 h, ptr = tokens(tv.Words(data, off[i : j + 1]))
                 w, root, full, at, key = _terms(h, ptr, t)
-                row = np.repeat(np.arange(j - i), np.diff(ptr))
+                row, mine, ids = np.repeat(np.arange(j - i), np.diff(ptr)), row_id[i:j], doc_id.slice(i, j - i)
                 rare = np.flatnonzero(w < 0)
                 known = np.diff(ptr) - np.bincount(row[rare], minlength=j - i)
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(ptr).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(tv.row_sums(root, ptr)), pa.array(tv.row_sums(full, ptr))]
-                    + _lists(row[rare], h[rare], j - i) + _lists(row[at], key, j - i),
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "sums", "rare", "tf", "gram", "gram_tf"],
-                )
-
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, sums double, rare array<long>, tf array<long>, gram array<long>, gram_tf array<long>"
-    local = materialize(docs.mapInArrow(run, kind), "scores")
-    rare = local.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.tf").alias("tf"), F.lit(1).alias("known"))
-    grams = local.select("row", F.explode(F.arrays_zip("gram", "gram_tf")).alias("x")).select("row", F.col("x.gram").alias("key"), F.col("x.gram_tf").alias("tf"), F.lit(0).alias("known"))
-    unseen = F.when(F.col("known") == 1, F.log10(F.lit(0.1) / F.lit(total + 0.1 * (kinds + 1)))).otherwise(0.0)
-    found = rare.unionByName(grams).join(table.hint("merge"), ["key", "known"], "left").groupBy("row").agg(
-        F.sum(F.col("tf") * F.coalesce("root", unseen)).alias("root"), F.sum(F.col("tf") * F.coalesce("more", unseen)).alias("more"), F.sum(F.when(F.col("root").isNotNull(), F.col("tf") * F.col("known")).otherwise(0)).alias("seen")
-    )
-    zero = F.lit(0.0)
-    return local.join(found.hint("merge"), "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("root", zero)).alias("base_score"), (F.col("sums") + F.coalesce("more", zero)).alias("score"),
+                lists = [_lists(row[rare], h[rare]), _lists(row[at], key)]
+                no_id = ids.is_null().to_numpy(zero_copy_only=False)
+                own = np.where(no_id, mine, ids.fill_null(0).to_numpy())
+                rows = [mine[r] for r, _, _ in lists] + [mine, mine]
+                keys = [k.view(np.int64) for _, k, _ in lists] + [own, mine]
+                tf = [n for _, _, n in lists] + [np.diff(ptr), known]
+                kind = [np.full(len(lists[0][0]), WORD), np.full(len(lists[1][0]), GRAM), np.where(no_id, NO_ID, BASE), np.full(j - i, SUM)]
+                value = [np.zeros(len(lists[0][0]) + len(lists[1][0])), tv.row_sums(root, ptr), tv.row_sums(full, ptr)]
+                cols = [np.concatenate(rows), np.concatenate(keys), np.concatenate(tf).astype(np.int32), np.concatenate(kind).astype(np.int8), np.concatenate(value)]
+                for k in range(0, len(cols[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in cols], ["row", "key", "tf", "kind", "value"])
+
+    parts = docs.mapInArrow(run, "row long, key long, tf int, kind byte, value double")
+    kind, unseen = F.col("kind"), F.log10(F.lit(0.1) / F.lit(total + 0.1 * (kinds + 1)))
+    about, gram, word = kind.isin(BASE, NO_ID), kind == GRAM, kind == WORD
+    found = parts.join(table.hint("merge"), "key", "left").groupBy("row").agg(
+        F.max(F.when(kind == BASE, F.col("key"))).alias("doc_id"),
+        F.sum(F.when(about, F.col("tf")).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when((kind == SUM) | word & F.col("root").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(about, F.col("value")).when(word, F.col("tf") * F.coalesce("root", unseen)).otherwise(0.0)).alias("base_score"),
+        F.sum(F.when(kind == SUM, F.col("value")).when(word, F.col("tf") * F.when(F.col("root").isNull(), unseen).otherwise(F.col("more"))).when(gram, F.col("tf") * F.coalesce("more", F.lit(0.0))).otherwise(0.0)).alias("score"),
     )
+    return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def held_out():
+    """Whether the model doesn't learn from a document; one without doc_id is learnt from."""
+    return F.coalesce(fold_id(F.col("doc_id")) % 10 == 0, F.lit(False))
 
 
 def op6(spark: SparkSession, sf_dir: str, **how: float) -> DataFrame:
     """Base and suffix-tree scores of every document."""
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = doc_texts(raw).withColumn("held_out", F.coalesce(fold_id(F.col("doc_id")) % 10 == 0, F.lit(False)))
-    tree, table, total, kinds = learn(docs.filter("NOT held_out").select("text"), **how)
+    docs = doc_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    tree, table, total, kinds = learn(docs.filter(~held_out()).select("text"), **how)
     return score(docs.withColumn("row", F.monotonically_increasing_id()), tree, table, total, kinds)

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from gridloom.llm import ann, bpe, chat, decontaminate, graph, html_text, language_model, neardup, quality, registry, sharding
 from gridloom.llm import substring_dedup as sub
 
-from tests_llm_support import log_prob
-
 DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -243,46 +241,80 @@ def test_sharding(spark, docs, odd, empty, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
-@pytest.mark.parametrize("how", [{}, {"entry": 0.002, "context": 0.004}])
+def brute_tree(train, floor, least, depth):
+    """log10 P(word | history) of the suffix tree over token lists, by definition."""
+    mu, rate = language_model.MU, language_model.GAIN
+    grams = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, depth + 2)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    root = lambda w: (grams[0][(w,)] + 0.1) / (n + 0.1 * (v + 1))
+    probs, states = {g: root(g[0]) for g in grams[0]}, {}
+    for k in range(1, depth + 1):
+        stored = {}
+        for g, m in grams[k].items():
+            if m >= floor and grams[k - 1][g[:-1]] >= least:
+                stored.setdefault(g[:-1], {})[g[-1]] = m
+        for s, ms in stored.items():
+            c, q = grams[k - 1][s], {w: probs[(*s[1:], w)] for w in ms}
+            left = c - sum(ms.values())
+            gain = sum(m * math.log(m / c / q[w]) for w, m in ms.items()) + (left * math.log(left / c / max(1 - sum(q.values()), 1e-9)) if left else 0)
+            probs |= {(*s, w): (m + (left + mu) * q[w]) / (c + mu) for w, m in ms.items()}
+            states[s] = c, left, ms, gain >= rate * c and gain >= 0.5 * len(ms) * math.log(max(c, 2))
+    kept = {s[i:] for s, x in states.items() if x[3] for i in range(len(s))}
+
+    def log_p(history, w):
+        p = root(w)
+        for k in range(1, depth + 1):
+            s = tuple(history[-k:])
+            if len(s) < k or s not in kept:
+                break
+            c, left, ms, _ = states[s]
+            p = (ms.get(w, 0) + (left + mu) * p) / (c + mu)
+        return math.log10(p)
+
+    return log_p, kept
+
+
+@pytest.mark.parametrize("how", [{}, {"floor": 2, "least": 4, "hot": 2.0**-9}, {"floor": 3, "least": 5, "depth": 2, "hot": 1.0}, {"floor": 2, "least": 3, "depth": 6}])
 def test_op6(spark, docs, how):
     got = {r.doc_id: r for r in language_model.op6(spark, DIR, **how).collect()}
     toks = {r.doc_id: [*words(r.text), None] for r in docs.collect()}
     train = {i for i in toks if zlib.crc32(str(i).encode()) % 10}
     c = Counter(w for i in train for w in toks[i])
     n, v = sum(c.values()), len(c)
+    log_p, kept = brute_tree([toks[i] for i in sorted(train)], how.get("floor", language_model.FLOOR), how.get("least", language_model.LEAST), how.get("depth", language_model.DEPTH))
+    assert len(got) == len(toks) and {len(s) for s in kept} >= {1, 2}
     for i, ws in toks.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        assert r.score == pytest.approx(sum(log_p(ws[max(0, k - 6) : k], w) for k, w in enumerate(ws)))
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
 def test_tree_distributions_sum_to_one(spark):
     texts = ["a b a b a b c", "a b a b a b d", "b c a a b c", "a b a b"] * 6
-    tree, counts, n, v = language_model.learn(spark.createDataFrame([(t,) for t in texts], "text string"), 1e-9, 1e-9)
-    assert len(tree.state[0]) and len(tree.word) == v
-    for history in ([], ["a"], ["b", "a"], ["a", "b"], ["zz", "a"]):
-        total = 0.0
-        for w in ["a", "b", "c", "d", None, "unseen"]:
-            total += 10 ** log_prob(tree, history, w, n, v)
-        assert total == pytest.approx(1.0)
-
-
-def test_tree_keeps_contexts_by_count_in_any_corpus(spark, monkeypatch):
-    rnd = random.Random(8)
-    texts = [" ".join(f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(400)) + (" red green blue" if k < 9 else " red dark sea") for k in range(60)]
-    df = spark.createDataFrame([(k, k, k % 10 == 0, t) for k, t in enumerate(texts)], "row long, doc_id long, held_out boolean, text string")
-    want = {r.doc_id: r for r in language_model.score(df, *language_model.learn(df.select("text"))).collect()}
-    monkeypatch.setattr(language_model, "HOT", 0.003)  # as in a corpus where few n-grams are hot
-    tree, *rest = language_model.learn(df.select("text"))
-    assert 0 < len(tree.word) < 50
-    got = {r.doc_id: r for r in language_model.score(df, tree, *rest).collect()}
-    assert all(got[k].score == pytest.approx(r.score) and got[k].base_score == pytest.approx(r.base_score) and got[k].n_known == r.n_known for k, r in want.items())
-    many = spark.range(0, 1000, 1, 4).selectExpr("concat_ws(' ', transform(sequence(1, 9000), i -> concat('x', i % 50))) AS text").unionByName(spark.createDataFrame([("once upon time",)] * 4, "text string"))
-    tree, table, n, v = language_model.learn(many)
+    log_p, kept = brute_tree([[*t.split(), None] for t in texts], 1, 1, 4)
+    assert any(len(s) > 2 for s in kept)
+    asked = [[*h, w] for h in ([], ["a"], ["b", "a"], ["a", "b"], ["zz", "a"], ["a", "b", "a", "b"]) for w in ("a", "b", "c", "d", "unseen")]
+    tree, table, n, v = language_model.learn(spark.createDataFrame([(t,) for t in texts], "text string"), 1, 1, 4)
+    rows = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(asked)], "row long, doc_id long, text string")
+    got = {r.doc_id: r.score for r in language_model.score(rows, tree, table, n, v).collect()}
+    whole = [[*t, None] for t in asked]
+    assert [got[i] for i in range(len(asked))] == pytest.approx([sum(log_p(t[:k], w) for k, w in enumerate(t)) for t in whole])
+    for k in range(0, len(asked), 5):
+        history = asked[k][:-1]
+        assert sum(10 ** log_p(history, w) for w in ("a", "b", "c", "d", None, "unseen")) == pytest.approx(1.0)
+
+
+def test_tree_keeps_contexts_by_count_in_any_corpus(spark):
+    """A context of LEAST occurrences among nine million tokens is kept with its continuation, in the table or in the hot part."""
+    often = spark.createDataFrame([("once upon time",)] * language_model.LEAST, "text string")
+    many = spark.range(0, 1000, 1, 4).selectExpr("concat_ws(' ', transform(sequence(1, 9000), i -> concat('x', i % 50))) AS text").unionByName(often)
+    tree, table, n, _ = language_model.learn(many)
     assert n > 8 * 2**20
-    key = int(language_model.pair_key(*language_model.tokens(language_model.tv.Words(np.frombuffer(b"once upon", np.uint8), np.array([0, 9])))[0][:2, None])[0].view(np.int64))
-    assert len(tree.gram) and table.filter(F.col("key") == key).count() + (np.uint64(key % 2**64) in tree.gram) == 1
+    h = language_model.tokens(language_model.tv.Words(np.frombuffer(b"once upon", np.uint8), np.array([0, 9])))[0]
+    key = language_model.gram_key(h[:1], h[1:2])
+    assert (tree.gram.find(key)[0] >= 0) + table.filter(F.col("key") == int(key.view(np.int64)[0])).count() == 1
 
 
 def test_language_model_of_odd_texts(spark, odd, empty):
