@@ -5,7 +5,7 @@ block's innermost marked container, its tag, length and link share gives its log
 content; the positive part is the capacity from the source, the negative part that to the sink.
 Neighbours in page order and blocks of one container are joined by smoothness edges whose capacity
 shrinks with their distance in the element tree. The minimum cut separates content (source side)
-from boilerplate. Blocks of one parent that follow each other are one node, their costs added.
+from boilerplate. Blocks of one parent that follow each other and lean the same way are one node, their costs added.
 
 Null and empty pages give empty text, as do pages without content. Repeated rows are extracted
 each; extra columns are ignored. Broken markup never fails: unclosed elements end with their parent,
@@ -51,31 +51,54 @@ AWAY_WORDS = set(
     " reply replies respond form search login pagination pager tags copyright legal disclaimer skip".split()
 )
 HOME_WORDS = set("article content post entry story main body".split())
+#: words of class names that say where a box is or how it looks, not what it holds
+LAYOUT_WORDS = set(
+    "area bar block bottom box btn button card cell col column container corner css default desktop first fixed full global group hidden hide icon inline inner item items js l large last layout left link links list"
+    " lower m mobile module outer page panel posts primary region right row s secondary section section1 site slot small sticky text thread title top ui unit upper visible wide wrap wrapper zone web id x xl".split()
+)
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 #: Weights of the block classifier, in log-odds.
-HOME, AWAY, NOWHERE, PROSE, HEADING, LENGTH, LINKS = 4.0, -6.0, -1.5, 0.7, 0.4, 0.35, -3.0
+HOME, AWAY, NOWHERE, HINT, PROSE, HEADING, LENGTH, UNMARKED_LENGTH, LINKS = 4.0, -6.0, -1.5, -2.0, 0.7, 0.4, 0.35, 0.7, -3.0
+#: marks of a content container in which, and of a place without container where, a name hints at boilerplate
+HINTED, DOUBTED = 3, 4
+HOMES = (1, HINTED)
 NEXT, KIN = 0.8, 0.5  # smoothness of neighbours and of blocks of one container
 
 
+def _named(name: str) -> int:
+    """What a class name or id says: -1 boilerplate, 1 content, 0 neither, 2 perhaps boilerplate.
+
+    A name tells of boilerplate if all its words do or are of layout; among others ("side-effects") the word is a hint only.
+    """
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    away = [w for w in words if w in AWAY_WORDS]
+    if away:
+        return -1 if all(w in AWAY_WORDS or w in HOME_WORDS or w in LAYOUT_WORDS for w in words) else 2
+    return 1 if words and any(w in HOME_WORDS for w in words) else 0
+
+
 def _mark(tag: str, attrs: str, within_home: bool) -> int:
-    """1 if the element holds content, -1 if it holds something else, 0 if it doesn't tell."""
-    words: list[str] = []
+    """1 if the element holds content, -1 if it holds something else, 2 if it perhaps does, -2 if it isn't shown, 0 if it doesn't tell."""
+    said: set[int] = set()
     if attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c)
             if name in ("class", "id"):
-                words += re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+                names = [x for x in value.split() if not (within_home and "header" in x.lower())]  # an article's header holds its title
+                said.update(map(_named, names))
             elif name == "role" and value.lower() in AWAY_ROLES:
                 return -1
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return -2
     if tag in AWAY_TAGS or tag == "header" and not within_home:
         return -1
-    if tag not in ("body", "html") and any(w in AWAY_WORDS for w in words):
+    if tag in ("body", "html"):
+        return 0
+    if -1 in said:
         return -1
-    if tag in HOME_TAGS or tag not in ("body", "html") and any(w in HOME_WORDS for w in words):
+    if tag in HOME_TAGS or 1 in said:
         return 1
-    return 0
+    return 2 if 2 in said else 0
 
 
 class Block:
@@ -173,8 +196,8 @@ def blocks(html: str) -> list[Block]:
         up = stack[-1]
         mark = up[2]
         if mark > -2 and not foreign and tag not in FOREIGN:
-            own = _mark(tag, attrs or "", mark == 1)
-            mark = own or mark
+            own = _mark(tag, attrs or "", mark in HOMES)
+            mark = {1: HINTED, 0: DOUBTED}.get(mark, mark) if own == 2 else own or mark
         stack.append((tag, numbers, mark, up[1]))
         anchors += tag == "a"
         foreign += tag in FOREIGN
@@ -186,13 +209,16 @@ def odds(b: Block) -> float:
     """The classifier's log-odds that a block is content."""
     if b.mark <= -2:
         return 3 * AWAY
-    x = HOME if b.mark > 0 else AWAY if b.mark < 0 else NOWHERE
+    home = b.mark in HOMES
+    x = HOME if home else AWAY if b.mark < 0 else NOWHERE
+    if b.mark in (HINTED, DOUBTED):
+        x += HINT
     if b.tag in ("p", "blockquote", "pre"):
         x += PROSE
     elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         x += HEADING
-    x += LENGTH * min(6.0, len(b.text).bit_length() - 4)
-    return x + LINKS * min(1.0, b.links / len(b.text)) * (0.3 if b.mark > 0 else 1.0)
+    x += (LENGTH if b.mark in (1, -1, HINTED) else UNMARKED_LENGTH) * min(6, max(0, len(b.text).bit_length() - 4))
+    return x + LINKS * min(1.0, b.links / len(b.text)) * (0.3 if home else 1.0)
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -261,16 +287,20 @@ def main_text(html: str | None) -> str:
     """The page's main text."""
     found = blocks(html or "")
     nodes: list[list[Block]] = []
+    gain: list[float] = []
     for b in found:
-        if nodes and nodes[-1][-1].parent == b.parent and nodes[-1][-1].mark == b.mark:
+        g = odds(b)
+        if nodes and nodes[-1][-1].parent == b.parent and nodes[-1][-1].mark == b.mark and (g >= 0) == (gain[-1] >= 0):
             nodes[-1].append(b)
+            gain[-1] += g
         else:
             nodes.append([b])
-    gain = [sum(map(odds, x)) for x in nodes]
+            gain.append(g)
     edges, last = [], {}
     for i, x in enumerate(nodes):
         if i:
-            edges.append((i - 1, i, NEXT / (1 + abs(nodes[i - 1][-1].depth - x[0].depth))))
+            kin = nodes[i - 1][-1].parent == x[0].parent
+            edges.append((i - 1, i, NEXT + KIN if kin else NEXT / (2 + abs(nodes[i - 1][-1].depth - x[0].depth))))
         if (j := last.get(x[0].parent)) is not None and j < i - 1:
             edges.append((j, i, KIN))
         last[x[0].parent] = i

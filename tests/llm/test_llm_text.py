@@ -169,6 +169,27 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+LONG = "A long paragraph of prose goes on for a while and tells what the page is about, with some commas, so that it is seen as text. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Let <math><mi>x</mi></math> be…</article>", "Let x be…"),
+        (f'<article><p>{LONG}<div class="side-effects"><p>{LONG}</div></article>', f"{LONG} {LONG}"),
+        (f"<body><div><p>{LONG}<p>Short.</div></body>", f"{LONG} Short."),
+        (f"<body><div><p>Short.<p>{LONG}<p>End.</div><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul></body>", f"Short. {LONG} End."),
+        (f'<body><ul class="menu"><li><a href=/>Home</a></ul><div><p>{LONG}</div><div id="site-footer"><p>Imprint and terms</div></body>', LONG),
+        (f'<article><h1>Title</h1><p>{LONG}<aside>Read also <a href=/x>this</a></aside><div class="cookie-notice">We use cookies</div><p>{LONG}<section id="comments"><p>{LONG}</section></article>', f"Title {LONG} {LONG}"),
+        (f'<article><header class="entry-header"><h1>Title</h1></header><p>{LONG}<div class="ad-slot-1">Buy now</div><form><label>Mail<input></label></form></article>', f"Title {LONG}"),
+        (f'<div class="postBody"><p>{LONG}<p>Two words</div><div class="newsletterSignup"><p>{LONG}</div>', f"{LONG} Two words"),
+    ],
+)
+def test_main_text_of_pages_by_hand(page, text):
+    """Pages without <article>, notices and comments inside one, names that only sound like boilerplate."""
+    assert html_text.main_text(page) == " ".join(text.split())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/!-abp \"'=", max_size=60))
 def test_broken_markup_never_fails(html):
