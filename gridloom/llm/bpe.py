@@ -35,7 +35,7 @@ from gridloom.llm.common import doc_texts, fresh
 
 #: The code points with the White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-MEMO = 300_000  # units kept per worker
+MEMO = 300_000  # units, and pre-tokens, kept per worker before they are dropped; one text may add its own to them
 _M64 = (1 << 64) - 1
 
 
@@ -169,7 +169,7 @@ class Codec:
                 piece = m.encode("utf-8", "replace")
                 whole = self.table.get(piece)
                 ids = [whole] if whole >= 0 else self.merge(piece)
-                if len(m) <= 32:
+                if len(m) <= 32 and len(pieces) <= MEMO:
                     pieces[m] = ids
             out += ids
         return out
@@ -179,6 +179,7 @@ class Codec:
         memo = self._memo
         if len(memo) > MEMO:
             memo.age()
+        if len(self._pieces) > MEMO:
             self._pieces.clear()
         found = list(map(memo.__getitem__, self._units.findall(text)))
         if not found:

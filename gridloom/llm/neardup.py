@@ -18,8 +18,9 @@ With similarity s the number of agreeing coordinates is binomial(M, s): at s = 0
 link between two sets goes unseen with a chance of about 4e-6, at 0.9 below 1e-13.
 
 Null or empty text has an empty set, is linked with nothing and is its own component. Equal
-sets are one class whose representative is the smallest doc_id. Rows that repeat a doc_id
-count as copies of it. Extra columns are ignored.
+sets are one class with a number of its own; a component's id is the smallest doc_id of its rows. Rows are told apart
+by doc_id and text: those that share a doc_id but not the text are documents of their own. A null doc_id is never
+the smallest; a component of such rows alone has a null id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as tv
-from gridloom.llm.common import doc_texts, materialize
+from gridloom.llm.common import doc_texts, fresh, materialize
 from gridloom.llm.graph import components
 
 M, MATCHES = 64, 36
@@ -44,7 +45,7 @@ _ADD = _RNG.integers(0, 1 << 63, M, np.uint64)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sig) of every row: set size, 128-bit digest of the set and signature."""
+    """(doc_id, k2, n_shingles, d1, d2, sig) of every row: hash of the text, set size, 128-bit digest of the set and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,11 +57,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     sig[:, k] = tv.row_mins(u * _MUL[k] + _ADD[k], ptr, 0) >> np.uint64(32)
                 digests = [tv.row_sums(tv.mix(u ^ np.uint64(s)), ptr).view(np.int64) for s in (0x1234567, 0xFEDCBA98)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(ptr)), *map(pa.array, digests), tv.blobs(sig.reshape(-1), np.arange(j - i + 1) * M)],
-                    ["doc_id", "n_shingles", "d1", "d2", "sig"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "k2")), pa.array(np.diff(ptr)), *map(pa.array, digests), tv.blobs(sig.reshape(-1), np.arange(j - i + 1) * M)],
+                    ["doc_id", "k2", "n_shingles", "d1", "d2", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, k2 long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def _post(classes: DataFrame) -> DataFrame:
@@ -176,12 +177,12 @@ def _compare(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    docs = doc_texts(docs)
+    """(doc_id, k2, n_shingles, component_id, component) of every row of ``docs``; k2 is a hash of the text, component a number of the group, null for an empty set."""
+    docs = doc_texts(docs).withColumn("k2", text_key(F.col("doc_id"), F.col("text")))
     rows = materialize(signatures(docs, words), "signatures")
-    classes = materialize(
-        rows.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.count("*").alias("copies")), "classes"
-    )
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k2")
+    classes = rows.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min(member).alias("least"), F.min_by("sig", member).alias("sig"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     posted = _post(classes)
     shared = posted.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
     # pairs that a set alone has are its rarest; of the others it posts what its prefix still holds
@@ -194,8 +195,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         .select("rep", "n", "k.key"),
         "prefix",
     )
-    wanted = prefix.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    wanted = prefix.select("rep").distinct().join(classes.select("rep", F.coalesce("least.doc_id", F.lit(0)).alias("k1"), F.col("least.k2").alias("k2")), "rep")
+    named = docs.select(F.coalesce("doc_id", F.lit(0)).alias("k1"), "k2", "text")
+    texts = materialize(named.join(wanted.hint("merge"), ["k1", "k2"]).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     centre = prefix.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
     star = prefix.join(centre.hint("merge"), "key").filter(f"rep > c.rep AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
     first = materialize(_collide(star.distinct(), classes), "pairs", narrow=True)
@@ -213,23 +215,36 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         more = materialize(_confirm(second, texts, words, percent), "links", narrow=True)
         label = materialize(components(links.union(more)), "labels", narrow=True)
 
-    rep = classes.filter("copies > 1").select("d1", "d2", F.col("n").alias("n_shingles"), "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = rows.select("doc_id", "n_shingles", "d1", "d2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    to = label.select(F.col("v").alias("rep"), "label")
-    found = own.join(rep, ["d1", "d2", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    return found.join(to, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    to = classes.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
+    least = to.groupBy("component").agg(F.min("least").getField("doc_id").alias("component_id"))
+    to = materialize(to.select("d1", "d2", F.col("n").alias("n_shingles"), "component").join(least, "component"), "components")
+    salted = to.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.select("doc_id", "k2", "n_shingles", "d1", "d2", F.pmod(F.xxhash64("doc_id", "k2"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = own.join(salted, ["d1", "d2", "n_shingles", "salt"], "left")
+    return found.select("doc_id", "k2", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """With the doc_id it tells rows apart: a hash of the text and of whether there is a doc_id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), doc_id.isNull())
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; all columns kept. Of rows that repeat a doc_id one stays."""
-    kept = near_groups(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each component, that of the smallest doc_id (then hash of the text; without doc_id the last); all columns kept. Of rows that repeat both doc_id and text one stays."""
+    groups = near_groups(docs, words, percent).select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k2").alias("row"), "component")
+    kept = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min("row").alias("row")).select("row")
+    kept = kept.unionByName(groups.filter("component IS NULL").select("row"))
+    k1, k2 = fresh(docs, "kept_k1"), fresh(docs, "kept_k2")
+    kept = kept.select(F.coalesce("row.doc_id", F.lit(0)).alias(k1), F.col("row.k2").alias(k2)).distinct()
+    key = F.col("doc_id").cast("long")
+    rows = docs.withColumns({k1: F.coalesce(key, F.lit(0)), k2: text_key(key, F.col("text"))})
+    return rows.join(kept.hint("merge"), [k1, k2], "left_semi").dropDuplicates([k1, k2]).drop(k1, k2)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size, component and whether it is kept; four-word shingles."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
-    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return groups.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 #: op5 in DuckDB; words hold no spaces, so a joined shingle is unambiguous.

@@ -1,8 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Grades are quality + (1 - toxic), 0 to 2. One weight vector over hashed text features is
+Grades are quality + (1 - toxic), whole numbers; their levels are those of the fitted rows. One weight vector over hashed text features is
 shared by all grades; ordered thresholds cut its scale: P(grade >= k) = sigmoid(x.w - theta_k).
-The expected grade is the sum of the tail probabilities; a document is selected when the tail
+The expected grade is the lowest level and each tail probability times its level's distance to the one below; a document is selected when the tail
 probability of the top grade is at least ``min_tail``.
 
 Features: presence of each lower-cased word; share of the words that have a given shape
@@ -11,7 +11,8 @@ Features: presence of each lower-cased word; share of the words that have a give
 The model is fitted on at most ``sample`` labelled rows, chosen by the order of a seeded hash of
 doc_id (a documented bound of the fit); every document is scored over its whole text.
 Null or empty text has no features and gets the scale's origin. Ties in the sample order go to
-the smaller doc_id; labels that repeat for a doc_id count once each; null labels are left out.
+the smaller doc_id; labels that repeat for a doc_id count once each; null labels are left out. Of rows that repeat a labelled doc_id
+the least text is fitted on, so the fit's rows are no more than its labels.
 With no labelled row, or labels of one grade only, all weights are zero and nothing is rejected.
 """
 
@@ -36,16 +37,20 @@ _SHAPE_SALT, _REPEAT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF76781
 
 @dataclass
 class OrdinalModel:
-    """fingerprint and weight by slot; thresholds in ascending order."""
+    """fingerprint and weight by slot; thresholds in ascending order, one less than the levels of the grade."""
 
     fingerprint: np.ndarray
     weight: np.ndarray
     theta: np.ndarray
+    levels: np.ndarray
 
     def tails(self, eta: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.., a column each."""
         return 1 / (1 + np.exp(-np.clip(eta[:, None] - self.theta[None, :], -60, 60)))
 
+    def expected(self, tails: np.ndarray) -> np.ndarray:
+        return self.levels[0] + tails @ np.diff(self.levels).astype(np.float64)
+
 
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -93,10 +98,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7,
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")).alias("grade")
     ).filter("doc_id IS NOT NULL AND grade IS NOT NULL")
     chosen = graded.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "grade").limit(sample)
-    rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(_sample_features, "grade int, h binary, v binary").toArrow()
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, grade int")
+    texts = doc_texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(_sample_features, "grade int, h binary, v binary").toArrow()
     grades = rows.column("grade").to_numpy() if rows.num_rows else np.zeros(0, int)
-    empty = OrdinalModel(np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.float32), np.array([-4.0, -2.0]))
-    if len(np.unique(grades)) < 2:
+    empty = OrdinalModel(np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.float32), np.array([-4.0, -2.0]), np.arange(3))
+    levels, grades = np.unique(grades, return_inverse=True)
+    if len(levels) < 2:
         return empty
     hs = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("h")]
     vs = [np.frombuffer(x.as_py(), np.float32) for x in rows.column("v")]
@@ -112,18 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7,
     new = np.cumsum(keep) - 1
     used = keep[col]
     row = np.repeat(np.arange(len(grades)), np.diff(ptr))[used]
-    w, theta = train(new[col[used]], v[used], row, grades, int(keep.sum()))
+    w, theta = train(new[col[used]], v[used], row, grades, int(keep.sum()), len(levels) - 1)
     live = w != 0
     model = empty
     slot = _slots(names[keep][live])
     model.fingerprint[slot], model.weight[slot] = _prints(names[keep][live]), w[live]
-    model.theta = theta
+    model.theta, model.levels = theta, levels
     return model
 
 
-def train(col: np.ndarray, val: np.ndarray, row: np.ndarray, grades: np.ndarray, n_features: int, l1: float = 1e-4, steps: int = 300, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Full-batch proximal Adagrad on the cumulative-link log loss with an L1 penalty; thresholds stay ordered."""
-    n, levels = len(grades), 2
+def train(col: np.ndarray, val: np.ndarray, row: np.ndarray, grades: np.ndarray, n_features: int, levels: int = 2, l1: float = 1e-4, steps: int = 300, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Grades count from 0 to ``levels``. Full-batch proximal Adagrad on the cumulative-link log loss with an L1 penalty; thresholds stay ordered."""
+    n = len(grades)
     w, g2 = np.zeros(n_features), np.full(n_features, 1e-8)
     share = np.array([np.mean(grades >= k) for k in range(1, levels + 1)]).clip(1e-3, 1 - 1e-3)
     theta, t2 = -np.log(share / (1 - share)), np.full(levels, 1e-8)
@@ -174,7 +182,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
                 tails = m.tails(eta_of(tv.Words(data, off[i : j + 1]), m))
                 top = tails[:, -1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(tails.sum(1)), pa.array(top), pa.array(top >= min_tail)],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(m.expected(tails)), pa.array(top), pa.array(top >= min_tail)],
                     ["doc_id", "expected_grade", "tail_probability", "selected"],
                 )
 

@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import fresh, materialize
 
 BUCKET_BYTES = 48 << 20
+GROUP = 4096  # buckets whose starts one task sums up
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -34,10 +36,16 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def added(df: DataFrame) -> tuple[str, str, str]:
+    """The names under which ``shuffle`` adds size, shard and slot to ``df``: others where these clash."""
+    return fresh(df, "size"), fresh(df, "shard"), fresh(df, "slot")
+
+
 def shuffle(df: DataFrame, n_shards: int, seed: int = 11, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``df`` with columns size, shard and slot (renamed where they clash); see the module text."""
+    """``df`` with columns size, shard and slot (named as ``added`` says); see the module text."""
     spark = df.sparkSession
-    bucket, size, pos, place = (fresh(df, c) for c in ("bucket_", "size", "position_", "place_"))
+    size, shard, slot = added(df)
+    bucket, pos, place, begin = (fresh(df, c) for c in ("bucket_", "position_", "place_", "start_"))
     sized = df.withColumn(size, F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 8)
     total = sized.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -50,31 +58,25 @@ def shuffle(df: DataFrame, n_shards: int, seed: int = 11, text_col: str = "text"
         return table.take(pa.array(order)).select(keep).append_column(pos, pa.array(np.arange(table.num_rows)))
 
     schema = scattered.select(*keep).withColumn(pos, F.lit(0).cast("long")).schema
-    written = materialize(scattered.groupBy(bucket).applyInArrow(one, schema), "buckets")
-    counts = {r[0]: r[1] for r in written.groupBy(bucket).count().collect()}  # a number for each bucket
-    starts, at = [], 0
-    for b in range(buckets):
-        starts.append(at)
-        at += counts.get(b, 0)
-    start = F.broadcast(spark.createDataFrame(list(enumerate(starts)), f"{bucket} int, start_ long"))
-    whole = written.join(start, bucket).withColumn(pos, F.col(pos) + F.col("start_")).drop("start_")
-    return whole.withColumns({fresh(df, "shard"): (F.col(pos) % n_shards).cast("int"), fresh(df, "slot"): F.floor(F.col(pos) / n_shards).cast("long")}).drop(bucket, pos)
+    written = materialize(scattered.repartition(min(buckets, 20_000), bucket).groupBy(bucket).applyInArrow(one, schema), "buckets")
+    # running start of each bucket: a number for each, summed in a window over GROUP buckets at a time
+    counts = written.groupBy(bucket).agg(F.count("*").alias("n")).withColumn("g", F.floor(F.col(bucket) / GROUP))
+    groups = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    before = F.create_map(*(F.lit(x) for g in sorted(groups) for x in (g, sum(n for k, n in groups.items() if k < g)))) if groups else F.create_map(F.lit(0), F.lit(0))
+    inside = F.sum("n").over(Window.partitionBy("g").orderBy(bucket)) - F.col("n")
+    start = counts.select(bucket, (inside + F.element_at(before.cast("map<bigint,bigint>"), F.col("g"))).alias(begin))
+    whole = written.join(start, bucket).withColumn(pos, F.col(pos) + F.col(begin)).drop(begin)
+    return whole.withColumns({shard: (F.col(pos) % n_shards).cast("int"), slot: F.floor(F.col(pos) / n_shards).cast("long")}).drop(bucket, pos)
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int, seed: int = 11) -> None:
-    """Write ``df`` as one folder for each shard, rows in the order of their slots."""
-    shuffle(df, n_shards, seed).repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``df`` as one folder for each shard, rows in the order of their slots; the columns added are named as ``added`` says."""
+    _, shard, slot = added(df)
+    shuffle(df, n_shards, seed).repartition(n_shards, shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def op4(spark: SparkSession, sf_dir: str, n_shards: int = 24) -> DataFrame:
-    """Shard and slot of every document under the law ``rows``."""
-    dealt = shuffle(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_shards)
-    return dealt.select(
-        "doc_id",
-        "size",
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    """Shard and slot of every document under the law ``rows``; columns of these names in the table are ignored."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return shuffle(docs, n_shards).select("doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -12,8 +12,8 @@ white space) that are shorter than that. ``words`` = 0 leaves the second kind ou
    windows repeat.
 3. The different contexts of an anchor meet in one shard. A shard's contexts are concatenated and
    sorted by external induced sorting (``suffix``): windows repeat whose neighbours in suffix order share
-   them whole. No window is lost: equal windows have one anchor, so one shard. An anchor whose different
-   contexts would overfill a shard is split: its windows are dealt by their hash and counted.
+   them whole. No window is lost: equal windows have one anchor, so one shard. An anchor with over
+   SPLIT_BYTES of different contexts is split: its windows are dealt by their hash and counted.
 4. Repeated windows go back to every document that has the context, are merged to spans and cut out.
 
 Strings are judged on the input, overlaps and repeats within a document count, matches never cross
@@ -37,7 +37,7 @@ from gridloom.llm.common import drop, fresh, materialize, small_batches
 from gridloom.llm.suffix import scratch, suffixes
 
 LENGTH, WORDS, GRAM = 400, 51, 96
-SHARD_BYTES = 8 << 20
+SHARD_BYTES, SPLIT_BYTES = 8 << 20, 1 << 20  # of a shard; of an anchor's different contexts beyond which it is split
 PIECE = 1 << 23  # windows of one text that are anchored at once
 MEMORY = 1 << 22  # suffixes that the sorter of a shard holds; more go to disk
 _POS = np.uint64(28)
@@ -322,7 +322,7 @@ def _split_windows(rows: DataFrame, length: int, words: int) -> DataFrame:
 
 
 def _split_anchors(rows: DataFrame, length: int, words: int) -> DataFrame:
-    """FOUND of the contexts of anchors that would overfill a shard: their windows are dealt by hash and counted."""
+    """FOUND of the contexts of anchors with too many: their windows are dealt by hash and counted."""
     windows = materialize(_split_windows(rows, length, words), "windows")
     often = materialize(windows.groupBy("w1", "w2", "size").agg(F.sum("weight").alias("n")).filter("n > 1").select("w1", "w2", "size"), "often")
     # the two runs of a byte and a word window are told apart by size alone
@@ -353,16 +353,16 @@ def spans(docs: DataFrame, length: int = LENGTH, words: int = 0, gram: int = GRA
     distinct = materialize(distinct.select("anchor", "context", "weight", "at.*"), "contexts")
     several = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(_field("shape", 0).cast("long")).alias("held")).filter("m > 1").select("anchor", "held"), "several")
     total, most = several.agg(F.sum("held"), F.max("held")).first()
-    shards = max(1, -(-(total or 0) // shard_bytes))
+    shards, split = max(1, -(-(total or 0) // shard_bytes)), min(SPLIT_BYTES, shard_bytes)
     mixed = distinct.join(several.hint("merge"), "anchor")
     placed = mixed.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).withColumn("size", _field("shape", 0))
     own = texts.dropDuplicates(KEYS)
     cut = placed.join(own.hint("merge"), KEYS).select("anchor", "context", "weight", "shape", "shard", "held", F.expr("substring(cast(text AS binary), lo + 1, size)").alias("bytes"))
-    if (most or 0) > shard_bytes:
+    if (most or 0) > split:
         cut = materialize(cut, "cut")
-    found = _sort_shards(cut.filter(F.col("held") <= shard_bytes).repartition(int(min(shards, 20000)), "shard").sortWithinPartitions("shard"), length, words, memory).filter("size(bytes_runs) + size(words_runs) > 0")
-    if (most or 0) > shard_bytes:
-        found = found.unionByName(_split_anchors(cut.filter(F.col("held") > shard_bytes), length, words))
+    found = _sort_shards(cut.filter(F.col("held") <= split).repartition(int(min(shards, 20000)), "shard").sortWithinPartitions("shard"), length, words, memory).filter("size(bytes_runs) + size(words_runs) > 0")
+    if (most or 0) > split:
+        found = found.unionByName(_split_anchors(cut.filter(F.col("held") > split), length, words))
     alone = distinct.filter("weight > 1").join(several.hint("merge"), "anchor", "left_anti")
 
     def pair(a: int, b: int, more: int) -> Column:

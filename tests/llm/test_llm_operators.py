@@ -84,6 +84,18 @@ def test_near_groups(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 10]
 
 
+def test_near_groups_of_rows_that_share_a_doc_id_or_have_none(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    morse = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024)) for flip in (0, 1)]
+    rows = [(1, one), (1, two), (2, one), (3, two), (None, two), (None, three), (None, three), (4, None), (None, None), (5, morse[0]), (6, morse[1])]
+    df = spark.createDataFrame([(*r, "r", 0) for r in rows], "doc_id long, text string, rep string, component int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in neardup.near_groups(df).collect())
+    assert got == [(0, 0, 0), (0, 36, 0), (0, 36, 0), (0, 36, 1), (1, 36, 1), (1, 36, 1), (2, 36, 1), (3, 36, 1), (4, 0, 4), (5, 1, 5), (6, 1, 6)]
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in kept.collect()) == [(0, ""), (0, "c0"), (1, "a0"), (1, "b0"), (4, ""), (5, "ab"), (6, "ba")]
+
+
 def test_op5(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in registry.queries()["op5_minhash"](spark, DIR).collect()}
     assert got == brute_groups({r.doc_id: r.text for r in docs.collect()})
@@ -232,6 +244,13 @@ def test_sharding(spark, docs, odd, empty, tmp_path):
     assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(n)) for k, n in sizes.items())
     text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     assert all((r.size, r.text_crc32) == (len(text[r.doc_id]) + 8, zlib.crc32(text[r.doc_id])) for r in rows) and len(rows) == len(text)
+    clash = docs.selectExpr("*", "-1 AS size", "99 AS shard", "-5 AS slot", "0 AS bucket_")
+    clash.repartition(2).write.parquet(str(tmp_path / "clash/documents.parquet"))
+    again = sharding.op4(spark, str(tmp_path / "clash")).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in again} == {(r.doc_id, r.size, r.text_crc32) for r in rows} and {r.shard for r in again} == set(range(24))
+    sharding.write_shards(clash, str(tmp_path / "named"), 3)
+    named = spark.read.parquet(str(tmp_path / "named"))
+    assert {r[0] for r in named.select("shard_1").distinct().collect()} == {0, 1, 2} and named.filter("shard = 99 AND slot = -5 AND size = -1").count() == docs.count()
     many = odd.unionByName(odd).unionByName(odd)
     dealt = sharding.shuffle(many, 4, bucket_bytes=100_000)
     assert {"size_1", "shard_1", "slot"} <= set(dealt.columns) and dealt.count() == 30
@@ -395,6 +414,12 @@ def test_op10_on_held_out_labels(spark, odd, empty):
     assert model.theta.tolist() == sorted(model.theta.tolist())
     nothing = quality.fit(docs, labels.limit(0))
     assert quality.score(odd, nothing).filter("NOT selected").count() == 0 and quality.score(empty, nothing).count() == 0
+    graded = spark.createDataFrame([(i, i % 4 - 1, 0) for i in range(1, 41)], "doc_id long, quality int, toxic int")
+    four = spark.createDataFrame([(i, f"level{i % 4} word{i % 7} " * (i % 3 + 3)) for i in range(1, 41)] + [(1, "level1 more")] * 50, "doc_id long, text string")
+    model = quality.fit(four, graded, min_df=2)
+    assert model.levels.tolist() == [0, 1, 2, 3] and len(model.theta) == 3
+    expected = {r.doc_id: r.expected_grade for r in quality.score(four.filter("doc_id > 1"), model).collect()}
+    assert all(0 <= x <= 3 for x in expected.values()) and max(expected[i] for i in (4, 8, 12)) < min(expected[i] for i in (3, 7, 11))
     kept = quality.select(odd, labels, fit_on=docs)
     origin = quality.fit(docs, labels).tails(np.zeros(1))[0, -1] >= 0.6  # what a text without features gets
     assert kept.columns == odd.columns and kept.filter("text IS NULL").count() == kept.filter("text = ''").count() == int(origin)

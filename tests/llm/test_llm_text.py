@@ -130,6 +130,15 @@ def test_any_text_equals_tiktoken(codec, reference_encoding, text):
     assert codec.round_trip(text)[0].decode() == " ".join(map(str, want))
 
 
+def test_memory_of_a_worker_is_bounded(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    rnd = np.random.default_rng(1)
+    for _ in range(30):
+        codec.round_trip(".".join(f"q{x}" for x in rnd.integers(0, 10**6, 100)) + " " + " ".join(map(str, rnd.integers(0, 10**6, 30))))
+        assert len(codec._pieces) <= 51 and len(codec._memo) <= 51 + 31
+    codec.forget()
+
+
 def test_perfect_hash(codec):
     t = codec.table
     assert all(t.get(k) == i for i, k in enumerate(codec.tokens[::97] and codec.tokens) if i % 97 == 0)
