@@ -38,7 +38,6 @@ PASSAGE, BLOCK, RANK, OVERSAMPLE = 48, 16, 112, 16
 COSINE, LCS, ANSWER = 0.33, 0.7, 0.5
 ITEM_WORDS = 100_000
 PASSAGES = 256  # of one matrix
-SLOT_BITS = 20
 
 
 @dataclass
@@ -54,22 +53,13 @@ class Index:
     item: np.ndarray
     words: list[np.ndarray]
     answer: list[np.ndarray]
-    table: np.ndarray | None = None
+    lookup: tv.Lookup | None = None
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Position of each hash in the vocabulary, -1 if it isn't there."""
-        if self.table is None:  # the first word of each slot; the rest of a slot follows in order
-            self.table = np.searchsorted(self.vocab, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS)).astype(np.int32)
-        at = self.table[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        padded = np.concatenate([self.vocab, np.array([0], np.uint64)])
-        hit = padded[at] == h
-        out = np.where(hit, at, -1)
-        for i in range(1, 4):  # words that share a slot
-            rest = np.flatnonzero(out < 0)
-            nxt = np.minimum(at[rest] + i, len(self.vocab))
-            ok = padded[nxt] == h[rest]
-            out[rest[ok]] = nxt[ok]
-        return out
+        if self.lookup is None:
+            self.lookup = tv.Lookup(self.vocab)
+        return self.lookup.find(h)
 
 
 def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

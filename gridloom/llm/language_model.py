@@ -44,40 +44,15 @@ HOT = 2.0**-20
 BITS = 27  # of a bit set's size
 END = np.uint64(0xE17D0F5EED0F7E87)
 HELD = 1 << 19  # keys a counting task holds before it compacts them
-NO = np.int64(-1)
-
-
-class Lookup:
-    """Positions of keys in a sorted table, by slots of their first bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, n = keys, len(keys)
-        bits = max(4, n.bit_length() + 1)
-        self.shift = np.uint64(64 - bits)
-        self.first = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), n).astype(np.int32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each key, -1 if it isn't there."""
-        out = np.full(len(keys), NO)
-        slot = (keys >> self.shift).astype(np.int64)
-        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
-        left = np.flatnonzero(at < end)
-        while len(left):
-            here = at[left]
-            hit = self.keys[here] == keys[left]
-            out[left[hit]] = here[hit]
-            at[left] += 1
-            left = left[~hit & (at[left] < end[left])]
-        return out
 
 
 @dataclass
 class Tree:
     """The hot part. word: its words, with their root terms; gram: its n-grams, words included, with their terms; seen: bit set of all n-grams of two words and more."""
 
-    word: Lookup
+    word: tv.Lookup
     root: np.ndarray
-    gram: Lookup
+    gram: tv.Lookup
     more: np.ndarray
     seen: np.ndarray
     depth: int
@@ -253,7 +228,7 @@ def learn(training: DataFrame, floor: int = FLOOR, least: int = LEAST, depth: in
     root, more = (hottest.column(c).to_numpy()[order].astype(np.float64) if len(key) else np.zeros(0) for c in ("root", "more"))
     key, is_word = key[order], ~np.isnan(root)
     seen = bit_set(table.filter("root IS NULL").select("key"))
-    tree = Tree(Lookup(key[is_word]), root[is_word], Lookup(key), more, seen, len(levels))
+    tree = Tree(tv.Lookup(key[is_word]), root[is_word], tv.Lookup(key), more, seen, len(levels))
     return tree, table.filter(F.col("n") < max(1.0, hot * total)).select("key", "root", "more"), total, kinds
 
 

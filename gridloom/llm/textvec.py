@@ -231,3 +231,27 @@ def blobs(values: np.ndarray, ptr: np.ndarray) -> pa.Array:
     raw = np.ascontiguousarray(values)
     off = (np.asarray(ptr, np.int64) * raw.itemsize).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+class Lookup:
+    """Positions of keys in a sorted table, by slots of their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, n = keys, len(keys)
+        bits = max(4, n.bit_length() + 1)
+        self.shift = U64(64 - bits)
+        self.first = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << self.shift), n).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 if it isn't there."""
+        out = np.full(len(keys), np.int64(-1))
+        slot = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            out[left[hit]] = here[hit]
+            at[left] += 1
+            left = left[~hit & (at[left] < end[left])]
+        return out

@@ -378,6 +378,9 @@ def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (5, [1.0, 1.0]), (6, [1.0, 1.0]), (7, [3.0, 0.0])]
     out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 100 = 0").orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in out] == [(0, 1, 5, 1.0), (0, 2, 6, 1.0), (0, 3, 7, 2.0)]
+    twice = spark.createDataFrame([(0, [1.0, 0.0], 9), (0, [1.0, 0.5], 9), (3, [1.0, 0.0], 9)], "vec_id long, embedding array<float>, row int")
+    out = sorted(tuple(r) for r in ann.search(twice, "vec_id % 100 = 0").collect())
+    assert out == [(0, 1, 0, 0.5), (0, 1, 3, 0.0), (0, 2, 0, 0.5), (0, 2, 3, 0.5)]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 100 = 0").count() == 0
 
 

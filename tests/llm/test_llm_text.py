@@ -229,6 +229,19 @@ def test_rotation_is_orthogonal():
     assert np.allclose(q @ q.T, np.eye(16))
 
 
+@pytest.mark.parametrize("d", [2, 64, 100])
+def test_inner_products_from_packed_bits(d):
+    """The bits that code and planes share give <x, q> up to the rounding's norm."""
+    rnd = np.random.default_rng(d)
+    q = rnd.standard_normal((7, d))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    bits = rnd.random((50, d)) < 0.5
+    code = np.packbits(np.pad(bits, ((0, 0), (0, -d % 64))), axis=1).view(np.uint64)
+    plane, low, step, rounding = ann.planes(q)
+    exact = q @ ((bits * 2.0 - 1) / np.sqrt(d)).T
+    assert (np.abs(ann.inner(code, plane, low, step, d) - exact) <= rounding[:, None] + 1e-12).all() and rounding.max() < 0.1
+
+
 def test_anchors_in_pieces_cover_the_same_windows():
     rnd = np.random.default_rng(3)
     x = rnd.integers(97, 100, 1500).astype(np.uint8)
