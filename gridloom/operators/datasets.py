@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,26 +19,41 @@ def unit(ident: Column, seed: int) -> Column:
     return spread(ident, seed) / 2147483648.0
 
 
+SLICES = 256  # of the spread order: tasks that share the ranking of one group
+
+
+def ranked(samples: DataFrame, seed: int, ident: str, *by: str) -> DataFrame:
+    """``samples`` with _rank, from 1 in spread order inside each group, and the group's size _n.
+
+    The order is cut into SLICES ranges; rows are ranked inside a range, and ranges start where the counts of
+    those before end. So no task holds a whole group, however hot.
+    """
+    cut_ = samples.withColumn("_s", F.floor(spread(F.col(ident), seed) / (2147483648 / SLICES)).cast("int"))
+    counts = cut_.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*by)
+    starts = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_s").alias("_t"), (F.sum("_c").over(whole.orderBy("_s")) - F.col("_c")).alias("_start"), F.sum("_c").over(whole).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_s").orderBy(spread(F.col(ident), seed), ident))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_s") == F.col("_t")]
+    joined = cut_.withColumn("_inside", inside).join(starts, reduce(lambda x, y: x & y, same))
+    return joined.withColumn("_rank", F.col("_inside") + F.col("_start")).drop("_s", "_t", "_start", "_inside", *(f"_by_{c}" for c in by))
+
+
 def stratified_split(samples: DataFrame, fraction: float, seed: int, code: str = "code", ident: str = "id") -> DataFrame:
     """WIN-07: per code max(1, half-even(n * fraction)) rows for validation where n is two at least, none else."""
-    n = F.count("*").over(Window.partitionBy(code))
-    rank = F.row_number().over(Window.partitionBy(code).orderBy(spread(F.col(ident), seed), ident))
-    want = F.when(n >= 2, F.greatest(F.lit(1), F.bround(n * fraction).cast("int"))).otherwise(0)
-    return samples.withColumn("split", F.when(rank <= want, "val").otherwise("train"))
+    want = F.when(F.col("_n") >= 2, F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("int"))).otherwise(0)
+    return ranked(samples, seed, ident, code).withColumn("split", F.when(F.col("_rank") <= want, "val").otherwise("train")).drop("_rank", "_n")
 
 
 def cut(samples: DataFrame, fraction: float, seed: int, ident: str = "id", *by: str) -> DataFrame:
     """SMP-02: the first int(n * (1 - fraction)) rows in spread order of each group train, the rest validate."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(spread(F.col(ident), seed), ident))
-    return samples.withColumn("split", F.when(rank <= F.floor(n * (1 - fraction)), "train").otherwise("val"))
+    train = F.col("_rank") <= F.floor(F.col("_n") * (1 - fraction))
+    return ranked(samples, seed, ident, *by).withColumn("split", F.when(train, "train").otherwise("val")).drop("_rank", "_n")
 
 
 def cap(samples: DataFrame, label: str, source: str, most: int, seed: int, ident: str = "id") -> DataFrame:
-    """WIN-08: at most ``most`` rows of one label from one source, a feature of the assembly."""
+    """WIN-08: at most ``most`` rows of one label from one source, a feature of the assembly; a top-k, no window."""
     hit = (F.col("code") == label) & (F.col("source") == source)
-    rank = F.row_number().over(Window.partitionBy(hit).orderBy(spread(F.col(ident), seed), ident))
-    picked = samples.filter(hit).withColumn("_n", rank).filter(F.col("_n") <= most).drop("_n")
+    picked = samples.filter(hit).orderBy(spread(F.col(ident), seed), ident).limit(most)
     return samples.filter(~F.coalesce(hit, F.lit(False))).unionByName(picked)
 
 

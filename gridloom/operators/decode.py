@@ -20,7 +20,8 @@ def log_softmax(frame: Column) -> Column:
     """MTH-01 of one frame, shifted by its maximum."""
     top = F.array_max(frame)
     total = F.aggregate(frame, F.lit(0.0).cast("double"), lambda a, x: a + F.exp(x - top))
-    return F.transform(frame, lambda x: x - top - F.ln(total))
+    # a list of one binds the total to a name: it is worked out once, not for each class
+    return F.get(F.transform(F.array(top + F.ln(total)), lambda t: F.transform(frame, lambda x: x - t)), 0)
 
 
 def arg_max(frame: Column) -> Column:
@@ -82,20 +83,40 @@ class Trie:
         return [self.text[k] for k in node], score
 
 
-def constrained(df: DataFrame, scores: str, classes: int, trie: Trie, penalty: float = 0.0) -> DataFrame:
-    """OCR-10 over a relation: adds code and path_score. The trie is that of one dictionary (a few thousand codes), sent once."""
+def _log_softmax(s: pd.Series, classes: int) -> np.ndarray:
+    x = np.array(s.tolist(), np.float64).reshape(len(s), -1, classes)
+    x = x - x.max(2, keepdims=True)
+    return x - np.log(np.exp(x).sum(2, keepdims=True))
+
+
+def free_paths(log_probs: np.ndarray, chars: list[str]) -> tuple[list[str], np.ndarray]:
+    """WIN-01, MTH-03 for a block of (rows, frames, classes): text and confidence of the collapsed free paths."""
+    best = log_probs.argmax(2)
+    before = np.concatenate([np.full((len(best), 1), -1), best[:, :-1]], axis=1)
+    emit = (best != 0) & (best != before)
+    n = emit.sum(1)
+    total = np.where(emit, log_probs.max(2), 0).sum(1)
+    return ["".join(chars[k] if k < len(chars) else "?" for k in row[keep]) for row, keep in zip(best, emit, strict=True)], np.where(n > 0, np.exp(total / np.maximum(n, 1)), 0.0)
+
+
+def constrained(df: DataFrame, scores: str, classes: int, trie: Trie, penalty: float = 0.0, chars: list[str] | None = None) -> DataFrame:
+    """OCR-10 over a relation: adds code and path_score. The trie is that of one dictionary (a few thousand codes), sent once.
+
+    With ``chars`` the free path is decoded in the same pass: adds greedy_code and greedy_confidence.
+    """
     shared = df.sparkSession.sparkContext.broadcast(trie)
 
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in it:
-            x = np.array(s.tolist(), np.float64).reshape(len(s), -1, classes)
-            x = x - x.max(2, keepdims=True)
-            x -= np.log(np.exp(x).sum(2, keepdims=True))
+            x = _log_softmax(s, classes)
             code, score = shared.value.decode(x, penalty)
-            yield pd.DataFrame({"code": code, "path_score": score})
+            out = {"code": code, "path_score": score}
+            if chars is not None:
+                out["greedy_code"], out["greedy_confidence"] = free_paths(x, chars)
+            yield pd.DataFrame(out)
 
-    udf = F.pandas_udf(run, "code string, path_score double")
-    return df.withColumn("_d", udf(F.col(scores))).select("*", "_d.code", "_d.path_score").drop("_d")
+    kind = "code string, path_score double" + (", greedy_code string, greedy_confidence double" if chars is not None else "")
+    return df.withColumn("_d", F.pandas_udf(run, kind)(F.col(scores))).select("*", "_d.*").drop("_d")
 
 
 def path_confidence(score: Column, frames_: Column) -> Column:

@@ -1,9 +1,8 @@
-"""Palette matching and dominant colours (JON-14, AGG-26, 27, PAL-05 to 07, SRT-08)."""
+"""Palette matching, dominant colours and board generation (JON-14, AGG-26, 27, PAL-05 to 08, 12, 22, SRT-08)."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.colour import distance2, rgb
@@ -39,25 +38,64 @@ def frequency_order(cells: DataFrame) -> DataFrame:
     return cells.groupBy("job", "code").agg(F.count("*").alias("n"), F.min(F.struct("row", "col")).alias("_f")).select("job", "code", "n", F.col("_f.row").alias("first_row"), F.col("_f.col").alias("first_col"))
 
 
-def _merge(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Colours, most frequent first, each taken over by the first standing colour that is near."""
-    pdf = pdf.sort_values(["n", "first_row", "first_col"], ascending=[False, True, True])
-    colour = pdf[["r", "g", "b"]].to_numpy(float)
-    target, standing = [], []
-    for i in range(len(pdf)):
-        near = [s for s in standing if ((colour[s] - colour[i]) ** 2).sum() < threshold**2]
-        target.append(near[0] if near else i)
-        if not near:
-            standing.append(i)
-    return pd.DataFrame({"job": pdf["job"], "code": pdf["code"], "merged": pdf["code"].to_numpy()[target]})
+def _fold(colours: Column, threshold: float) -> Column:
+    """Array of (code, merged): colours (code, r, g, b), most frequent first, each taken over by the first standing colour that is near."""
+    kind = "struct<standing:array<struct<code:string,r:int,g:int,b:int>>,out:array<struct<code:string,merged:string>>>"
+    start = F.from_json(F.lit('{"standing":[],"out":[]}'), kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        near = F.filter(acc["standing"], lambda s: distance2(s, x) < threshold**2)
+        # a list of one binds the search to a name, so it runs once for each colour
+        grown = F.transform(F.array(F.get(near, 0)), lambda hit: F.struct(
+            F.when(hit.isNull(), F.concat(acc["standing"], F.array(x))).otherwise(acc["standing"]).alias("standing"),
+            F.concat(acc["out"], F.array(F.struct(x["code"].alias("code"), F.coalesce(hit["code"], x["code"]).alias("merged")))).alias("out"),
+        ))
+        return F.get(grown, 0).cast(kind)
+
+    return F.aggregate(colours, start, step)["out"]
 
 
 def merge_similar(cells: DataFrame, palette: DataFrame, threshold: float = 30.0) -> DataFrame:
     """PAL-06, JON-17: cells (job, row, col, code) with near colours merged into the more frequent ones of their board.
 
-    Only the histograms (a row for each colour of a board, at most a palette) meet in Python.
+    A board's histogram (a row for each of its colours, at most a palette) is an array that is folded in order.
     """
     c = rgb(F.col("hex"))
     hist = frequency_order(cells).join(palette.select("code", c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b")), "code")
-    changes = hist.groupBy("job").applyInPandas(lambda pdf: _merge(pdf, threshold), "job long, code string, merged string")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first_row", "first_col", "code", "r", "g", "b")))
+    changes = hist.groupBy("job").agg(ordered.alias("_o")).withColumn("_o", F.transform("_o", lambda x: F.struct(x["code"].alias("code"), x["r"].cast("int").alias("r"), x["g"].cast("int").alias("g"), x["b"].cast("int").alias("b"))))
+    changes = changes.select("job", F.explode(_fold(F.col("_o"), threshold)).alias("_m")).select("job", "_m.code", "_m.merged").filter("code <> merged")
     return cells.join(changes, ["job", "code"], "left").withColumn("code", F.coalesce("merged", "code")).drop("merged")
+
+
+def generate_board(pixels: DataFrame, palette: DataFrame, threshold: float = 30.0) -> DataFrame:
+    """PAL-07: pixels (job, row, col, r, g, b), a row and column for the tile each lies in, to a board (job, row, col, code):
+
+    the dominant colour of each tile, its nearest palette colour, near colours merged.
+    """
+    tile = F.struct("job", "row", "col")
+    tiles = dominant(pixels.select(tile.alias("id"), "r", "g", "b"))
+    codes = nearest(tiles, palette).select("id.job", "id.row", "id.col", "code")
+    return merge_similar(codes, palette, threshold)
+
+
+def board_crops(boards: DataFrame, seed: int, size: int = 48) -> DataFrame:
+    """PAL-08: boards (job, row, col, code) to crop rectangles (x, y, w, h) of their cells.
+
+    One offset for the whole grid of a board: within 2 pixels in three of four boards, within a quarter of a cell's half else.
+    """
+    h = lambda k: F.pmod(F.hash("job", F.lit(seed + k)), F.lit(1000))
+    most = F.when(h(0) < 750, 2).otherwise(size // 8)
+    off = lambda k: F.pmod(h(k), 2 * most + 1) - most
+    return boards.select("job", "row", "col", "code", (F.col("col") * size + off(1)).alias("x"), (F.col("row") * size + off(2)).alias("y"), F.lit(size).alias("w"), F.lit(size).alias("h"))
+
+
+def corpus_manifest(crops: DataFrame) -> DataFrame:
+    """PAL-12: the manifest of a corpus of crops: code, file, row and column from 1."""
+    name = F.format_string("b%d_r%03d_c%03d_%s.png", "job", F.col("row") + 1, F.col("col") + 1, "code")
+    return crops.select("job", "code", name.alias("file"), (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"))
+
+
+def redraw_colour(hex_: Column, fallback: str = "#CCCCCC") -> Column:
+    """PAL-22: only #RRGGBB counts as a colour to redraw with."""
+    return F.when(hex_.rlike("^#[0-9A-Fa-f]{6}$"), hex_).otherwise(fallback)

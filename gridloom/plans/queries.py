@@ -190,11 +190,11 @@ def range_between_anchor(s):
     return O.range_between(s("cells"), (2, 1), (0, 3)).select(*O.KEY)
 
 
-@query("SELECT id, CASE WHEN id % 4 = 0 AND id % 6 = 0 THEN 'D' WHEN id % 2 = 0 THEN 'A,B,C,D' ELSE 'A,B,C' END AS picked FROM jobs WHERE id % 12 < 20")
+@query("SELECT id, CASE WHEN id % 4 = 0 AND id % 6 = 0 THEN 'D' WHEN id % 2 = 0 THEN 'A,B,C,D' ELSE 'A,B,C' END AS picked FROM jobs")
 def toggle_keys(s):
     """SET-05: keys A,B,C against a selection that holds all, some or none of them."""
     sel = F.when((F.col("id") % 4 == 0) & (F.col("id") % 6 == 0), F.array(*map(F.lit, "ABCD"))).when(F.col("id") % 2 == 0, F.array(F.lit("A"), F.lit("D"))).otherwise(F.array(F.lit("B")))
-    return s("jobs").filter("id % 12 < 20").select("id", F.array_join(O.toggle(sel, F.array(*map(F.lit, "ABC"))), ",").alias("picked"))
+    return s("jobs").select("id", F.array_join(O.toggle(sel, F.array(*map(F.lit, "ABC"))), ",").alias("picked"))
 
 
 @query("SELECT job, row, col FROM cells WHERE row BETWEEN 1 AND 3 AND col BETWEEN 2 AND 5")
@@ -390,10 +390,11 @@ def _pixels(s: Source) -> DataFrame:
 PX = "px AS (SELECT vec_id AS id, k, " + ", ".join(EMB.format(f"k * 3 + {i + 1}") + f" AS {c}" for i, c in enumerate("rgb")) + " FROM embeddings CROSS JOIN (SELECT unnest(range(21)) AS k) x)"
 
 
-@query(f"WITH {PX}, p AS (SELECT code, {RGB} FROM dict), q AS (SELECT px.id, p.code, (px.r - p.r) * (px.r - p.r) + (px.g - p.g) * (px.g - p.g) + (px.b - p.b) * (px.b - p.b) AS d2 FROM px CROSS JOIN p WHERE k = 0) SELECT id, arg_min(code, (d2, code)) AS code, cast(min(d2) AS int) AS d2 FROM q GROUP BY 1")
+@query(f"WITH {PX}, p AS (SELECT code, {RGB} FROM dict), q AS (SELECT px.id, px.k, p.code, (px.r - p.r) * (px.r - p.r) + (px.g - p.g) * (px.g - p.g) + (px.b - p.b) * (px.b - p.b) AS d2 FROM px CROSS JOIN p) SELECT id, k::int AS k, arg_min(code, (d2, code)) AS code, cast(min(d2) AS int) AS d2 FROM q GROUP BY 1, 2")
 def nearest_palette(s):
     """JON-14, COL-02."""
-    return P.nearest(_pixels(s).filter("k = 0").drop("k"), s("dict"))
+    pixels = _pixels(s).select(F.struct("id", "k").alias("id"), "r", "g", "b")
+    return P.nearest(pixels, s("dict")).select("id.id", "id.k", "code", "d2")
 
 
 @query(f"WITH {PX}, h AS (SELECT id, r // 16 AS br, g // 16 AS bg, b // 16 AS bb, count(*) AS n, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM px GROUP BY ALL) SELECT id, cast(round_even(arg_min(mr, (-n, br, bg, bb)), 0) AS int) AS r, cast(round_even(arg_min(mg, (-n, br, bg, bb)), 0) AS int) AS g, cast(round_even(arg_min(mb, (-n, br, bg, bb)), 0) AS int) AS b, max(n) AS n FROM h GROUP BY 1")
@@ -408,9 +409,14 @@ def dominant_color_export(s):
     return P.dominant(_pixels(s), 3, False)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT code, {RGB} FROM dict), h AS (SELECT job, code, count(*) AS n, min((row, col)) AS f FROM cells GROUP BY 1, 2),
+    o AS (SELECT h.job, h.code, p.r::int AS r, p.g::int AS g, p.b::int AS b, row_number() OVER (PARTITION BY h.job ORDER BY h.n DESC, h.f) AS i FROM h JOIN p ON p.code = h.code),
+    w(job, i, standing, code, merged) AS (SELECT DISTINCT job, 0::bigint, []::struct(code varchar, r int, g int, b int)[], NULL::varchar, NULL::varchar FROM o UNION ALL
+    SELECT o.job, o.i, CASE WHEN hit IS NULL THEN list_append(w.standing, struct_pack(code := o.code, r := o.r, g := o.g, b := o.b)) ELSE w.standing END, o.code, coalesce(hit, o.code)
+    FROM w JOIN o ON o.job = w.job AND o.i = w.i + 1, LATERAL (SELECT (list_filter(w.standing, lambda x: (x.r - o.r) * (x.r - o.r) + (x.g - o.g) * (x.g - o.g) + (x.b - o.b) * (x.b - o.b) < 3600)[1]).code AS hit) z)
+    SELECT c.job, c.row, c.col, coalesce(w.merged, c.code) AS code FROM cells c LEFT JOIN w ON w.job = c.job AND w.code = c.code""")
 def frequency_merge(s):
-    """PAL-06, JON-17, SRT-08: sequential inside a board's histogram; tested against a scalar model."""
+    """PAL-06, JON-17, SRT-08: sequential inside a board's histogram."""
     return P.merge_similar(s("cells").select(*O.KEY, "code"), s("dict"), 60.0)
 
 
@@ -500,10 +506,8 @@ TD = f"""pre(p) AS (VALUES {PRE}), lf AS (SELECT vec_id, t, list_transform(f, la
 
 def _decoded(s: Source) -> DataFrame:
     trie = X.Trie(TRIE, CHARS)
-    g = X.greedy(F.col("lp"))
-    base = _log_probs(s).select("vec_id", F.col("embedding").cast("array<double>").alias("x"), g.alias("g"))
-    base = base.select("vec_id", "x", X.spell(F.col("g.indices"), CHARS).alias("greedy_code"), F.col("g.confidence").alias("greedy_confidence"))
-    return X.constrained(base, "x", 8, trie).drop("x")
+    base = s.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return X.constrained(base, "x", 8, trie, chars=CHARS).drop("x")
 
 
 @query(f"WITH RECURSIVE {FR}, {TD} SELECT vec_id, node AS code, round(score, 5) AS path_score FROM w WHERE t = 8")
@@ -531,14 +535,14 @@ def chunked_progress(s):
     return O.chunks(s("cells"), 3, F.lit(5)).withColumn("block", F.col("block").cast("long"))
 
 
-UPD = "u AS (SELECT job, row, col, row_number() OVER (ORDER BY job, row, col, l_partkey, l_suppkey, l_extendedprice) AS ord, CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 997 = 1 THEN 'X99' ELSE 'E' || (l_partkey % 9 + 1) END AS new_code FROM raw_cells WHERE job % 5 = 0)"
+UPD = "u AS (SELECT job, row, col, row_number() OVER (ORDER BY job, row, col, l_partkey, l_suppkey, l_extendedprice) AS ord, CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 997 = 1 THEN 'X99' ELSE 'E' || (l_partkey % 9 + 1) END AS new_code FROM raw_cells)"
 
 
 def _updates(s: Source) -> tuple[DataFrame, DataFrame]:
     """Updates in an order of their own inside each cell, and those that may be applied."""
     order = F.row_number().over(Window.partitionBy(*O.KEY).orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
     code = F.when(F.col("l_partkey") % 4 == 0, " ").when(F.col("l_partkey") % 997 == 1, "x99").otherwise(F.concat(F.lit(" e"), (F.col("l_partkey") % 9 + 1).cast("string")))
-    raw = s("raw_cells").filter("job % 5 = 0").select(*O.KEY, order.alias("ord"), code.alias("new_code"))
+    raw = s("raw_cells").select(*O.KEY, order.alias("ord"), code.alias("new_code"))
     bad = R.violations(raw, s("cells"), s("dict"), s.jobs_as_grids())
     return bad, R.accepted(raw, bad)
 

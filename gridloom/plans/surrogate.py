@@ -58,7 +58,10 @@ def duck(query: str) -> str:
     views = ", ".join(f"{v} AS ({VIEWS[v].format(**_DIALECT['duck'])})" for v in used)
     if not views:
         return query
-    return f"WITH {views}, {query[5:]}" if query.startswith("WITH ") else f"WITH {views} {query}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if query.startswith(head):
+            return f"{head}{views}, {query[len(head) :]}"
+    return f"WITH {views} {query}"
 
 
 class Source:

@@ -41,5 +41,5 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
-def test_all_have_sql_but_the_sequential_ones():
-    assert set(Q.queries()) - set(Q.oracle_sql()) == {"frequency_merge"}
+def test_all_have_sql():
+    assert set(Q.queries()) == set(Q.oracle_sql())
