@@ -171,3 +171,14 @@ def is_terminal(status: Column) -> Column:
 def next_version(names: Column, pattern: str, prefix: str) -> Column:
     """STR-18, AGG-31: aggregate; the name after the largest number in use."""
     return F.concat(F.lit(prefix), (F.coalesce(F.max(F.regexp_extract(names, pattern, 1).try_cast("bigint")), F.lit(0)) + 1).cast("string"))
+
+
+def result_row(code: Column, confidence: Column) -> tuple[Column, Column]:
+    """PRJ-07: code in capitals, confidence at four places."""
+    return F.upper(code), F.round(confidence, 4)
+
+
+def render_code(code: Column, brand: Column, prefixes: dict[str, str]) -> Column:
+    """PRJ-10: the code as printed: without the prefix that tells its brand's codes apart in the library."""
+    prefix = F.try_element_at(F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair]), brand)
+    return F.when(prefix.isNotNull() & code.startswith(prefix), F.substr(code, F.length(prefix) + 1)).otherwise(code)

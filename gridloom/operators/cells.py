@@ -169,3 +169,22 @@ def merge_regions(cells: DataFrame) -> DataFrame:
     """JON-16: regions' local coordinates to global ones; of one place the last region wins."""
     out = cells.withColumns({"row": F.col("row") + F.col("r0"), "col": F.col("col") + F.col("c0")})
     return latest(out, KEY, F.desc("region"))
+
+
+CELL_STATES = ["MAPPED", "UNMAPPED", "BLANK"]
+
+
+def decode(rows: DataFrame) -> DataFrame:
+    """PRJ-02: stored text rows to cells; an unknown state, a bad number or stamp is NULL."""
+    state = F.when(F.col("status").isin(CELL_STATES), F.col("status"))
+    return rows.withColumns({"row": F.col("row").try_cast("bigint"), "col": F.col("col").try_cast("bigint"), "status": state, "confidence": F.col("confidence").try_cast("double"), "corrected_at": C.parse_stamp(F.col("corrected_at"))})
+
+
+def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
+    """SET-06: the distinct values of a column, without NULL, in order."""
+    return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def pages(df: DataFrame, size: int, *order: Column) -> DataFrame:
+    """SRT-10: every row with the page it stands on, from 1; for small relations such as dictionaries."""
+    return df.withColumn("page", (F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size) + 1).cast("int"))

@@ -139,12 +139,6 @@ def per_code_index(samples: DataFrame) -> DataFrame:
     return samples.withColumn("index", F.row_number().over(Window.partitionBy("code").orderBy("id")) - 1)
 
 
-def variants(images: DataFrame) -> DataFrame:
-    """PAL-17: the seven variants of each image, by name."""
-    names = ["orig", "rot_p10", "rot_m10", "scale_08", "scale_12", "flip", "blur"]
-    return images.withColumn("variant", F.explode(F.array(*map(F.lit, names))))
-
-
 def shuffled_head(samples: DataFrame, n: int, seed: int, ident: str = "id") -> DataFrame:
     """SRT-12: a seeded shuffle cut to n rows, a feature of the assembly."""
     return samples.orderBy(spread(F.col(ident), seed), ident).limit(n)

@@ -99,8 +99,8 @@ def free_paths(log_probs: np.ndarray, chars: list[str]) -> tuple[list[str], np.n
     return ["".join(chars[k] if k < len(chars) else "?" for k in row[keep]) for row, keep in zip(best, emit, strict=True)], np.where(n > 0, np.exp(total / np.maximum(n, 1)), 0.0)
 
 
-def constrained(df: DataFrame, scores: str, classes: int, trie: Trie, penalty: float = 0.0, chars: list[str] | None = None) -> DataFrame:
-    """OCR-10 over a relation: adds code and path_score. The trie is that of one dictionary (a few thousand codes), sent once.
+def constrained(df: DataFrame, scores: str, classes: int, trie: Trie, penalty: float = 0.0, chars: list[str] | None = None, collapse: bool = True) -> DataFrame:
+    """OCR-10 (OCR-11: penalty 2, collapse off) over a relation: adds code and path_score. The trie is that of one dictionary (a few thousand codes), sent once.
 
     With ``chars`` the free path is decoded in the same pass: adds greedy_code and greedy_confidence.
     """
@@ -109,7 +109,7 @@ def constrained(df: DataFrame, scores: str, classes: int, trie: Trie, penalty: f
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in it:
             x = _log_softmax(s, classes)
-            code, score = shared.value.decode(x, penalty)
+            code, score = shared.value.decode(x, penalty, collapse)
             out = {"code": code, "path_score": score}
             if chars is not None:
                 out["greedy_code"], out["greedy_confidence"] = free_paths(x, chars)

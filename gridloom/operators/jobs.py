@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import codes as C
 from gridloom.operators.cells import page
 
 #: States of a job, and the columns a list may be sorted by.
@@ -93,3 +94,11 @@ def get_by_key(df: DataFrame, **key: object) -> DataFrame:
     for k, v in key.items():
         df = df.filter(F.col(k) == F.lit(v))
     return df.limit(1)
+
+
+def decode(rows: DataFrame) -> DataFrame:
+    """PRJ-01: stored text rows to jobs: JSON columns parsed, stamps read; what is absent or can't be read is NULL."""
+    box = "struct<x:bigint,y:bigint,width:bigint,height:bigint>"
+    stamps = {c: C.parse_stamp(F.col(c)) for c in ("heartbeat_at", "created_at", "updated_at") if c in rows.columns}
+    whole = {c: F.col(c).try_cast("bigint") for c in ("rows", "cols", "processed_cells", "total_cells") if c in rows.columns}
+    return rows.withColumns({"crop_box": F.from_json("crop_box", box), "valid_codes": F.from_json("valid_codes", "array<string>"), **stamps, **whole})

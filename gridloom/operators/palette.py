@@ -96,6 +96,7 @@ def corpus_manifest(crops: DataFrame) -> DataFrame:
     return crops.select("job", "code", name.alias("file"), (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"))
 
 
-def redraw_colour(hex_: Column, fallback: str = "#CCCCCC") -> Column:
-    """PAL-22: only #RRGGBB counts as a colour to redraw with."""
-    return F.when(hex_.rlike("^#[0-9A-Fa-f]{6}$"), hex_).otherwise(fallback)
+def redraw_colours(entries: DataFrame) -> DataFrame:
+    """PAL-22: (code, r, g, b) of the entries whose colour is #RRGGBB; others can't be drawn with."""
+    c = rgb(F.col("hex"))
+    return entries.filter(F.col("hex").rlike("^#[0-9A-Fa-f]{6}$")).select("code", *(c[x].alias(x) for x in "rgb"))

@@ -54,7 +54,8 @@ def to_chw(img: np.ndarray) -> np.ndarray:
 
 def to_gray(img: np.ndarray) -> np.ndarray:
     """COL-09: truncated luma."""
-    return (img @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+    r, g, b = (img[..., k].astype(np.float64) for k in range(3))
+    return (r * 0.299 + g * 0.587 + b * 0.114).astype(np.uint8)
 
 
 def png_encode(img: np.ndarray) -> bytes:
@@ -152,3 +153,93 @@ def corrections_zip(rows: pd.DataFrame) -> bytes:
 def export_corrections(cells: DataFrame) -> DataFrame:
     """SNK-09 over a relation: one archive for each blueprint; a group is at most a grid of 500 x 500."""
     return cells.groupBy("job").applyInPandas(lambda pdf: pd.DataFrame({"job": [pdf["job"].iloc[0]], "archive": [corrections_zip(pdf)]}), "job long, archive binary")
+
+
+def augment(img: np.ndarray) -> dict[str, np.ndarray]:
+    """PAL-17: the seven variants of an image (h, w, 3) of bytes: as it is, turned by 10 degrees either way (edges go on), 0.8 and 1.2 times as bright, mirrored, blurred."""
+    h, w = img.shape[:2]
+    x = img.astype(np.float64)
+    out = {"orig": img}
+    yy, xx = np.mgrid[0:h, 0:w] - np.array([h / 2, w / 2])[:, None, None]
+    for name, angle in (("rot_m10", -10), ("rot_p10", 10)):
+        c, s = np.cos(np.deg2rad(angle)), np.sin(np.deg2rad(angle))
+        out[name] = _bilinear(x, s * xx + c * yy + h / 2, c * xx - s * yy + w / 2)
+    for name, by in (("scale_08", 0.8), ("scale_12", 1.2)):
+        out[name] = np.clip(np.rint(x * by), 0, 255).astype(np.uint8)
+    out["flip"] = img[:, ::-1]
+    k = np.exp(-np.array([1.0, 0.0, 1.0]) / (2 * 0.5**2))
+    k /= k.sum()
+    for axis in (0, 1):
+        pad = np.pad(x, [(1, 1) if a == axis else (0, 0) for a in range(3)], mode="reflect" if min(h, w) > 1 else "edge")
+        x = sum(k[i] * np.take(pad, np.arange(i, i + img.shape[axis]), axis=axis) for i in range(3))
+    out["blur"] = np.clip(np.rint(x), 0, 255).astype(np.uint8)
+    return out
+
+
+def _bilinear(x: np.ndarray, at_y: np.ndarray, at_x: np.ndarray) -> np.ndarray:
+    """Values between pixels; places outside take the nearest edge."""
+    h, w = x.shape[:2]
+    y, z = np.clip(at_y, 0, h - 1), np.clip(at_x, 0, w - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(z).astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = (y - y0)[..., None], (z - x0)[..., None]
+    v = (1 - fy) * ((1 - fx) * x[y0, x0] + fx * x[y0, x1]) + fy * ((1 - fx) * x[y1, x0] + fx * x[y1, x1])
+    return np.clip(np.rint(v), 0, 255).astype(np.uint8)
+
+
+def variants(images: DataFrame) -> DataFrame:
+    """PAL-17 over a relation (id, content PNG): (id, variant, content)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(i, name, png_encode(v)) for i, c in zip(pdf["id"], pdf["content"], strict=True) for name, v in augment(png_decode(c)).items()]
+            yield pd.DataFrame(rows, columns=["id", "variant", "content"])
+
+    return images.select("id", "content").mapInPandas(run, "id long, variant string, content binary")
+
+
+def as_png(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """SNK-13: (id, pixels array of height * width * 3 bytes) to (id, content PNG)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"id": pdf["id"], "content": [png_encode(np.array(p, np.uint8).reshape(height, width, 3)) for p in pdf["pixels"]]})
+
+    return rows.mapInPandas(run, "id long, content binary")
+
+
+def measured(images: DataFrame, what: str) -> DataFrame:
+    """(id, variant, values) of the decoded images (id, variant, content): the pixels of a "crop" (OCR-06), of an "area" resample to half size (OCR-07),
+    the "gray" values (COL-09), the "tensor" of the image letterboxed to twice its longer side (OCR-08, ARR-05, OCR-20), or "pixels"."""
+
+    def of(img: np.ndarray) -> np.ndarray:
+        h, w = img.shape[:2]
+        if what == "crop":
+            return crop(img, 1, 1, w + 5, h - 1)
+        if what == "area":
+            return resize_area(img, h // 2, w // 2)
+        if what == "gray":
+            return to_gray(img)
+        return to_chw(letterbox(img, 2 * max(h, w))) if what == "tensor" else img
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"id": pdf["id"], "variant": pdf["variant"], "values": [of(png_decode(c)).astype(np.float64).reshape(-1) for c in pdf["content"]]})
+
+    return images.select("id", "variant", "content").mapInPandas(run, "id long, variant string, values array<double>")
+
+
+def archive_lines(archives: DataFrame) -> DataFrame:
+    """SRC-11, JON-09 for archives held in a column (job, archive): (job, code, file, row, col, size) of the manifest's lines whose file is inside."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for job, content in zip(pdf["job"], pdf["archive"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    table = pd.read_csv(io.BytesIO(z.read("manifest.csv")), encoding="utf-8-sig", dtype=str)
+                    sizes = {i.filename: i.file_size for i in z.infolist()}
+                out += [(job, r[0], r[1], int(r[2]), int(r[3]), sizes[r[1]]) for r in table.itertuples(index=False) if r[1] in sizes]
+            yield pd.DataFrame(out, columns=["job", "code", "file", "row", "col", "size"])
+
+    return archives.mapInPandas(run, "job long, code string, file string, row long, col long, size long")

@@ -773,3 +773,6 @@ def idempotent_dedupe(s):
     """STM-05: every event delivered twice counts once."""
     twice = s("steps").unionByName(s("steps"))
     return twice.dropDuplicates(["job", "attempt", "seq"]).groupBy("job").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+from gridloom.plans import stores  # noqa: E402, F401  registers its queries here
