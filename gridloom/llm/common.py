@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="gridloom-"))
     return _LOCAL_DIR[0]
@@ -46,7 +48,12 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more: all that came from them has been written too."""
+    """Delete written tables that nothing reads any more, as all that came from them has been written too, and let go of finished shuffles.
+
+    Spark's cleaner drops the files of a shuffle once its plan has been collected, which in a driver with little to do may be long after.
+    """
+    if tables:
+        tables[0].sparkSession._jvm.java.lang.System.gc()
     for t in tables:
         for file in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(file)

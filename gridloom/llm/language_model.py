@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import textvec as tv
 from gridloom.llm.common import doc_texts, drop, fold_id, materialize
 
-DEPTH, LEAST, FLOOR, MU, GAIN = 4, 16, 4, 2.0, 0.005
-HOT = 2.0**-20
+DEPTH, LEAST, FLOOR, MU, GAIN, HALF = 4, 16, 4, 2.0, 0.005, 0.5
+HOT = 2.0**-19
 BITS = 27  # of a bit set's size
 END = np.uint64(0xE17D0F5EED0F7E87)
 HELD = 1 << 19  # keys a counting task holds before it compacts them
@@ -114,17 +114,19 @@ def _compact(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [*(c[order[first]] for c in cols[:-1]), np.add.reduceat(cols[-1][order], first) if len(key) else cols[-1]]
 
 
-def _counted(docs: DataFrame, order: int, contexts: np.ndarray | None = None) -> DataFrame:
-    """(key, n) of the words, or (context, rest, n) of the n-grams whose context may be in the bit set ``contexts``; pre-aggregated in the tasks."""
+def _counted(docs: DataFrame, order: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(key, n) of the words, or (context, rest, n) of the n-grams whose context and rest may be in the two bit sets ``known``; pre-aggregated in the tasks."""
     names = ["key"] if order == 1 else ["context", "rest"]
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def grams(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
         if order == 1:
             return [h]
         for _, key, context, rest in gram_keys(h, ptr, order):  # the last is the longest
             pass
-        k = np.flatnonzero(maybe(shared.value, context))
+        contexts, rests = shared.value
+        k = np.flatnonzero(maybe(contexts, context))
+        k = k[maybe(rests, rest[k])]
         return [key[k], context[k], rest[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,7 @@ def _diverging(rows: DataFrame) -> DataFrame:
     )
     left = F.col("c") - F.col("stored")
     gain = F.col("gain") + F.when(left > 0, left * F.log(left / F.col("c") / F.greatest(1 - F.col("covered"), F.lit(1e-9)))).otherwise(0.0)
-    keep = (gain >= GAIN * F.col("c")) & (gain >= 0.5 * F.col("k") * F.log(F.greatest(F.col("c"), F.lit(2))))
+    keep = (gain >= GAIN * F.col("c")) & (gain >= HALF * F.col("k") * F.log(F.greatest(F.col("c"), F.lit(2))))
     return sums.select("context", F.col("c"), left.alias("left"), keep.alias("keep"))
 
 
@@ -184,7 +186,9 @@ def grow(training: DataFrame, words: DataFrame, floor: int, least: int, depth: i
         bits = bit_set(contexts.select(F.col("context").alias("key")))
         if not bits.any():
             break
-        counted = materialize(_with_key(_counted(training, order, bits).filter(F.col("n") >= floor)), "counted")
+        # an n-gram is no more frequent than what is left of it without its first word
+        rests = bit_set(shorter.filter(F.col("n") >= floor).select("key"))
+        counted = materialize(_with_key(_counted(training, order, (bits, rests)).filter(F.col("n") >= floor)), "counted")
         rows = counted.join(shorter.select(F.col("key").alias("rest"), F.col("p").alias("q")).hint("merge"), "rest").join(contexts.hint("merge"), "context")
         rows = materialize(rows.select("key", "context", "rest", "n", "q", "c"), "rows")
         states = materialize(_diverging(rows), "states")
