@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as tv
-from gridloom.llm.common import doc_texts, fresh, materialize
+from gridloom.llm.common import doc_texts, drop, fresh, materialize
 from gridloom.llm.graph import components
 
 M, MATCHES = 64, 36
@@ -204,6 +204,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     links = materialize(_confirm(first, texts, words, percent), "links", narrow=True)
     label = materialize(components(links), "labels", narrow=True)
 
+    drop(first)
     member = materialize(prefix.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("rep", "n", "key", F.coalesce("label", "rep").alias("part")), "members", narrow=True)
     split = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("nb"))
     left = member.join(split, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), "nb"))
@@ -215,11 +216,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         more = materialize(_confirm(second, texts, words, percent), "links", narrow=True)
         label = materialize(components(links.union(more)), "labels", narrow=True)
 
+    drop(texts, prefix, member, second)
     to = classes.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
     least = to.groupBy("component").agg(F.min("least").getField("doc_id").alias("component_id"))
-    to = materialize(to.select("d1", "d2", F.col("n").alias("n_shingles"), "component").join(least, "component"), "components")
-    salted = to.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = rows.select("doc_id", "k2", "n_shingles", "d1", "d2", F.pmod(F.xxhash64("doc_id", "k2"), F.lit(SALTS)).cast("int").alias("salt"))
+    salt = lambda doc_id, k2: F.pmod(F.xxhash64(doc_id, k2), F.lit(SALTS)).cast("int")
+    # a class of one row meets it under its own salt, a larger one is there under each
+    salts = F.when(F.col("copies") == 1, F.array(salt("least.doc_id", "least.k2"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    to = materialize(to.select("d1", "d2", F.col("n").alias("n_shingles"), "component", salts.alias("salts")).join(least, "component"), "components")
+    salted = to.withColumn("salt", F.explode("salts")).drop("salts")
+    own = rows.select("doc_id", "k2", "n_shingles", "d1", "d2", salt("doc_id", "k2").alias("salt"))
     found = own.join(salted, ["d1", "d2", "n_shingles", "salt"], "left")
     return found.select("doc_id", "k2", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
