@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
+#: whether Spark removes the shuffle files of a query when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,24 +38,24 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     Unlike a local checkpoint the rows outlive any executor, and later readers prune columns.
     ``narrow``: rows of a few numbers, dealt to an eighth of the session's shuffle partitions so
     that they don't end in many tiny files.
-    Snappy works on the heap; zstd contexts of many small files added up outside it.
+    The shuffles behind the table go as soon as it is written. Snappy works on the heap; zstd contexts of many small files added up outside it.
     """
     spark = df.sparkSession
     small_batches(spark)
     if narrow:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "snappy").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, as all that came from them has been written too, and let go of finished shuffles.
-
-    Spark's cleaner drops the files of a shuffle once its plan has been collected, which in a driver with little to do may be long after.
-    """
-    if tables:
-        tables[0].sparkSession._jvm.java.lang.System.gc()
+    """Delete written tables that nothing reads any more, as all that came from them has been written too."""
     for t in tables:
         for file in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
