@@ -245,3 +245,30 @@ def test_sinks(spark, tmp_path):
         sinks.publish(spark, b"w", about, str(tmp_path / "art"), str(tmp_path / "ptr"))
     sinks.write_manifest(spark.createDataFrame([("H1", "a.png", 1, 1, "0", 9)], "code string, file string, row int, col int, hue string, brightness int").coalesce(1), str(tmp_path / "man"))
     assert readers.manifest(spark, str(tmp_path / "man")).first()["file"] == "a.png"
+
+
+def test_image_variants():
+    img = np.random.default_rng(2).integers(0, 256, (9, 12, 3)).astype(np.uint8)
+    out = I.augment(img)
+    assert list(out) == ["orig", "rot_m10", "rot_p10", "scale_08", "scale_12", "flip", "blur"]
+    assert all(v.shape == img.shape and v.dtype == np.uint8 for v in out.values())
+    assert (out["flip"][:, ::-1] == img).all() and (out["scale_08"] <= img).all() and (out["scale_12"] >= img).all()
+    flat = np.full((5, 7, 3), 90, np.uint8)
+    assert all((I.augment(flat)[k] == 90).all() for k in ("rot_m10", "rot_p10", "blur", "flip"))
+    k = np.exp([-2.0, 0, -2]) / np.exp([-2.0, 0, -2]).sum()  # kernel of three at a deviation of a half
+    want = sum(k[i] * k[j] * img[3 + i - 1, 4 + j - 1].astype(float) for i in range(3) for j in range(3))
+    assert np.abs(out["blur"][3, 4] - want).max() <= 0.5
+    dot = np.zeros((21, 21, 3), np.uint8)
+    dot[10, 18] = 255  # eight pixels right of the middle; a turn by 10 degrees moves it up or down by one or two
+    up, down = (np.argwhere(I.augment(dot)[k][..., 0] > 60)[:, 0] for k in ("rot_p10", "rot_m10"))
+    assert {x < 10 for x in up} == {True} and {x > 10 for x in down} == {True}
+
+
+def test_ranks_by_slices_equal_one_sort(spark):
+    rows = [(i, None if i % 7 == 0 else f"g{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    got = {r.id: (r._rank, r._n) for r in D.ranked(df, 5, "id", "g").collect()}
+    for g in {x for _, x in rows}:
+        ids = sorted((i for i, x in rows if x == g), key=lambda i: ((i * 2654435761 + 5) % 2147483648, i))
+        assert [got[i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]
+    assert D.cut(df, 0.1, 5).filter("split = 'train'").count() == 450
