@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import textvec as tv
 from gridloom.llm.common import doc_texts, drop, fold_id, materialize
 
-DEPTH, LEAST, FLOOR, MU, GAIN, HALF = 4, 16, 4, 2.0, 0.005, 0.5
-HOT = 2.0**-19
+DEPTH, LEAST, FLOOR, MU, GAIN, HALF = 3, 16, 4, 2.0, 0.005, 0.5
+HOT = 2.0**-18
+SLICES = 4  # of the documents, scored one after the other, so that the shuffle of one goes before the next begins
 BITS = 27  # of a bit set's size
 END = np.uint64(0xE17D0F5EED0F7E87)
 HELD = 1 << 19  # keys a counting task holds before it compacts them
@@ -298,7 +300,7 @@ def score(docs: DataFrame, tree: Tree, table: DataFrame, total: int, kinds: int)
     parts = docs.mapInArrow(run, "row long, key long, tf int, kind byte, value double")
     kind, unseen = F.col("kind"), F.log10(F.lit(0.1) / F.lit(total + 0.1 * (kinds + 1)))
     about, gram, word = kind.isin(BASE, NO_ID), kind == GRAM, kind == WORD
-    found = parts.join(table.hint("merge"), "key", "left").groupBy("row").agg(
+    found = parts.join(table.hint("shuffle_hash"), "key", "left").groupBy("row").agg(
         F.max(F.when(kind == BASE, F.col("key"))).alias("doc_id"),
         F.sum(F.when(about, F.col("tf")).otherwise(0)).alias("n_tokens"),
         F.sum(F.when((kind == SUM) | word & F.col("root").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
@@ -313,8 +315,15 @@ def held_out():
     return F.coalesce(fold_id(F.col("doc_id")) % 10 == 0, F.lit(False))
 
 
+def score_sliced(docs: DataFrame, tree: Tree, table: DataFrame, total: int, kinds: int) -> DataFrame:
+    """``score`` of docs (doc_id, text), written slice by slice."""
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    parts = [materialize(score(rows.filter(F.pmod(F.xxhash64("row"), F.lit(SLICES)) == k), tree, table, total, kinds), "scores") for k in range(SLICES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def op6(spark: SparkSession, sf_dir: str, **how: float) -> DataFrame:
     """Base and suffix-tree scores of every document."""
     docs = doc_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     tree, table, total, kinds = learn(docs.filter(~held_out()).select("text"), **how)
-    return score(docs.withColumn("row", F.monotonically_increasing_id()), tree, table, total, kinds)
+    return score_sliced(docs, tree, table, total, kinds)
