@@ -182,7 +182,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     rows = materialize(signatures(docs, words), "signatures")
     member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k2")
     classes = rows.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min(member).alias("least"), F.min_by("sig", member).alias("sig"), F.count("*").alias("copies"))
-    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    # numbered in the order of the rows, so that a list's smallest member, its star's centre, is its oldest text
+    classes = materialize(classes.orderBy("least").withColumn("rep", F.monotonically_increasing_id()), "classes")
     posted = _post(classes)
     shared = posted.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
     # pairs that a set alone has are its rarest; of the others it posts what its prefix still holds
