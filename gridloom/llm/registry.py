@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, chat, decontaminate, html_text, language_model, neardup, quality, sharding, substring_dedup
+from gridloom.llm import ann, bpe, chat, decontaminate, html_text, language_model, merkle, neardup, packing, quality, sharding, substring_dedup, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": ann.op8,
         "op9_html": html_text.op9,
         "op10_quality": quality.op10,
+        "op11_packing": packing.op11,
+        "op12_merkle": merkle.op12,
+        "op13_whitening": whitening.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL, "op5_minhash": neardup.OP5_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op5_minhash": neardup.OP5_SQL, "op12_merkle": merkle.OP12_SQL}
