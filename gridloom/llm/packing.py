@@ -5,14 +5,12 @@ full pieces after a first one that holds the rest. What the packing depends on i
 lengths, ``capacity`` numbers at most, so the program over it is solved on the driver whatever the number of documents:
 its columns are configurations (how many pieces of each length share a sequence), its rows demand that every piece is covered.
 
-* Multiplicative weights: each length has a price, at first its share of a sequence. A knapsack by dynamic programming finds
-  the most valuable configuration; it is used for a share of the demand, and the prices of what it covers fall
-  exponentially with it. The demand priced at any moment over the value of its best configuration bounds the optimum from below.
-* Rounding: configurations are taken whole times while the demand lasts, fullest first. The rest is filled one
-  configuration at a time: the longest piece left and the subset sum that comes nearest to the gap, again as many times as the demand lasts. The
-  same filling without the program is computed too and the better of both is kept.
-
-A plan has some thousand configurations at most (each step ends a length or halves what a configuration takes of it) and
+* Multiplicative weights: each length has a price, at first its share of a sequence. A knapsack by dynamic programming finds the
+  most valuable configuration, and the most valuable one with each length; the good ones are used for a share of the demand, and the prices of
+  what they cover fall exponentially with it. The demand at any prices over the value of their best configuration bounds the optimum from below.
+* Rounding: configurations are taken whole times, rounded up, while the demand lasts, fullest first. What is left is packed by best fit decreasing.
+
+The number of configurations depends on the capacity and the rounds, not on the documents. A plan
 numbers its sequences configuration by configuration. So the r-th piece of a length has its place by arithmetic:
 a piece's rank within its length is its rank within the task that cut it, counted there, plus the number of such pieces in the tasks before.
 No group of equal lengths, however hot, meets in one task.
@@ -27,7 +25,7 @@ MEMO such parts at most and gives the others to the tokenizer together. Long tex
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,9 +43,9 @@ CAPACITY = 2048
 CLOSING = 0
 MEMO = 200_000
 SLICE = 1 << 19  # characters of a text that are split at once
-ROUNDS = 300  # of pricing
-SHARE = 0.5  # of the scarcest demand that a configuration takes in a round
-RATE = 2.0  # how fast prices fall
+ROUNDS = 40  # of pricing
+RATE = 4.0  # how fast prices fall
+TIGHT = 0.02  # configurations worth this much less than the best are used too
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, part int, nth long"
 
@@ -147,84 +145,97 @@ class Plan:
         return sum(t for t, _ in self.configurations)
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The multiset of lengths within the capacity with the highest price, by dynamic programming; prices[s] is 0 where there is no such length."""
+def priced(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the highest price within each capacity and the length put in last (0: none); long pieces first at ties."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        value = best[c - 1 :: -1][:c] + prices[1 : c + 1]
+        value = best[:c] + prices[c:0:-1]
         k = int(value.argmax())
-        if value[k] > best[c - 1]:
-            best[c], last[c] = value[k], k + 1
+        if value[k] > best[c - 1] + 1e-15:
+            best[c], last[c] = value[k], c - k
         else:
             best[c] = best[c - 1]
-    found, c = Counter(), capacity
-    while c:
-        found[int(last[c])] += 1
-        c -= int(last[c]) or 1
-    del found[0]
-    return float(best[capacity]), dict(found)
-
-
-def fractional(demand: np.ndarray, capacity: int) -> tuple[list[tuple[float, dict[int, int]]], float]:
-    """Multiplicative weights for the program's cover; its configurations and the best lower bound on its optimum."""
-    sizes = np.arange(capacity + 1)
-    need, covered = demand.astype(float), np.zeros(capacity + 1)
-    used: list[tuple[float, dict[int, int]]] = []
-    bound = 0.0
-    for _ in range(ROUNDS):
-        prices = np.where(need > 0, sizes / capacity * np.exp(-RATE * covered / np.maximum(need, 1)), 0.0)
-        prices[(covered >= need)] = 0.0
-        if not prices.any():
-            break
-        value, found = best_configuration(prices, capacity)
-        bound = max(bound, float(need @ prices) / value)
-        times = max(1.0, SHARE * min(need[s] / a for s, a in found.items()))
-        used.append((times, found))
-        for s, a in found.items():
-            covered[s] += a * times
-    return used, bound
-
-
-def fill(left: np.ndarray, sizes: list[int], gap: int) -> dict[int, int]:
-    """The pieces left whose lengths add up to most within ``gap``; long ones before short ones. By subset sums as the bits of a number."""
-    items = []
-    for s in sizes[: bisect_right(sizes, gap)]:
-        n, k = min(int(left[s]), gap // s), 1
-        while n > 0:
-            items.append((s, min(k, n)))
-            n -= k
-            k *= 2
-    mask, reach = (1 << (gap + 1)) - 1, [1]
-    for s, k in items:
-        r = reach[-1]
-        reach.append((r | r << s * k) & mask)
-        if reach[-1] >> gap & 1:
-            break
-    total, found = reach[-1].bit_length() - 1, Counter()
-    for at in range(len(reach) - 2, -1, -1):
-        s, k = items[at]
-        if total >= s * k and reach[at] >> (total - s * k) & 1:
-            found[s] += k
-            total -= s * k
+    return best, last
+
+
+def traced(last: np.ndarray, c: int) -> Counter:
+    """The configuration behind ``priced`` for capacity c."""
+    found: Counter = Counter()
+    while c > 0:
+        if s := int(last[c]):
+            found[s] += 1
+        c -= s or 1
     return found
 
 
-def greedy(left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Configurations for the whole demand: the longest piece left and the best filling of its gap."""
-    out, left = [], left.copy()
-    sizes = [int(s) for s in np.flatnonzero(left)]
-    while sizes:
-        s = sizes[-1]
-        left[s] -= 1
-        found = Counter(fill(left, sizes, capacity - s))
-        left[s] += 1
-        found[s] += 1
-        times = min(int(left[x]) // a for x, a in found.items())
-        for x, a in found.items():
-            left[x] -= a * times
-        out.append((times, dict(found)))
-        sizes = [x for x in sizes if left[x]]
-    return out
+def fractional(demand: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Multiplicative weights for the program's cover: how often each configuration is used, scaled to the demand, and the best lower bound on the optimum.
+
+    In a round every length not covered yet gets the best configuration with it; those nearly as valuable as the best of all are
+    used, scaled so that no length is covered by more than a round's share of its demand.
+    """
+    sizes, need, covered = np.arange(capacity + 1), demand.astype(float), np.zeros(capacity + 1)
+    used: dict[tuple[tuple[int, int], ...], float] = {}
+    bound, share = 0.0, 1.0 / ROUNDS
+    for _ in range(ROUNDS):
+        prices = np.where(need > 0, sizes / capacity * np.exp(-RATE * covered / np.maximum(need, 1)), 0.0)
+        best, last = priced(prices, capacity)
+        if not best[capacity]:
+            break
+        bound = max(bound, float(need @ prices) / best[capacity])
+        tight = [s for s in np.flatnonzero(need > covered).tolist() if prices[s] + best[capacity - s] >= (1 - TIGHT) * best[capacity]]
+        drawn, load = [], np.zeros(capacity + 1)
+        for s in tight:
+            found = traced(last, capacity - s)
+            found[s] += 1
+            times = share * need[s] / found[s]
+            drawn.append((times, found))
+            for x, a in found.items():
+                load[x] += a * times
+        scale = np.maximum(1.0, load / np.maximum(share * need, 1e-9))
+        for times, found in drawn:
+            times /= max(scale[x] for x in found)
+            key = tuple(sorted(found.items()))
+            used[key] = used.get(key, 0.0) + times
+            for x, a in found.items():
+                covered[x] += a * times
+    volume = float((np.minimum(covered, need) * sizes).sum())
+    return {k: t * float(need @ sizes) / volume for k, t in used.items()} if volume else {}, bound
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best fit decreasing over the histogram: pieces of a length go together to the fullest sequences they fit, as many as there are of each."""
+    alike: dict[int, list[tuple[int, dict[int, int]]]] = {}  # by room left
+    rooms: list[int] = []
+
+    def put(room: int, times: int, found: dict[int, int]) -> None:
+        if room not in alike:
+            alike[room] = []
+            insort(rooms, room)
+        alike[room].append((times, found))
+
+    for s in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[s])
+        while n:
+            k = bisect_left(rooms, s)
+            if k == len(rooms):
+                whole, rest = divmod(n, capacity // s)
+                if whole:
+                    put(capacity - s * (capacity // s), whole, {s: capacity // s})
+                if rest:
+                    put(capacity - s * rest, 1, {s: rest})
+                break
+            room = rooms[k]
+            times, found = alike[room].pop()
+            if not alike[room]:
+                del alike[room]
+                rooms.pop(k)
+            taken = min(times, n)
+            if taken < times:
+                put(room, times - taken, found)
+            put(room - s, taken, {**found, s: found.get(s, 0) + 1})
+            n -= taken
+    return [c for own in alike.values() for c in own]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -233,21 +244,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     for s, n in histogram.items():
         demand[s] = n
     full = [(int(demand[capacity]), {capacity: 1})] if demand[capacity] else []
-    rest = demand.copy()
-    rest[capacity] = 0
-    used, bound = fractional(rest, capacity)
-    volume = -(-int(rest @ np.arange(capacity + 1)) // capacity)
-    left, rounded = rest.copy(), []
-    fullness = lambda u: sum(s * a for s, a in u[1].items())
-    for times, found in sorted(used, key=lambda u: (-fullness(u), -u[0])):
-        whole = min(int(times), *(int(left[s]) // a for s, a in found.items()))
-        if whole > 0:
-            rounded.append((whole, found))
-            for s, a in found.items():
+    left = demand.copy()
+    left[capacity] = 0
+    used, bound = fractional(left, capacity)
+    volume = -(-int(left @ np.arange(capacity + 1)) // capacity)
+    rounded = []
+    for key, times in sorted(used.items(), key=lambda u: (-sum(s * a for s, a in u[0]), -u[1], u[0])):
+        whole = min(int(np.ceil(times)), *(int(left[s]) // a for s, a in key))
+        if whole:
+            rounded.append((whole, dict(key)))
+            for s, a in key:
                 left[s] -= a * whole
-    plans = [rounded + greedy(left, capacity), greedy(rest, capacity)]
-    best = min(plans, key=lambda p: sum(t for t, _ in p))
-    return Plan(full + best, int(demand[capacity]) + max(volume, int(np.ceil(bound - 1e-6))))
+    return Plan(full + rounded + best_fit(left, capacity), int(demand[capacity]) + max(volume, int(np.ceil(bound - 1e-6))))
 
 
 def places(p: Plan) -> dict[int, tuple[np.ndarray, ...]]:
