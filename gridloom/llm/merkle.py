@@ -5,7 +5,7 @@ and every ``FANOUT`` consecutive nodes become their hash, level by level, until
 groups' order, give the root of the whole in the same way.
 
 Ranks come from one range sort of the narrow table of leaves and from counts of each task before; a group never meets in
-one task. Ranks deal a group into aligned blocks of ``BLOCK`` = 3^9 nodes, which are independent: a block is one contiguous
+one task. Ranks deal a group into aligned blocks of 3^9 nodes, which are independent: a block is one contiguous
 numpy matrix of 64-byte digests, reshaped by the fanout and hashed row by row a level at a time. Blocks' roots are the nodes of the next,
 19,683 times smaller round, until each group has one. Going down again, each block is joined with the path of its root,
 and a row's siblings at every level are found by index arithmetic in the block's matrices, those of all rows of a level at once. A path is a string of
@@ -30,8 +30,7 @@ from pyspark.sql.window import Window
 from gridloom.llm.common import drop, fold_id, materialize, table
 
 FANOUT = 3
-HEIGHT = 9
-BLOCK = FANOUT**HEIGHT
+HEIGHT = 9  # levels of a block, which has 19,683 nodes
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROWS = 8192  # of a result batch
 
@@ -88,7 +87,7 @@ def steps(places: np.ndarray, others: np.ndarray) -> list[bytes]:
     n, h = places.shape
     wide = np.zeros((n, h, 2 + 64 * (FANOUT - 1)), np.uint8)
     wide[:, :, 0] = places + ord("0")
-    wide[:, :, 1:-1] = np.ascontiguousarray(others).view(np.uint8).reshape(n, h, -1)
+    wide[:, :, 1:-1] = np.ascontiguousarray(others).view(np.uint8).reshape(n, h, 64 * (FANOUT - 1))
     wide[:, :, -1] = ord(";")
     whole, size = wide.tobytes(), wide[0].size if n else 0
     return [whole[i * size : (i + 1) * size].replace(b"\0", b"") for i in range(n)]
@@ -131,41 +130,41 @@ def column(t: pa.Table, name: str) -> np.ndarray:
     return np.array(t.column(name).to_pylist(), "S64")
 
 
-def dealt(nodes: DataFrame) -> DataFrame:
+def dealt(nodes: DataFrame, tall: int) -> DataFrame:
     """Nodes (grp, i, n, digest, ...) with their block, block by block in order of i."""
     rest = [c for c in nodes.columns if c not in ("grp", "i")]
-    return nodes.select("grp", F.floor(F.col("i") / BLOCK).cast("long").alias("block"), "i", *rest).repartition("grp", "block").sortWithinPartitions("grp", "block", "i")
+    return nodes.select("grp", F.floor(F.col("i") / FANOUT**tall).cast("long").alias("block"), "i", *rest).repartition("grp", "block").sortWithinPartitions("grp", "block", "i")
 
 
-def rise(nodes: DataFrame) -> DataFrame:
+def rise(nodes: DataFrame, tall: int) -> DataFrame:
     """The nodes of the next round: each block's root; ``n`` becomes the number of blocks of its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches):
             n = t.column("n")[0].as_py()
-            top = levels(column(t, "digest"), min(HEIGHT, height(n)))[-1][0].decode()
-            yield pa.RecordBatch.from_pylist([{"grp": t.column("grp")[0].as_py(), "i": t.column("block")[0].as_py(), "n": -(-n // BLOCK), "digest": top}], schema=NODE)
+            top = levels(column(t, "digest"), min(tall, height(n)))[-1][0].decode()
+            yield pa.RecordBatch.from_pylist([{"grp": t.column("grp")[0].as_py(), "i": t.column("block")[0].as_py(), "n": -(-n // FANOUT**tall), "digest": top}], schema=NODE)
 
-    return dealt(nodes.select("grp", "i", "n", "digest")).mapInArrow(run, "grp long, i long, n long, digest string")
+    return dealt(nodes.select("grp", "i", "n", "digest"), tall).mapInArrow(run, "grp long, i long, n long, digest string")
 
 
 NODE = pa.schema([("grp", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("digest", pa.string())])
 
 
-def sink(nodes: DataFrame, above: DataFrame | None, kept: tuple[str, ...] = ()) -> DataFrame:
+def sink(nodes: DataFrame, above: DataFrame | None, tall: int, kept: tuple[str, ...] = ()) -> DataFrame:
     """(grp, i, kept, subroot, path) of a round's nodes: their siblings in their block, then the path of the block's root, which ``above`` has as (grp, i, subroot, path)."""
     own = nodes.select("grp", "i", "n", "digest", *(c for c in kept if c != "digest"))
     if above is None:
         own = own.withColumns({"subroot": F.lit(""), "up": F.lit("")})
     else:
         up = above.select("grp", F.col("i").alias("b"), "subroot", F.col("path").alias("up"))
-        own = own.withColumn("b", F.floor(F.col("i") / BLOCK).cast("long")).join(up, ["grp", "b"]).drop("b")
+        own = own.withColumn("b", F.floor(F.col("i") / FANOUT**tall).cast("long")).join(up, ["grp", "b"]).drop("b")
     out = ["grp", "i", *kept, "subroot"]
     schema = own.select(*out).withColumn("path", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches):
-            tree = levels(column(t, "digest"), min(HEIGHT, height(t.column("n")[0].as_py())))
+            tree = levels(column(t, "digest"), min(tall, height(t.column("n")[0].as_py())))
             up = t.column("up")[0].as_py().encode()
             places, others = siblings(tree)
             t = t.select(out)
@@ -173,15 +172,15 @@ def sink(nodes: DataFrame, above: DataFrame | None, kept: tuple[str, ...] = ())
                 paths = [(p + up).decode() for p in steps(places[at : at + ROWS], others[at : at + ROWS])]
                 yield from t.slice(at, ROWS).append_column("path", pa.array(paths, pa.string())).combine_chunks().to_batches()
 
-    return dealt(own).mapInArrow(run, schema)
+    return dealt(own, tall).mapInArrow(run, schema)
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
-    """The rounds of nodes up to one a group: one round for groups of up to 19,683 nodes, two up to 387 million, three up to 7.6 * 10^12."""
+def climb(nodes: DataFrame, tall: int) -> list[DataFrame]:
+    """The rounds of nodes up to one a group; with blocks of 3^9 one round for groups of up to 19,683 nodes, two up to 387 million, three up to 7.6 * 10^12."""
     rounds, most = [nodes], nodes.agg(F.max("n")).first()[0] or 0
     while most > 1 or len(rounds) == 1:
-        rounds.append(materialize(rise(rounds[-1]), "roots", narrow=True))
-        most = -(-most // BLOCK)
+        rounds.append(materialize(rise(rounds[-1], tall), "roots", narrow=True))
+        most = -(-most // FANOUT**tall)
     return rounds
 
 
@@ -217,8 +216,8 @@ def ranked(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return joined.select(*df.columns, (F.col("nth") + F.col("before")).alias("i"))
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
-    """Of leaves (source, doc_id, leaf, other columns): the other columns, doc_id, leaf, subroot, root and the path from the leaf to the root."""
+def manifest(leaves: DataFrame, tall: int = HEIGHT) -> DataFrame:
+    """Of leaves (source, doc_id, leaf, other columns): the other columns, doc_id, leaf, subroot, root and the path from the leaf to the root. Blocks have ``tall`` levels."""
     leaves = materialize(leaves, "leaves")
     others = tuple(c for c in leaves.columns if c not in ("source", "doc_id", "leaf"))
     placed = ranked(leaves, "source", [F.col("doc_id").asc_nulls_first(), F.col("leaf").asc()])
@@ -227,17 +226,17 @@ def manifest(leaves: DataFrame) -> DataFrame:
     nodes = placed.join(groups, F.col("source").eqNullSafe(F.col("s"))).select("grp", "i", "n", F.col("leaf").alias("digest"), "doc_id", *others)
     nodes = materialize(nodes, "nodes")
     drop(leaves)
-    rounds = climb(nodes)
+    rounds = climb(nodes, tall)
     tops = rounds[-1].select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("i"), F.lit(sizes.count()).cast("long").alias("n"), "digest", F.col("digest").alias("top"))
-    over = climb(tops)
+    over = climb(tops, tall)
     root = over[-1].first()
     above = None
     for k in range(len(over) - 2, 0, -1):
-        above = materialize(sink(over[k], above), "paths", narrow=True)
-    above = sink(tops, above, ("top",)).select(F.col("i").alias("grp"), F.lit(0).cast("long").alias("i"), F.col("top").alias("subroot"), "path")
+        above = materialize(sink(over[k], above, tall), "paths", narrow=True)
+    above = sink(tops, above, tall, ("top",)).select(F.col("i").alias("grp"), F.lit(0).cast("long").alias("i"), F.col("top").alias("subroot"), "path")
     for k in range(len(rounds) - 2, 0, -1):
-        above = sink(rounds[k], materialize(above, "paths", narrow=True))
-    out = sink(nodes, materialize(above, "paths", narrow=True), ("doc_id", "digest", *others))
+        above = sink(rounds[k], materialize(above, "paths", narrow=True), tall)
+    out = sink(nodes, materialize(above, "paths", narrow=True), tall, ("doc_id", "digest", *others))
     return out.select("doc_id", F.col("digest").alias("leaf"), *others, "subroot", F.lit(root["digest"] if root else None).cast("string").alias("root"), "path")
 
 

@@ -45,6 +45,7 @@ MEMO = 200_000
 SLICE = 1 << 19  # characters of a text that are split at once
 ROUNDS = 40  # of pricing
 RATE = 4.0  # how fast prices fall
+TIE = 1e-12  # prices that differ by less are equal
 TIGHT = 0.02  # configurations worth this much less than the best are used too
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, part int, nth long"
@@ -150,8 +151,8 @@ def priced(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         value = best[:c] + prices[c:0:-1]
-        k = int(value.argmax())
-        if value[k] > best[c - 1] + 1e-15:
+        k = int((value >= value.max() - TIE).argmax())
+        if value[k] > best[c - 1] + TIE:
             best[c], last[c] = value[k], c - k
         else:
             best[c] = best[c - 1]

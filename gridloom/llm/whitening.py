@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, table
+from gridloom.llm.common import drop, materialize, table
 
 SCALE, SHIFT = 1024, 100_000
 LARGEST = float(1 << 40)
@@ -62,7 +62,7 @@ def pair_sums(df: DataFrame, columns: list[Column], means: list[float]) -> np.nd
     The centred columns are projected first, so each is computed once a row and not once a pair.
     """
     d = len(columns)
-    centred = df.select(*((c.cast("double") - F.lit(m)).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, means))))
+    centred = df.select(*((F.coalesce(c.cast("double"), F.lit(0.0)) - F.lit(m)).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, means))))  # never null, which makes the sums shorter
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     out = np.zeros((d, d))
     for at in range(0, len(pairs), PAIRS):
@@ -122,16 +122,17 @@ def project(rows: DataFrame, f: Fit, k: int) -> DataFrame:
 def whiten(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 8) -> DataFrame:
     """One row for each vector that takes part and component up to ``k``: id_col, component, n, deviation, whitened, explained, identity_error.
 
-    The whitened values are written once; the error of their covariance against the identity comes from the same pair sums.
+    The scaled vectors and the whitened values are written once; the error of their covariance against the identity comes from the same pair sums.
     """
     spark = df.sparkSession
-    rows = scaled(df, id_col, vector_col)
+    rows = materialize(scaled(df, id_col, vector_col), "scaled")
     f = fit(rows)
     k = components(f, k) if f is not None else 0
     schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if not k:
         return spark.createDataFrame([], schema)
     done = materialize(project(rows, f, k), "whitened")
+    drop(rows)
     w = [F.col("white")[i] for i in range(k)]
     means = list(done.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(w))).first())
     error = float(np.abs(pair_sums(done, w, means) / f.n - np.eye(k)).max())
