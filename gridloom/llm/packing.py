@@ -19,16 +19,18 @@ Null and empty texts are one piece, the closing id. Repeated ids and texts are d
 empty table gives no rows; other columns are ignored.
 
 Texts are split before single spaces between other characters, where the tokenizer's own pattern always splits; a worker keeps the ids of
-MEMO such parts at most and gives the others to the tokenizer together. Long texts go through in slices of such parts.
+MEMO such parts at most and gives the others to the tokenizer some thousand at a time. Long texts go through in slices of such parts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +43,15 @@ from gridloom.llm.common import doc_texts, materialize, table
 
 CAPACITY = 2048
 CLOSING = 0
-MEMO = 200_000
+MEMO = 500_000  # parts, some 100 MB
 SLICE = 1 << 19  # characters of a text that are split at once
 ROUNDS = 40  # of pricing
 RATE = 4.0  # how fast prices fall
 TIE = 1e-12  # prices that differ by less are equal
 TIGHT = 0.02  # configurations worth this much less than the best are used too
 
+UNSAFE = re.compile(r"\s \s*| \s")  # a space beside white space
+
 PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, part int, nth long"
 
 
@@ -59,52 +63,83 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """The text in parts; each but the first begins with a space that has no white space beside it."""
-        out, held = [], ""
-        words = text.split(" ")
-        for k, w in enumerate(words):
-            piece = w if k == 0 else " " + w
-            if held and not held[-1].isspace() and w and not w[0].isspace():
-                out.append(held)
-                held = piece
-            else:
-                held += piece
-        return [*out, held] if held else out
-
-    def slices(self, text: str) -> Iterator[str]:
+        words = self.tokenizer.get_vocab()
+        space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        self.begins = np.zeros(max(words.values()) + 1, bool)
+        self.begins[[k for w, k in words.items() if w.startswith(space)]] = True
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at its spaces, which go, but for those beside other white space: they stay in a part as they are."""
+        if UNSAFE.search(text):
+            out, held = [], None
+            for w in text.split(" "):
+                if held is None:
+                    held = w
+                elif w and not w[0].isspace() and not held[-1:].isspace():
+                    out.append(held)
+                    held = w
+                else:
+                    held += " " + w
+            return [*out, held]
+        return text.split(" ")
+
+    def slices(self, text: str) -> Iterator[list[str]]:
+        """The text's parts, about SLICE characters at a time; all but the very first follow a space."""
         at = 0
         while at < len(text):
             end = at + SLICE
             while (end := text.find(" ", end)) >= 0 and (end + 1 >= len(text) or text[end - 1].isspace() or text[end + 1].isspace()):
                 end += 1
             end = len(text) if end < 0 else end
-            yield text[at:end]
-            at = end
+            yield self.parts(text[at:end])
+            at = end + 1
+
+    def _each(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            yield t, np.array(e.ids, "<u4").tobytes()
+
+    def _joined(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of parts that follow a space: many in one text, as a token that begins with a space begins a part."""
+        whole = [p for p in parts if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
+        for at in range(0, len(whole), 4096):
+            block = whole[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(block)], add_special_tokens=False)[0].ids, "<u4")
+            edges, code = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)], ids.tobytes()
+            if len(edges) == len(block) + 1:
+                yield from ((p, code[x:y]) for p, x, y in zip(block, edges, edges[1:]))
+            else:  # a tokenizer of another kind
+                yield from ((p[1:], code) for p, code in self._each([" " + p for p in block]))
+        rest = list(set(parts).difference(whole)) if len(whole) < len(parts) else []
+        yield from ((p[1:], code) for p, code in self._each([" " + p for p in rest]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, cut = self.memo, [[self.parts(s) for s in self.slices(t)] for t in texts]
+        """Ids of all texts. ``memo`` holds those of parts that follow a space; long ones and those that begin a text are kept for this call only."""
+        cut = [list(self.slices(t)) for t in texts]
+        heads = [t[0].pop(0) if t else "" for t in cut]
+        first = dict(self._each(list(set(heads))))
+        memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({p for t in cut for s in t for p in s if p not in memo})
-        for at in range(0, len(new), 4096):
-            block = new[at : at + 4096]
-            for p, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([memo[p] for s in t for p in s]) for t in cut]
+        new = list(set().union(*(s for t in cut for s in t)).difference(memo))
+        memo.update(self._joined(new))
+        out = [first[h] + b"".join([b"".join(map(memo.__getitem__, s)) for s in t]) for h, t in zip(heads, cut)]
         for p in new:
             if len(p) > 64:
                 del memo[p]
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker, as they share most parts."""
+    return Encoder(path)
+
+
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """PIECES of all documents: part and nth say that the piece is the nth (from 0) of its length in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, part, seen = encoder_of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         closing, step = np.array([CLOSING], "<u4").tobytes(), 4 * capacity
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
