@@ -775,4 +775,4 @@ def idempotent_dedupe(s):
     return twice.dropDuplicates(["job", "attempt", "seq"]).groupBy("job").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
-from gridloom.plans import stores  # noqa: E402, F401  registers its queries here
+from gridloom.plans import stored, stores  # noqa: E402, F401  register their queries here

@@ -7,17 +7,24 @@ were spent, then the job is FAILED; progress never falls, not even by a retry; t
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.window import Window
 
 MAX_RETRIES = 2
 OUT = "job long, status string, attempt int, retry_count int, processed long"
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 START = ("PENDING", 0, 0, 0)
+#: what ``track`` needs in the session's configuration; timers are looked after in batches without data, so a run with the trigger ``availableNow``
+#: only ends with the second setting
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+BOUNDED = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 def order_key(attempt, seq):
@@ -39,19 +46,103 @@ def step(state: tuple, kind: str, processed: int | None) -> tuple:
     return state
 
 
-def _advance(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = tuple(state.get) if state.exists else START
-    rows = pd.concat(list(pdfs)).sort_values(["attempt", "seq"])
-    for r in rows.itertuples():
-        now = step(now, r.kind, None if pd.isna(r.processed) else r.processed)
-    state.update(now)
-    yield pd.DataFrame([(key[0], *now)], columns=["job", "status", "attempt", "retry_count", "processed"])
-
-
-def track(events: DataFrame) -> DataFrame:
-    """STM-01 to 05 as a streaming query (update mode): the state of each job that a batch touches; redelivered events are dropped."""
-    once = events.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["job", "attempt", "seq"])
-    return once.groupBy("job").applyInPandasWithState(_advance, OUT, "status string, attempt int, retry_count int, processed long", "update", GroupStateTimeout.NoTimeout)
+def needed(events: list[tuple]) -> list[tuple]:
+    """Of events (attempt, seq, kind, processed), in their order, those that can still change a job's state whatever comes later.
+
+    An event after the first completion or after the failure that ends the last retry has no effect, and what comes later only moves that end to
+    the front. Of progress only that counts which exceeds all before it. So a job keeps its failures, one completion and a rising
+    staircase of progress, not its events.
+    """
+    kept, fails, top, last = [], 0, -1, None
+    for e in sorted(events, key=lambda e: e[:2]):
+        if e[:2] == last:
+            continue
+        last = e[:2]
+        if e[2] == "progress":
+            if int(e[3] or 0) <= top:
+                continue
+            top = int(e[3] or 0)
+        kept.append(e)
+        fails += e[2] == "failed"
+        if e[2] == "completed" or fails > MAX_RETRIES:
+            break
+    return kept
+
+
+class Lifecycle(StatefulProcessor):
+    """STM-01 to 05: each job's state, whatever the order in which its events come.
+
+    ``log`` is the list of events in effect (``needed``): a batch's events are merged into it and the state is folded anew, so
+    an event of a lower order that comes in a later batch takes its place and a redelivered one changes nothing (nor does one of an attempt before ``base``). ``early`` is the list
+    of events of an attempt that hasn't begun, as the failure before it is missing: they wait for that failure or for a timer of ``patience``
+    and then count as they stand. ``base`` is the state that a restart found (STM-04), ``shown`` what was sent last. All four are dropped after ``ttl``
+    without a change.
+    """
+
+    BATCH = 4096  # events merged at a time
+
+    def __init__(self, patience: datetime.timedelta, ttl: datetime.timedelta):
+        self.patience, self.ttl = (int(d.total_seconds() * 1000) for d in (patience, ttl))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        event, state = "attempt int, seq long, kind string, processed long", "status string, attempt int, retry_count int, processed long"
+        self.handle = handle
+        self.log = handle.getListState("log", event, self.ttl)
+        self.early = handle.getListState("early", event, self.ttl)
+        self.base = handle.getValueState("base", state, self.ttl)
+        self.shown = handle.getValueState("shown", state, self.ttl)
+
+    def _apply(self, key: tuple, log: list[tuple], early: list[tuple], now: int, give_up: bool = False) -> Iterator[Row]:
+        start = tuple(self.base.get()) if self.base.exists() else START
+        waiting = early
+        while True:  # a failure may begin the attempt that others wait for
+            state = start
+            for _, _, kind, processed in log:
+                state = step(state, kind, processed)
+            begun = waiting[-1][0] if waiting and give_up else state[1]
+            ready = [e for e in waiting if e[0] <= begun]
+            if not ready:
+                break
+            log, waiting = needed(log + ready), [e for e in waiting if e[0] > begun]
+        self.log.put(log) if log else self.log.clear()
+        self.early.put(waiting) if waiting else self.early.clear()
+        if waiting and not list(self.handle.listTimers()):
+            self.handle.registerTimer(now + self.patience)
+        if not self.shown.exists() or tuple(self.shown.get()) != state:
+            self.shown.update(state)
+            yield Row(**dict(zip(COLUMNS, (*key, *state), strict=True)))
+
+    def _held(self) -> tuple[list[tuple], list[tuple]]:
+        return ([tuple(r) for r in x.get()] if x.exists() else [] for x in (self.log, self.early))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        log, early = self._held()
+        first = self.base.get()[1] if self.base.exists() else 0
+        begun = max([first, *(e[0] for e in log)])
+        while some := [(r["attempt"], r["seq"], r["kind"], r["processed"]) for r in islice(rows, self.BATCH)]:
+            some = [e for e in some if e[0] >= first]
+            log = needed(log + [e for e in some if e[0] <= begun])
+            early = needed(early + [e for e in some if e[0] > begun])
+        yield from self._apply(key, log, early, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        log, early = self._held()
+        yield from self._apply(key, log, early, timerValues.getCurrentProcessingTimeInMs(), give_up=True)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
+        self.base.update(tuple(initialState[c] for c in ("status", "attempt", "retry_count", "processed")))
+
+
+def track(events: DataFrame, jobs: DataFrame | None = None, patience: datetime.timedelta = datetime.timedelta(minutes=10), ttl: datetime.timedelta = datetime.timedelta(days=7)) -> DataFrame:
+    """STM-01 to 05 as a streaming query (update mode): the state of each job that a batch changes, equal to ``replay`` of what has come so far.
+
+    ``jobs`` (job, status, attempt, retry_count, processed) are the jobs that an earlier run left; those PROCESSING take the failure of a restart
+    (``recover``) before any event. Needs the RocksDB state store (``STATE_STORE``).
+    """
+    initial = None
+    if jobs is not None:
+        initial = recover(jobs.withColumn("error_code", F.lit(None).cast("string"))).select("job", "status", "attempt", "retry_count", "processed").groupBy("job")
+    return events.groupBy("job").transformWithState(Lifecycle(patience, ttl), OUT, "Update", "ProcessingTime", initialState=initial)
 
 
 def replay(events: DataFrame) -> DataFrame:

@@ -206,9 +206,13 @@ EVENTS = [(1, 0, 1, "progress", 3), (1, 0, 2, "completed", 9), (2, 0, 1, "failed
 def test_stream_equals_replay(spark, tmp_path):
     df = spark.createDataFrame([(*e, datetime.datetime(2026, 1, 1)) for e in EVENTS], "job long, attempt int, seq long, kind string, processed long, ts timestamp")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for k, v in (S.STATE_STORE | S.BOUNDED).items():
+        spark.conf.set(k, v)
     stream = S.track(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.outputMode("update").format("memory").queryName("lifecycle").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
+    for k in S.STATE_STORE | S.BOUNDED:
+        spark.conf.unset(k)
     got = {r.job: tuple(r)[1:] for r in spark.table("lifecycle").collect()}
     want = {r.job: tuple(r)[1:] for r in S.replay(df).collect()}
     assert got == want
