@@ -18,7 +18,7 @@ No group of equal lengths, however hot, meets in one task.
 Null and empty texts are one piece, the closing id. Repeated ids and texts are documents of their own, null ids stay; an
 empty table gives no rows; other columns are ignored.
 
-Texts are split before single spaces between other characters, where the tokenizer's own pattern always splits; a worker keeps the ids of
+Texts are split before single spaces and line ends between other characters, where the tokenizer's own pattern always splits; a worker keeps the ids of
 MEMO such parts at most and gives the others to the tokenizer some thousand at a time. Long texts go through in slices of such parts.
 """
 
@@ -50,7 +50,9 @@ RATE = 4.0  # how fast prices fall
 TIE = 1e-12  # prices that differ by less are equal
 TIGHT = 0.02  # configurations worth this much less than the best are used too
 
-UNSAFE = re.compile(r"\s \s*| \s")  # a space beside white space
+UNSAFE = re.compile(r" \s|\s ")  # a space beside white space
+SAFE_END = re.compile(r"\n(?<=\S\n)(?=\S)")  # a line end without
+INNER = re.compile(r"\s")
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, part int, nth long"
 
@@ -64,24 +66,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
-        space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        space, end = (self.tokenizer.id_to_token(self.tokenizer.encode(c, add_special_tokens=False).ids[0]) for c in " \n")
         self.begins = np.zeros(max(words.values()) + 1, bool)
-        self.begins[[k for w, k in words.items() if w.startswith(space)]] = True
+        self.begins[[k for w, k in words.items() if w.startswith(space) or w == end]] = True
 
     def parts(self, text: str) -> list[str]:
-        """The text cut at its spaces, which go, but for those beside other white space: they stay in a part as they are."""
-        if UNSAFE.search(text):
-            out, held = [], None
-            for w in text.split(" "):
-                if held is None:
-                    held = w
-                elif w and not w[0].isspace() and not held[-1:].isspace():
-                    out.append(held)
-                    held = w
-                else:
-                    held += " " + w
-            return [*out, held]
-        return text.split(" ")
+        """The text cut before its single spaces and line ends; the spaces go, so but for the very first a part follows one or begins with a line end."""
+        out: list[str] = []
+        for k, line in enumerate(SAFE_END.split(text) if "\n" in text else [text]):
+            words = line.split(" ") if not UNSAFE.search(line) else self.careful(line)
+            if k:
+                words[0] = "\n" + words[0]
+            out += words
+        return out
+
+    @staticmethod
+    def careful(line: str) -> list[str]:
+        """The same for a line with spaces beside white space, which stay in a part as they are."""
+        held, *rest = line.split(" ")
+        out = []
+        for w in rest:
+            if w and not w[0].isspace() and not held[-1:].isspace():
+                out.append(held)
+                held = w
+            else:
+                held += " " + w
+        return [*out, held]
 
     def slices(self, text: str) -> Iterator[list[str]]:
         """The text's parts, about SLICE characters at a time; all but the very first follow a space."""
@@ -99,18 +109,24 @@ class Encoder:
             yield t, np.array(e.ids, "<u4").tobytes()
 
     def _joined(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of parts that follow a space: many in one text, as a token that begins with a space begins a part."""
-        whole = [p for p in parts if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
-        for at in range(0, len(whole), 4096):
-            block = whole[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(block)], add_special_tokens=False)[0].ids, "<u4")
-            edges, code = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)], ids.tobytes()
-            if len(edges) == len(block) + 1:
-                yield from ((p, code[x:y]) for p, x, y in zip(block, edges, edges[1:]))
-            else:  # a tokenizer of another kind
-                yield from ((p[1:], code) for p, code in self._each([" " + p for p in block]))
-        rest = list(set(parts).difference(whole)) if len(whole) < len(parts) else []
-        yield from ((p[1:], code) for p, code in self._each([" " + p for p in rest]))
+        """Ids of parts but the first of a text: many in one text, as a token that begins with a space or is a line end begins a part."""
+        rest = []
+        for at in range(0, len(parts), 4096):
+            block = []
+            for p in parts[at : at + 4096]:
+                (block if p and not INNER.search(p, 1) and (p[0] == "\n" or not p[0].isspace()) else rest).append(p)
+            if block:
+                ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(self.whole, block))], add_special_tokens=False)[0].ids, "<u4")
+                edges, code = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)], ids.tobytes()
+                if len(edges) == len(block) + 1:
+                    yield from ((p, code[x:y]) for p, x, y in zip(block, edges, edges[1:]))
+                else:  # a tokenizer of another kind
+                    rest += block
+        yield from zip(rest, (code for _, code in self._each(list(map(self.whole, rest)))))
+
+    @staticmethod
+    def whole(part: str) -> str:
+        return part if part[:1] == "\n" else " " + part
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of all texts. ``memo`` holds those of parts that follow a space; long ones and those that begin a text are kept for this call only."""
