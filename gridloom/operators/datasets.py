@@ -22,22 +22,42 @@ def unit(ident: Column, seed: int) -> Column:
 SLICES = 256  # of the spread order: tasks that share the ranking of one group
 
 
-def ranked(samples: DataFrame, seed: int, ident: str, *by: str) -> DataFrame:
-    """``samples`` with _rank, from 1 in spread order inside each group, and the group's size _n.
+def by_bounds(column: Column, bounds: list) -> Column:
+    """How many of the ascending ``bounds`` are not above the value, by a tree of comparisons; NULL counts as below all."""
+    if not bounds:
+        return F.lit(0)
+    k = len(bounds) // 2
+    return F.when(column >= F.lit(bounds[k]), k + 1 + by_bounds(column, bounds[k + 1 :])).otherwise(by_bounds(column, bounds[:k]))
+
+
+def slices_of(df: DataFrame, column: str, slices: int = SLICES) -> Column:
+    """The slice of each row in the order of ``column``: ranges that hold about as many rows each, from approximate quantiles (``slices`` numbers)."""
+    cuts = df.agg(F.percentile_approx(column, [k / slices for k in range(1, slices)], 20 * slices)).first()[0]
+    return by_bounds(F.col(column), sorted(set(cuts or [])))
+
+
+def rank_by_slices(df: DataFrame, slice_: Column, order: list[Column], *by: str) -> DataFrame:
+    """``df`` with _rank, from 1 in the given order inside each group, and the group's size _n.
 
-    The order is cut into SLICES ranges; rows are ranked inside a range, and ranges start where the counts of
+    ``slice_`` cuts the order into ranges; rows are ranked inside a range, and ranges start where the counts of
     those before end. So no task holds a whole group, however hot.
     """
-    cut_ = samples.withColumn("_s", F.floor(spread(F.col(ident), seed) / (2147483648 / SLICES)).cast("int"))
+    cut_ = df.withColumn("_s", slice_)
     counts = cut_.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
     whole = Window.partitionBy(*by)
     starts = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_s").alias("_t"), (F.sum("_c").over(whole.orderBy("_s")) - F.col("_c")).alias("_start"), F.sum("_c").over(whole).alias("_n"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_s").orderBy(spread(F.col(ident), seed), ident))
+    inside = F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order))
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_s") == F.col("_t")]
     joined = cut_.withColumn("_inside", inside).join(starts, reduce(lambda x, y: x & y, same))
     return joined.withColumn("_rank", F.col("_inside") + F.col("_start")).drop("_s", "_t", "_start", "_inside", *(f"_by_{c}" for c in by))
 
 
+def ranked(samples: DataFrame, seed: int, ident: str, *by: str) -> DataFrame:
+    """``rank_by_slices`` in spread order, cut into SLICES equal ranges."""
+    place = spread(F.col(ident), seed)
+    return rank_by_slices(samples, F.floor(place / (2147483648 / SLICES)).cast("int"), [place, F.col(ident)], *by)
+
+
 def stratified_split(samples: DataFrame, fraction: float, seed: int, code: str = "code", ident: str = "id") -> DataFrame:
     """WIN-07: per code max(1, half-even(n * fraction)) rows for validation where n is two at least, none else."""
     want = F.when(F.col("_n") >= 2, F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("int"))).otherwise(0)
@@ -80,13 +100,58 @@ def level_counts(df: DataFrame, level: Column, levels: list[str]) -> DataFrame:
 
 
 def sampling_weights(samples: DataFrame, real: float = 1.0, synth: float = 1.0) -> DataFrame:
-    """SMP-01, AGG-28: inverse frequency times source weight, tripled for synthetic codes without a real row, mean one."""
-    w = Window.partitionBy("code")
-    is_real = (F.col("kind") == "real").cast("int")
-    source = F.when(F.col("kind") == "real", real).when(F.max(is_real).over(w) == 0, 3 * synth).otherwise(synth)
-    raw = samples.withColumn("_w", source / F.count("*").over(w))
-    total = raw.agg(F.sum("_w").alias("_t"), F.count("*").alias("_c"))  # one row
-    return raw.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_w") * F.col("_c") / F.col("_t")).drop("_w", "_t", "_c")
+    """SMP-01, AGG-28: inverse frequency times source weight, tripled for synthetic codes without a real row, mean one.
+
+    Counts by code and kind are a grouped table; samples are joined with it, so a hot code is split like any skewed join.
+    """
+    is_real = F.coalesce(F.col("kind") == "real", F.lit(False))
+    kinds = samples.groupBy("code", is_real.alias("_real")).agg(F.count("*").alias("_k"))
+    codes = kinds.groupBy(F.col("code").alias("_code")).agg(F.sum("_k").alias("_n"), F.coalesce(F.sum(F.when(F.col("_real"), F.col("_k"))), F.lit(0)).alias("_reals"))
+    source = lambda real_: F.when(real_, real).when(F.col("_reals") == 0, 3 * synth).otherwise(synth)
+    total = codes.agg(F.sum((F.col("_reals") * real + (F.col("_n") - F.col("_reals")) * source(F.lit(False))) / F.col("_n")).alias("_t"), F.sum("_n").alias("_c"))  # one row
+    raw = samples.join(codes, F.col("code").eqNullSafe(F.col("_code"))).withColumn("_w", source(is_real) / F.col("_n"))
+    return raw.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_w") * F.col("_c") / F.col("_t")).drop("_w", "_t", "_c", "_code", "_n", "_reals")
+
+
+UNITS = 1_000_000  # of a weight of one; draws work on whole units
+
+
+def mixed(k: Column, seed: int) -> Column:
+    """A portable pseudo-random number below 2^31 from an integer below it: steps of ``spread`` with the high bits folded in."""
+    for shift, factor in ((15, 2654435761), (13, 1103515245), (16, 69069)):
+        k = (k * factor + seed) % 2147483648
+        k = k.bitwiseXOR(F.shiftright(k, shift))
+    return k
+
+
+def draw_with_replacement(weighted: DataFrame, n: int, seed: int, ident: str = "id", weight: str = "weight") -> DataFrame:
+    """SMP-01: ``n`` draws (draw from 0, and the drawn row's columns), each row with a chance in proportion to its weight.
+
+    Weights in whole units are summed exactly: within slices of the spread order, then over the slices, so a row owns the range [lo, hi) of
+    all units and no window holds all rows. A draw is a seeded place in that range. To find its row, the range is cut into as many
+    cells as there are rows: a row is sent to the cells it overlaps (twice the rows in all) and a draw to its cell, an equi-join in which a heavy
+    row is many cells. NULL, zero and negative weights are never drawn; without any other there are no draws.
+    """
+    place = spread(F.col(ident), seed)
+    units = F.greatest(F.lit(0), F.coalesce(F.round(F.col(weight) * UNITS), F.lit(0))).cast("long")
+    rows = weighted.withColumns({"_u": units, "_s": F.floor(place / (2147483648 / SLICES)).cast("int")}).filter("_u > 0")
+    sums = rows.groupBy(F.col("_s").alias("_t")).agg(F.sum("_u").alias("_c"), F.count("*").alias("_m"))
+    every = Window.orderBy("_t")  # SLICES rows
+    starts = sums.withColumn("_start", F.sum("_c").over(every) - F.col("_c")).drop("_c", "_m")
+    total, count = sums.agg(F.sum("_c"), F.sum("_m")).first()
+    if not total:
+        return weighted.limit(0).select(F.lit(0).cast("long").alias("draw"), "*")
+    cell = -(-total // count)
+    up_to = F.sum("_u").over(Window.partitionBy("_s").orderBy(place, ident).rowsBetween(Window.unboundedPreceding, 0))
+    owned = rows.withColumn("_hi", up_to).join(starts, F.col("_s") == F.col("_t")).withColumn("_hi", F.col("_hi") + F.col("_start"))
+    owned = owned.withColumn("_lo", F.col("_hi") - F.col("_u")).drop("_s", "_t", "_start", "_u")
+    spread_out = owned.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / cell).cast("long"), F.floor((F.col("_hi") - 1) / cell).cast("long"))))
+    high, low = mixed(F.col("draw") % 2147483648, seed), mixed((F.col("draw") + 97) % 2147483648, seed + 1)
+    q, r = F.lit(total >> 31).cast("long"), F.lit(total & 0x7FFFFFFF).cast("long")
+    at = high * q + F.shiftright(high * r, 31) + F.shiftright(low * q, 31)
+    draws = weighted.sparkSession.range(n).select(F.col("id").alias("draw"), at.alias("_at")).withColumn("_in", F.floor(F.col("_at") / cell).cast("long"))
+    hit = draws.join(spread_out, (F.col("_in") == F.col("_cell")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
+    return hit.select("draw", *(F.col(c) for c in weighted.columns))
 
 
 def vocabulary(codes: DataFrame) -> DataFrame:
@@ -135,8 +200,8 @@ def choose(ident: Column, seed: int, codes: Column) -> Column:
 
 
 def per_code_index(samples: DataFrame) -> DataFrame:
-    """WIN-09, SNK-16."""
-    return samples.withColumn("index", F.row_number().over(Window.partitionBy("code").orderBy("id")) - 1)
+    """WIN-09, SNK-16: a code's rows by ascending id from 0; the order of ids is cut by quantiles, so a hot code is many tasks."""
+    return rank_by_slices(samples, slices_of(samples, "id"), [F.col("id")], "code").withColumn("index", (F.col("_rank") - 1).cast("int")).drop("_rank", "_n")
 
 
 def shuffled_head(samples: DataFrame, n: int, seed: int, ident: str = "id") -> DataFrame:

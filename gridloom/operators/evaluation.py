@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.operators.datasets import slices_of
+
 
 def accuracy(pred: DataFrame, *by: str) -> DataFrame:
     """AGG-12 over (label, code, confidence): accuracies of blanks and codes with denominators of one at least."""
@@ -18,14 +22,51 @@ def accuracy(pred: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], *by: str) -> DataFrame:
+    """AGG-13: (by, p0, p1, ...) the exact percentiles of each group, linear between ranks, without NULL and NaN; a group of these only has NULL.
+
+    Distributed selection: equal values are counted first, the values are cut into ranges by approximate quantiles and the counts by range
+    tell which ranges hold the wanted ranks. Only the values of these ranges are ordered, range by range, so no task holds a group's values and a value
+    that a third of the rows share is one row.
+    """
+    v = F.col(value)
+    known = df.filter(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*by, v.cast("double").alias("_v"))
+    slice_ = slices_of(known, "_v")
+    known = known.groupBy(*by, "_v").agg(F.count("*").alias("_c")).withColumn("_s", slice_)
+    ranges = known.groupBy(*by, "_s").agg(F.sum("_c").alias("_k"))
+    whole = Window.partitionBy(*by)
+    ranges = ranges.withColumns({"_end": F.sum("_k").over(whole.orderBy("_s")), "_n": F.sum("_k").over(whole)}).withColumn("_begin", F.col("_end") - F.col("_k"))
+    place = lambda p: (F.col("_n") - 1) * F.lit(p)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long")) for p in shares))))
+    wanted = ranges.withColumn("_ranks", F.filter(ranks, lambda k: (k >= F.col("_begin")) & (k < F.col("_end")))).filter(F.size("_ranks") > 0)
+    wanted = wanted.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_s").alias("_t"), "_begin", "_n", "_ranks")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_s") == F.col("_t")]
+    inside = known.join(wanted, reduce(lambda x, y: x & y, same))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_s").orderBy("_v")) + F.col("_begin")
+    inside = inside.withColumn("_upto", upto).withColumn("_rank", F.explode(F.filter("_ranks", lambda k: (k >= F.col("_upto") - F.col("_c")) & (k < F.col("_upto")))))
+    found = inside.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"), F.max("_n").alias("_n"))  # two values a share
+
+    def between(p: float) -> Column:
+        low, high = (F.element_at("_m", f(place(p)).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place(p) - F.floor(place(p)))
+
+    got = found.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(between(p).alias(f"p{k}") for k, p in enumerate(shares)))
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    if not by:
+        return groups.join(got, how="left")
+    return groups.join(got, reduce(lambda x, y: x & y, same[:-1]), "left").select(*by, *(f"p{k}" for k in range(len(shares))))
+
+
 def baseline(pred: DataFrame, least: float, *by: str) -> DataFrame:
     """AGG-13, AGG-29: exact match, acceptance, unknown rate and exact percentiles (linear between ranks)."""
     hit, ok = F.col("label") == F.col("code"), F.col("confidence") >= least
-    q = F.percentile("confidence", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return pred.groupBy(*by).agg(
+    figures = pred.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(hit.cast("double")).alias("exact"), F.count_if(ok).alias("accepted"), F.try_divide(F.count_if(ok & hit), F.count_if(ok)).alias("accepted_acc"),
-        F.avg((~ok).cast("double")).alias("unknown_rate"), F.avg("confidence").alias("mean"), F.get(q, 0).alias("p10"), F.get(q, 1).alias("median"), F.get(q, 2).alias("p90"),
+        F.avg((~ok).cast("double")).alias("unknown_rate"), F.avg("confidence").alias("mean"),
     )
+    q = percentiles(pred, "confidence", [0.1, 0.5, 0.9], *by).select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("p0").alias("p10"), F.col("p1").alias("median"), F.col("p2").alias("p90"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return (figures.join(q, reduce(lambda x, y: x & y, same)) if by else figures.join(q)).drop(*(f"_by_{c}" for c in by))
 
 
 def per_code(pred: DataFrame) -> DataFrame:

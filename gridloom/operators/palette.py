@@ -10,18 +10,40 @@ from gridloom.functions.colour import distance2, rgb
 PALETTE_MOST = 20_000  # colours; a palette is the dictionary of one brand
 
 
+VOXEL = 4  # bits of a channel that name a voxel: 16 x 16 x 16
+
+
 def nearest(colours: DataFrame, palette: DataFrame) -> DataFrame:
     """JON-14: for each colour (id, r, g, b) the palette code of least squared distance, ties to the lower code.
 
-    The palette becomes one array (its size is checked), so a colour is matched inside its row: no cross join.
+    Each distinct colour is matched once, through an index: a voxel of the colour cube lists the palette entries whose least distance to it
+    doesn't exceed the least of all entries' greatest distances, so the nearest entry of any colour inside is in the list. Only voxels in
+    use are indexed. The palette is an array (its size is checked) for this only. A colour that isn't known in full has no match and no row.
     """
-    entries = palette.select(F.struct("code", F.struct(rgb(F.col("hex"))["r"].alias("r"), rgb(F.col("hex"))["g"].alias("g"), rgb(F.col("hex"))["b"].alias("b")).alias("c")).alias("e"))
     if palette.limit(PALETTE_MOST + 1).count() > PALETTE_MOST:
         raise ValueError("palette too large: match it brand by brand")
-    one = entries.agg(F.array_sort(F.collect_list("e")).alias("_p"))
+    c = rgb(F.col("hex"))
+    entries = palette.select(F.struct("code", c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b")).alias("e"))
+    one = entries.agg(F.collect_list("e").alias("_p"))
+    side = 1 << (8 - VOXEL)
+    distinct = colours.select("r", "g", "b").filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL").distinct()
+    distinct = distinct.withColumns({f"_v{x}": F.shiftright(F.col(x), 8 - VOXEL) for x in "rgb"})
+    voxel = ["_vr", "_vg", "_vb"]
+
+    def least(e: Column) -> Column:  # squared distance of an entry to the voxel
+        gaps = [F.greatest(F.lit(0), F.col(f"_v{x}") * side - e[x], e[x] - F.col(f"_v{x}") * side - (side - 1)) for x in "rgb"]
+        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+
+    def most(e: Column) -> Column:  # of its farthest corner
+        gaps = [F.greatest(F.abs(e[x] - F.col(f"_v{x}") * side), F.abs(e[x] - F.col(f"_v{x}") * side - (side - 1))) for x in "rgb"]
+        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+
+    index = distinct.select(*voxel).distinct().crossJoin(F.broadcast(one)).withColumn("_m", F.array_min(F.transform("_p", most)))
+    index = index.select(*voxel, F.filter("_p", lambda e: least(e) <= F.col("_m")).alias("_near"))
     me = F.struct("r", "g", "b")
-    best = F.array_min(F.transform("_p", lambda e: F.struct(distance2(me, e["c"]).alias("d2"), e["code"].alias("code"))))
-    return colours.crossJoin(F.broadcast(one)).withColumn("_b", best).select("id", F.col("_b.code").alias("code"), F.col("_b.d2").alias("d2"))
+    best = F.array_min(F.transform("_near", lambda e: F.struct(distance2(me, e).alias("d2"), e["code"].alias("code"))))
+    matched = distinct.join(index, voxel).select("r", "g", "b", best.alias("_b"))
+    return colours.join(matched, ["r", "g", "b"]).select("id", F.col("_b.code").alias("code"), F.col("_b.d2").alias("d2"))
 
 
 def dominant(pixels: DataFrame, shift: int = 4, rounded: bool = True) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import cells as O
-from gridloom.plans.queries import query
+from gridloom.operators import datasets as D
+from gridloom.plans.queries import HASH, SEED, query
 from gridloom.plans.surrogate import Source
 from gridloom.sources.scratch import folder
 from gridloom.sources.store import CellStore
@@ -43,3 +44,25 @@ def store_blueprints(s):
     done = store.blueprint_cells().join(store.blueprints().select("blueprint_id", "job"), "blueprint_id")
     cols = [*O.KEY, "code"]
     return done.select(*cols, F.lit("blueprint").alias("place")).unionByName(store.staged().select(*cols, F.lit("staged").alias("place")))
+
+
+WEIGHTS = """w0 AS (SELECT id, (CASE WHEN kind = 'real' THEN 1.0 WHEN max((kind = 'real')::int) OVER (PARTITION BY code) = 0 THEN 1.5 ELSE 0.5 END)::double / count(*) OVER (PARTITION BY code) AS w FROM samples),
+    w AS (SELECT id, round(w * (SELECT count(*) FROM w0) / (SELECT sum(w) FROM w0), 6) AS weight FROM w0)"""
+
+
+def _mixed(k: str, seed: int) -> str:
+    """SQL of datasets.mixed."""
+    for shift, factor in ((15, 2654435761), (13, 1103515245), (16, 69069)):
+        k = f"(SELECT xor(z, z >> {shift}) FROM (SELECT ({k} * {factor} + {seed}) % 2147483648 AS z) q{shift})"
+    return k
+
+
+@query(f"""WITH {WEIGHTS}, u AS (SELECT id, cast(round(weight * 1000000) AS bigint) AS u, {HASH} AS s FROM w), c AS (SELECT id, u, cast(sum(u) OVER (ORDER BY s, id) AS bigint) AS hi FROM u WHERE u > 0),
+    t AS (SELECT max(hi) AS total FROM c), k AS (SELECT unnest(range((SELECT count(*) FROM samples))) AS draw),
+    h AS (SELECT draw, {_mixed("draw", SEED)} AS high, {_mixed("(draw + 97)", SEED + 1)} AS low FROM k),
+    p AS (SELECT draw, high * (total >> 31) + ((high * (total & 2147483647)) >> 31) + ((low * (total >> 31)) >> 31) AS place FROM h CROSS JOIN t)
+    SELECT p.draw, c.id FROM p JOIN c ON p.place >= c.hi - c.u AND p.place < c.hi""")
+def weighted_draws(s):
+    """SMP-01: as many draws with replacement as there are samples."""
+    samples = D.sampling_weights(s("samples"), 1.0, 0.5).select("id", F.round("weight", 6).alias("weight"))
+    return D.draw_with_replacement(samples, s("samples").count(), SEED).select("draw", "id")
