@@ -19,7 +19,7 @@ Null and empty texts are one piece, the closing id. Repeated ids and texts are d
 empty table gives no rows; other columns are ignored.
 
 Texts are split before single spaces and line ends between other characters, where the tokenizer's own pattern always splits; a worker keeps the ids of
-MEMO such parts at most and gives the others to the tokenizer some thousand at a time. Long texts go through in slices of such parts.
+MEMO such parts, those used last, and gives the others to the tokenizer some thousand at a time. Long texts go through in slices of such parts.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from gridloom.llm.common import doc_texts, materialize, table
 
 CAPACITY = 2048
 CLOSING = 0
-MEMO = 500_000  # parts, some 100 MB
+MEMO = 400_000  # parts; twice as many are some 160 MB
 SLICE = 1 << 19  # characters of a text that are split at once
 ROUNDS = 40  # of pricing
 RATE = 4.0  # how fast prices fall
@@ -52,7 +52,6 @@ TIGHT = 0.02  # configurations worth this much less than the best are used too
 
 UNSAFE = re.compile(r" \s|\s ")  # a space beside white space
 SAFE_END = re.compile(r"\n(?<=\S\n)(?=\S)")  # a line end without
-INNER = re.compile(r"\s")
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, part int, nth long"
 
@@ -65,6 +64,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
         space, end = (self.tokenizer.id_to_token(self.tokenizer.encode(c, add_special_tokens=False).ids[0]) for c in " \n")
         self.begins = np.zeros(max(words.values()) + 1, bool)
@@ -112,9 +112,10 @@ class Encoder:
         """Ids of parts but the first of a text: many in one text, as a token that begins with a space or is a line end begins a part."""
         rest = []
         for at in range(0, len(parts), 4096):
-            block = []
-            for p in parts[at : at + 4096]:
-                (block if p and not INNER.search(p, 1) and (p[0] == "\n" or not p[0].isspace()) else rest).append(p)
+            some = parts[at : at + 4096]
+            block = [p for p in some if p.isprintable() and " " not in p and p or p[:1] == "\n" and p[1:].isprintable() and " " not in p]  # printable: no white space but spaces
+            if len(block) < len(some):
+                rest += set(some).difference(block)
             if block:
                 ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(self.whole, block))], add_special_tokens=False)[0].ids, "<u4")
                 edges, code = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)], ids.tobytes()
@@ -129,14 +130,17 @@ class Encoder:
         return part if part[:1] == "\n" else " " + part
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of all texts. ``memo`` holds those of parts that follow a space; long ones and those that begin a text are kept for this call only."""
+        """Ids of all texts. ``memo`` holds those of parts but the first of a text, ``older`` what it held when it was last full; those of long parts are kept for this call only."""
         cut = [list(self.slices(t)) for t in texts]
         heads = [t[0].pop(0) if t else "" for t in cut]
         first = dict(self._each(list(set(heads))))
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set().union(*(s for t in cut for s in t)).difference(memo))
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = set().union(*(s for t in cut for s in t)).difference(memo)
+        again = new.intersection(older)
+        memo.update((p, older[p]) for p in again)
+        new = list(new.difference(again))
         memo.update(self._joined(new))
         out = [first[h] + b"".join([b"".join(map(memo.__getitem__, s)) for s in t]) for h, t in zip(heads, cut)]
         for p in new:
