@@ -7,10 +7,13 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def area_weights(src: int, dst: int) -> np.ndarray:
@@ -68,7 +71,7 @@ def png_encode(img: np.ndarray) -> bytes:
 
 
 def png_decode(data: bytes) -> np.ndarray:
-    """SRC-19: 8-bit RGB or RGBA PNG without interlace to (h, w, 3)."""
+    """SRC-19: PNG of any colour kind and depth, without interlace, to (h, w, 3) bytes; alpha is left out, 16-bit samples keep their high byte."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, parts = 8, []
@@ -77,41 +80,97 @@ def png_decode(data: bytes) -> np.ndarray:
         body = data[at + 8 : at + 8 + n]
         if kind == b"IHDR":
             w, h, depth, colour, _, _, lace = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or colour not in (2, 6) or lace:
-                raise ValueError("only plain 8-bit RGB is read")
+            if colour not in CHANNELS or lace:
+                raise ValueError("interlaced or of an unknown kind")
+        elif kind == b"PLTE":
+            palette = body
         elif kind == b"IDAT":
             parts.append(body)
         at += 12 + n
-    bpp = 3 if colour == 2 else 4
-    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + bpp * w)
-    out = np.zeros((h, bpp * w), np.int64)
+    samples = CHANNELS[colour]
+    bpp, width = max(1, samples * depth // 8), -(-w * samples * depth // 8)
+    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + width)
+    out = np.zeros((h, width), np.uint8)
     for y in range(h):
-        line, kind = lines[y, 1:].astype(np.int64), lines[y, 0]
-        up = out[y - 1] if y else np.zeros(bpp * w, np.int64)
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + up) & 255
+        line, kind, up = lines[y, 1:], lines[y, 0], out[y - 1] if y else np.zeros(width, np.uint8)
+        if kind == 1:  # sums along the line, channel by channel
+            whole = np.zeros(-(-width // bpp) * bpp, np.uint8)
+            whole[:width] = line
+            out[y] = np.cumsum(whole.reshape(-1, bpp), axis=0, dtype=np.uint8).reshape(-1)[:width]
+        elif kind in (0, 2):
+            out[y] = line + up * np.uint8(kind == 2)
         else:
-            for x in range(bpp * w):
-                a, b, c = (out[y, x - bpp] if x >= bpp else 0), up[x], (up[x - bpp] if x >= bpp else 0)
-                if kind == 4:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                else:
-                    guess = a if kind == 1 else (a + b) // 2
-                out[y, x] = (line[x] + guess) & 255
-    return out.reshape(h, w, bpp)[:, :, :3].astype(np.uint8)
+            out[y] = np.frombuffer(_unfiltered(line.tolist(), up.tolist(), bpp, kind == 4), np.uint8)
+    if depth < 8:
+        values = np.unpackbits(out, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth)[::-1]).astype(np.uint8)
+        out = values[:, : w * samples] if colour == 3 else (values[:, : w * samples].astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    elif depth == 16:
+        out = out[:, ::2]
+    out = out.reshape(h, w, samples)
+    if colour == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[out[:, :, 0]]
+    return np.repeat(out[:, :, :1], 3, axis=2) if samples < 3 else np.ascontiguousarray(out[:, :, :3])
+
+
+def _unfiltered(line: list[int], up: list[int], bpp: int, paeth: bool) -> bytes:
+    """A line whose bytes depend on those left of them, by the mean or by the nearest of left, up and up left."""
+    out = bytearray(len(line))
+    for x, v in enumerate(line):
+        a, b = out[x - bpp] if x >= bpp else 0, up[x]
+        if paeth:
+            c = up[x - bpp] if x >= bpp else 0
+            p = a + b - c
+            pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+        else:
+            guess = (a + b) >> 1
+        out[x] = (v + guess) & 255
+    return bytes(out)
+
+
+#: Samples of a pixel by the colour kind of a PNG.
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def board_tensors(images: DataFrame, cells: DataFrame, size: int = 48, batch: int = 128) -> DataFrame:
+    """OCR-01, OCR-20: images (job, content PNG) and cells (job, row, col, x0, y0, x1, y1) to letterboxed tensors (job, row, col, tensor).
+
+    The cells of a board, 500 x 500 at most, travel beside its image as one row, so an image is sent and decoded once and its cells are cut inside; batches of
+    ``batch`` tensors run on across boards and leave as they are made. Boards without cells and cells without an image give no rows; an image that can't
+    be decoded gives its cells with a NULL tensor.
+    """
+    by_board = cells.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("row", "col", "x0", "y0", "x1", "y1"))).alias("cells"))
+    boards = images.select("job", "content").join(by_board, "job")
+
+    def made(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in it:
+            for job, content, own in zip(*(c.to_pylist() if k != 2 else c for k, c in enumerate(b.columns)), strict=True):
+                try:
+                    img = png_decode(content)
+                except (ValueError, TypeError, struct.error, zlib.error):
+                    img = None
+                for c in own.values if hasattr(own, "values") else own:
+                    c = c.as_py() if hasattr(c, "as_py") else c
+                    yield job, c["row"], c["col"], None if img is None else to_chw(letterbox(crop(img, c["x0"], c["y0"], c["x1"], c["y1"]), size)).reshape(-1)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = made(it)
+        while some := list(islice(rows, batch)):
+            job, row, col, tensor = zip(*some)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (job, row, col)), pa.array(tensor, pa.list_(pa.float32()))], names=["job", "row", "col", "tensor"])
+
+    return boards.select("job", "content", "cells").mapInArrow(run, "job long, row long, col long, tensor array<float>")
 
 
 def cell_tensors(cells: DataFrame, size: int = 48, batch: int = 128) -> DataFrame:
-    """OCR-01, OCR-20: cells (job, row, col, content PNG, x0, y0, x1, y1) to letterboxed tensors in batches."""
+    """OCR-01, OCR-20 for cells with images of their own (job, row, col, content PNG, x0, y0, x1, y1); cells of boards: ``board_tensors``."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
-                out = [to_chw(letterbox(crop(png_decode(r.content), r.x0, r.y0, r.x1, r.y1), size)).reshape(-1) for r in part.itertuples()]
+                decoded = {c: png_decode(c) for c in set(part["content"].map(bytes))}
+                out = [to_chw(letterbox(crop(decoded[bytes(r.content)], r.x0, r.y0, r.x1, r.y1), size)).reshape(-1) for r in part.itertuples()]
                 yield pd.DataFrame({"job": part["job"], "row": part["row"], "col": part["col"], "tensor": out})
 
     return cells.mapInPandas(run, "job long, row long, col long, tensor array<float>")

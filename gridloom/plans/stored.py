@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import codes as C
 from gridloom.operators import cells as O
 from gridloom.operators import datasets as D
-from gridloom.plans.queries import HASH, SEED, query
+from gridloom.operators import pixels as I
+from gridloom.plans import stores
+from gridloom.plans.queries import EMB, HASH, SEED, query
 from gridloom.plans.surrogate import Source
+from gridloom.sources import readers, sinks
 from gridloom.sources.scratch import folder
 from gridloom.sources.store import CellStore
 
@@ -66,3 +70,77 @@ def weighted_draws(s):
     """SMP-01: as many draws with replacement as there are samples."""
     samples = D.sampling_weights(s("samples"), 1.0, 0.5).select("id", F.round("weight", 6).alias("weight"))
     return D.draw_with_replacement(samples, s("samples").count(), SEED).select("draw", "id")
+
+
+def _corrected(s: Source, key) -> DataFrame:
+    """Corrected cells as rows of an archive ``job``; names hold the cell's own job."""
+    name = F.concat(F.lit("g"), F.col("job").cast("string"), F.lit("_"), C.export_name(F.col("code"), F.col("row"), F.col("col"), F.lit(0), F.lit(9)))
+    png = F.concat(F.lit("png "), name).cast("binary")
+    return s("cells").filter("corrected_code IS NOT NULL").select(key.alias("job"), "row", "col", "code", name.alias("file"), F.lit(0).alias("hue"), F.lit(9).alias("brightness"), png.alias("png"))
+
+
+@query("SELECT code AS label, 'g' || job || '_' || code || '_r' || (row + 1) || '_c' || (col + 1) || '_h0_v9.png' AS name, row + 1 AS row, col + 1 AS col, (4 + length('g' || job || '_' || code || '_r' || (row + 1) || '_c' || (col + 1) || '_h0_v9.png'))::bigint AS size FROM cells WHERE corrected_code IS NOT NULL")
+def zip_cells_split(s):
+    """SRC-11, JON-09: eight archive files, each read by many tasks through pieces of its directory, joined with their manifests."""
+    path = folder(s.spark, "zips")
+    sinks.write_archives(I.export_corrections(_corrected(s, F.col("job") % 8)), path)
+    return readers.zip_cells(s.spark, path, 16 << 10).select("label", "name", "row", "col", "size")
+
+
+TENSOR = ", ".join(EMB.format(i + 1) for i in range(48))
+OF_CELL = [f"p[((row * 2 + {dy}) * 4 + col * 2 + {dx}) * 3 + {ch + 1}]" for dy in (0, 1) for dx in (0, 1) for ch in range(3)]
+
+
+@query(f"""WITH i AS (SELECT vec_id AS job, [{TENSOR}] AS p FROM embeddings), c AS (SELECT job, p, r AS row, c AS col FROM i CROSS JOIN (SELECT unnest(range(2)) AS r) a CROSS JOIN (SELECT unnest(range(2)) AS c) b)
+    SELECT job, row, col, 192::int AS n, round({OF_CELL[0]} / 255.0::double, 5) AS first, round({OF_CELL[-1]} / 255.0::double, 5) AS last, round(({' + '.join(OF_CELL)}) * 16 / 255.0::double, 2) AS total FROM c""")
+def board_tensors(s):
+    """OCR-01, OCR-20: boards of 4 x 4 pixels and 2 x 2 cells, each image decoded once, tensors of 8 x 8."""
+    side = F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    cells = s.table("embeddings").select(F.col("vec_id").alias("job"), F.explode(side).alias("row")).select("job", "row", F.explode(side).alias("col"))
+    cells = cells.select("job", "row", "col", (F.col("col") * 2).alias("x0"), (F.col("row") * 2).alias("y0"), (F.col("col") * 2 + 2).alias("x1"), (F.col("row") * 2 + 2).alias("y1"))
+    images = stores._images(s).select(F.col("id").alias("job"), "content")
+    t = I.board_tensors(images, cells, 8).withColumn("t", F.transform("tensor", lambda x: x.cast("double")))
+    total = F.aggregate("t", F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return t.select("job", "row", "col", F.size("t").alias("n"), F.round(F.element_at("t", 1), 5).alias("first"), F.round(F.element_at("t", -1), 5).alias("last"), F.round(total, 2).alias("total"))
+
+
+def _artifacts(s: Source) -> DataFrame:
+    """A model for each supplier: some without a name, a version or weights."""
+    k = F.col("s_suppkey")
+    about = F.to_json(F.struct(F.when(k % 3 != 0, F.concat(F.lit("bead-"), (k % 7).cast("string"))).alias("name"), F.when(k % 5 != 0, F.concat(F.lit("v"), k.cast("string"))).alias("version"), F.when(k % 2 == 0, "cells").alias("input_name")))
+    return s.table("supplier").select(F.concat(F.lit("m"), k.cast("string")).alias("id"), about.alias("manifest"), F.array(F.lit("<blank>"), F.lit("A"), F.lit("1")).alias("charset"), F.repeat(F.lit("w"), (k % 4).cast("int")).cast("binary").alias("model"))
+
+
+@query("""SELECT 'm' || s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN 'bead-' || s_suppkey % 7 ELSE 'm' || s_suppkey END AS name, CASE WHEN s_suppkey % 5 <> 0 THEN 'v' || s_suppkey END AS version,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'cells' ELSE 'images' END AS input_name, 'logits' AS output_name, s_suppkey % 4 AS length FROM supplier""")
+def artifact_registry(s):
+    """SNK-14, SRC-17, SRC-18: artefact folders published one by one, found again with their defaults; a second publication of a version fails."""
+    path = folder(s.spark, "models")
+    sinks.publish_artifacts(_artifacts(s), path)
+    return readers.model_registry(s.spark, path)
+
+
+@query("""SELECT 'm' || s_suppkey AS id, 'no version' AS problem FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'm' || s_suppkey, 'no weights' FROM supplier WHERE s_suppkey % 4 = 0""")
+def artifact_problems(s):
+    """OCR-16."""
+    path = folder(s.spark, "models")
+    sinks.publish_artifacts(_artifacts(s), path)
+    return readers.checkpoint_problems(readers.model_registry(s.spark, path), ["<blank>", "A", "1"])
+
+
+@query("""SELECT s_suppkey::int AS board, CASE s_suppkey % 6 WHEN 0 THEN 'no cells' WHEN 1 THEN 'size mismatch' WHEN 2 THEN 'missing image' WHEN 3 THEN 'image size mismatch' WHEN 4 THEN 'unreadable image' END AS reason,
+    (CASE WHEN s_suppkey % 6 = 5 THEN (s_suppkey % 3 + 1) * 2 ELSE 0 END)::bigint AS cells FROM supplier""")
+def board_folders(s):
+    """SRC-16, SRC-22: a folder of boards with images, each skip reason kept as a row beside the boards that are used."""
+    k = F.col("s_suppkey")
+    rows, cols = (k % 3 + 1).cast("int"), F.lit(2)
+    cell = lambda x: F.struct((F.floor(x / 2) + 1).cast("int").alias("row"), (x % 2 + 1).cast("int").alias("col"), F.lit("A1").alias("code"), F.lit("#000000").alias("color_hex"))
+    n = F.when(k % 6 == 0, 0).when(k % 6 == 1, rows * cols - 1).otherwise(rows * cols)
+    cells = F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda x: x < n), cell)
+    text = F.to_json(F.struct(F.lit(1).alias("format_version"), F.struct(F.lit("mard").alias("brand"), rows.alias("rows"), cols.alias("cols"), F.lit(4).alias("cell_size_px")).alias("board"), cells.alias("cells")))
+    boards = s.table("supplier").select(k.cast("string").alias("name"), text.alias("text"), rows.alias("rows"), (k % 6).alias("kind"))
+    path = folder(s.spark, "boards")
+    sinks.write_boards_with_images(boards.select("name", "text", F.when(F.col("kind") == 2, -1).when(F.col("kind") == 4, 0).otherwise(F.col("rows") * 4 + F.when(F.col("kind") == 3, 1).otherwise(0)).alias("height"), F.lit(8).alias("width")), path)
+    found = readers.board_folder(s.spark, path)
+    used = readers.board_cells(found).groupBy("path").agg(F.count("*").alias("n"))
+    return found.join(used, "path", "left").select(F.regexp_extract("path", r"([0-9]+)/board\.json$", 1).cast("int").alias("board"), "reason", F.coalesce("n", F.lit(0)).alias("cells"))

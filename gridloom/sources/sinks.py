@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.dictionary import problems
-from gridloom.operators.pixels import MANIFEST
+from gridloom.operators.pixels import MANIFEST, png_encode
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
@@ -56,3 +60,76 @@ def compact(spark: SparkSession, path: str, to: str, files: int) -> None:
 def write_boards(boards: DataFrame, path: str) -> None:
     """SNK-13: a JSON document for each board."""
     boards.select(F.to_json(F.struct(*boards.columns)).alias("value")).write.text(path)
+
+
+def shared(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address, a plain path being local, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def write_archives(archives: DataFrame, path: str) -> None:
+    """SNK-09: archives (job, archive) as files <job>.zip of a folder that the executors share.
+
+    A file is written under another name first and renamed, so a task that is lost or run again leaves whole files only.
+    """
+
+    def run(rows: Iterator[Row]) -> None:
+        where, at = shared(path)
+        where.create_dir(at, recursive=True)
+        for r in rows:
+            part = f"{at}/_{r['job']}-{uuid.uuid4().hex}"
+            with where.open_output_stream(part) as out:
+                out.write(bytes(r["archive"]))
+            where.move(part, f"{at}/{r['job']}.zip")
+
+    archives.select("job", "archive").foreachPartition(run)
+
+
+def publish_artifacts(models: DataFrame, path: str) -> None:
+    """SNK-14: models (id, manifest JSON, charset, model) as folders <id> with model.onnx, manifest.json and charset.json.
+
+    A folder is filled under another name and renamed, so it is there whole or not at all. One that exists is never touched: it may be the same
+    publication, written by a task that ran again, or else the publication fails.
+    """
+
+    def run(rows: Iterator[Row]) -> None:
+        where, at = shared(path)
+        where.create_dir(at, recursive=True)
+        for r in rows:
+            files = {"model.onnx": bytes(r["model"]), "manifest.json": r["manifest"].encode(), "charset.json": json.dumps(r["charset"], ensure_ascii=False).encode()}
+            final, part = f"{at}/{r['id']}", f"{at}/_{r['id']}-{uuid.uuid4().hex}"
+            if where.get_file_info(final).type == pafs.FileType.Directory:
+                if any(_content(where, f"{final}/{name}") != data for name, data in files.items()):
+                    raise FileExistsError(f"{r['id']} already exists")
+                continue
+            where.create_dir(part)
+            for name, data in files.items():
+                with where.open_output_stream(f"{part}/{name}") as out:
+                    out.write(data)
+            where.move(part, final)
+
+    models.select("id", "manifest", "charset", "model").foreachPartition(run)
+
+
+def _content(where: pafs.FileSystem, path: str) -> bytes | None:
+    if where.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with where.open_input_stream(path) as f:
+        return f.read()
+
+
+def write_boards_with_images(boards: DataFrame, path: str) -> None:
+    """SNK-13: boards (name, text JSON, height, width) as folders <name> with board.json and a white board.png; height 0: a file that is no image, below: none."""
+
+    def run(rows: Iterator[Row]) -> None:
+        where, at = shared(path)
+        for r in rows:
+            where.create_dir(f"{at}/{r['name']}", recursive=True)
+            files = {"board.json": r["text"].encode()}
+            if r["height"] >= 0:
+                files["board.png"] = png_encode(np.full((r["height"], r["width"], 3), 255, np.uint8)) if r["height"] else b"no image"
+            for name, data in files.items():
+                with where.open_output_stream(f"{at}/{r['name']}/{name}") as out:
+                    out.write(data)
+
+    boards.select("name", "text", "height", "width").foreachPartition(run)
