@@ -8,17 +8,19 @@ were spent, then the job is FAILED; progress never falls, not even by a retry; t
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.window import Window
 
 MAX_RETRIES = 2
 OUT = "job long, status string, attempt int, retry_count int, processed long"
+TERMINAL = ("SUCCEEDED", "FAILED")
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 START = ("PENDING", 0, 0, 0)
 #: what ``track`` needs in the session's configuration; timers are looked after in batches without data, so a run with the trigger ``availableNow``
@@ -35,7 +37,7 @@ def order_key(attempt, seq):
 def step(state: tuple, kind: str, processed: int | None) -> tuple:
     """STM-01 to 03: the state (status, attempt, retries, processed) after an event."""
     status, attempt, retries, done = state
-    if status in ("SUCCEEDED", "FAILED"):
+    if status in TERMINAL:
         return state
     if kind == "progress":
         return "PROCESSING", attempt, retries, max(done, int(processed or 0))
@@ -177,3 +179,65 @@ def progress(jobs: DataFrame, reports: DataFrame) -> DataFrame:
     top = reports.groupBy("job").agg(F.max("processed").alias("_p"))
     out = jobs.join(top, "job", "left")
     return out.withColumns({"status": F.when(F.col("_p").isNotNull() & (F.col("status") == "PENDING"), "PROCESSING").otherwise(F.col("status")), "processed": F.greatest("processed", F.coalesce("_p", F.lit(0)))}).drop("_p")
+
+
+class _Ended(StreamingQueryListener):
+    """Tells when a query has nothing left to wait for."""
+
+    def __init__(self, over: Callable[[], bool]):
+        self.over, self.run, self.done = over, None, threading.Event()
+
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def _look(self, run: object) -> None:
+        if str(run) == str(self.run) and not self.done.is_set() and self.over():
+            self.done.set()
+
+    def onQueryProgress(self, event: object) -> None:
+        self._look(event.progress.runId)
+
+    def onQueryIdle(self, event: object) -> None:
+        self._look(event.runId)
+
+    def onQueryTerminated(self, event: object) -> None:
+        if str(event.runId) == str(self.run):
+            self.done.set()
+
+
+def follow(states: DataFrame, path: str, checkpoint: str, every: str = "2 seconds", most: float | None = None) -> bool:
+    """STM-07: run ``states`` (of ``track``) every two seconds into ``path`` until all jobs seen are in a terminal state; whether they are (else ``most`` seconds are over).
+
+    A batch is written as the folder batch=<id>, over what an earlier try left, so a batch that is sent again changes nothing. ``shown`` reads the last
+    state of each job. A failure of the query is raised.
+    """
+    spark = states.sparkSession
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    def over() -> bool:
+        now = shown(spark, path).agg(F.count("*").alias("n"), F.count_if(~F.col("status").isin(*TERMINAL)).alias("open")).first()
+        return now["n"] > 0 and not now["open"]
+
+    ended = _Ended(over)
+    spark.streams.addListener(ended)
+    query = states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    ended.run = query.runId
+    try:
+        ended.done.wait(most)
+        if query.exception() is not None:
+            raise query.exception()
+    finally:
+        query.stop()
+        spark.streams.removeListener(ended)
+    return over()
+
+
+def shown(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of each job that ``follow`` wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], OUT)
+    rows = spark.read.schema(f"{OUT}, batch long").parquet(path)
+    return rows.groupBy("job").agg(F.max_by(F.struct("status", "attempt", "retry_count", "processed"), "batch").alias("_s")).select("job", "_s.*")

@@ -1,6 +1,7 @@
 """The job life cycle as a stream and the exactly-once store, over several files, replays, failures and restarts."""
 
 import datetime
+import json
 import random
 import time
 
@@ -173,3 +174,40 @@ def test_stream_into_the_store(spark, store, tmp_path):
     before = store.commits()
     spark.readStream.schema(CELLS).parquet(str(tmp_path / "in")).writeStream.foreachBatch(store.sink()).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert store.commits() == before
+
+
+def test_following_ends_by_itself(rocks, tmp_path):
+    at = datetime.datetime(2026, 1, 1)
+    write_files(rocks, tmp_path, [(1, 0, 1, "progress", 3, at), (2, 0, 1, "completed", 4, at)], 1)
+    states = S.track(rocks.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
+    assert not S.follow(states, f"{tmp_path}/out", f"{tmp_path}/cp", "500 milliseconds", most=15)  # job 1 is under way
+    write_files(rocks, tmp_path, [(1, 0, 2, "completed", 9, at)], 1)
+    began = time.time()
+    assert S.follow(states, f"{tmp_path}/out", f"{tmp_path}/cp", "500 milliseconds", most=120) and time.time() - began < 100
+    assert {r.job: (r.status, r.processed) for r in S.shown(rocks, f"{tmp_path}/out").collect()} == {1: ("SUCCEEDED", 9), 2: ("SUCCEEDED", 4)}
+
+
+def test_registry_follows_new_versions(rocks, tmp_path):
+    from gridloom.sources import sinks
+    from gridloom.streaming import registry
+
+    def publish(*models):
+        rows = [(i, json.dumps(m), ["<blank>"], bytearray(b"w")) for i, m in models]
+        sinks.publish_artifacts(rocks.createDataFrame(rows, "id string, manifest string, charset array<string>, model binary"), f"file://{tmp_path}/r")
+
+    def run_once():
+        q = registry.follow(rocks, f"{tmp_path}/r").writeStream.outputMode("update").foreachBatch(lambda df, k: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+
+    seen = []
+    publish(("a1", {"name": "bead", "version": "v9"}), ("b1", {"version": "v1"}), ("bad", {"name": "bead", "version": "next"}))
+    run_once()
+    assert sorted(seen) == [("b1", "b1", "v1", 1, None), ("bead", "a1", "v9", 9, None)]
+    seen.clear()
+    publish(("a2", {"name": "bead", "version": "v10"}), ("a0", {"name": "bead", "version": "v2"}))
+    run_once()
+    assert seen == [("bead", "a2", "v10", 10, "a1")]
+    seen.clear()
+    publish(("a3", {"name": "bead", "version": "v3"}))
+    run_once()
+    assert seen == []
