@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 
 def spread(ident: Column, seed: int) -> Column:
-    """A portable pseudo-random order of integers, in integer arithmetic only."""
-    return (ident * 2654435761 + seed) % 2147483648
+    """A portable pseudo-random order of integers, in integer arithmetic only; the inner remainder keeps large ones from an overflow."""
+    return ((ident % 2147483648) * 2654435761 + seed) % 2147483648
 
 
 def unit(ident: Column, seed: int) -> Column:

@@ -61,13 +61,18 @@ def to_gray(img: np.ndarray) -> np.ndarray:
     return (r * 0.299 + g * 0.587 + b * 0.114).astype(np.uint8)
 
 
+def png_file(width: int, height: int, stream: bytes) -> bytes:
+    """An 8-bit RGB PNG around a zlib stream of its lines."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", stream) + chunk(b"IEND", b"")
+
+
 def png_encode(img: np.ndarray) -> bytes:
     """8-bit RGB PNG."""
     h, w = img.shape[:2]
     raw = np.zeros((h, 1 + 3 * w), np.uint8)
     raw[:, 1:] = img.astype(np.uint8).reshape(h, -1)
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
+    return png_file(w, h, zlib.compress(raw.tobytes()))
 
 
 def png_decode(data: bytes) -> np.ndarray:

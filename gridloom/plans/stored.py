@@ -9,8 +9,9 @@ from gridloom.functions import codes as C
 from gridloom.operators import cells as O
 from gridloom.operators import datasets as D
 from gridloom.operators import pixels as I
+from gridloom.operators import synth as Y
 from gridloom.plans import stores
-from gridloom.plans.queries import EMB, HASH, SEED, query
+from gridloom.plans.queries import EMB, HASH, RGB, SEED, ST, _status, query
 from gridloom.plans.surrogate import Source
 from gridloom.sources import readers, sinks
 from gridloom.sources.scratch import folder
@@ -144,3 +145,28 @@ def board_folders(s):
     found = readers.board_folder(s.spark, path)
     used = readers.board_cells(found).groupBy("path").agg(F.count("*").alias("n"))
     return found.join(used, "path", "left").select(F.regexp_extract("path", r"([0-9]+)/board\.json$", 1).cast("int").alias("board"), "reason", F.coalesce("n", F.lit(0)).alias("cells"))
+
+
+@query(f"""WITH u AS (SELECT id, code, {HASH} / 2147483648.0::double AS u, id % 256 AS r, id // 7 % 256 AS g, id * 31 % 256 AS b FROM samples),
+    l AS (SELECT *, CASE WHEN u < 0.55 THEN 'clean' WHEN u < 0.55::double + 0.30::double THEN 'light' WHEN u < 0.55::double + 0.30::double + 0.13::double THEN 'medium' ELSE 'heavy' END AS level FROM u)
+    SELECT id, code, level, 1200::int AS n, CASE WHEN level = 'clean' THEN round_even(r * 0.8::double, 0) + 2 * round_even(g * 0.8::double, 0) + 3 * round_even(b * 0.8::double, 0) END AS corner FROM l""")
+def synthetic_cells(s):
+    """PAL-18, PAL-20, PAL-11: a drawn cell of 20 x 20 pixels for each sample, decoded; the corner of those without noise."""
+    k = F.col("id")
+    hex_ = F.format_string("#%02X%02X%02X", k % 256, F.floor(k / 7) % 256, k * 31 % 256)
+    cells = Y.cells(s("samples").select("id", "code", hex_.alias("hex")), SEED, 20)
+    got = I.measured(cells.select("id", F.lit("orig").alias("variant"), "content"), "pixels").join(cells.select("id", "code", "level"), "id")
+    v = lambda i: F.get("values", i)
+    return got.select("id", "code", "level", F.size("values").alias("n"), F.when(F.col("level") == "clean", v(0) + 2 * v(1) + 3 * v(2)).alias("corner"))
+
+
+@query(f"""WITH {ST}, p AS (SELECT code, {RGB} FROM dict), c AS (SELECT st.job, CASE WHEN st.status = 'MAPPED' THEN p.r + p.g + p.b WHEN st.code = 'BLANK' THEN 765 ELSE 612 END AS total, st.status FROM st LEFT JOIN p ON p.code = st.color_code)
+    SELECT job, (28 * 32 * 3)::int AS n, ((56 - count(*)) * 765 + sum(total))::double * 16 AS total, count_if(status = 'MAPPED') AS recognised, count_if(status = 'UNMAPPED') AS missed FROM c GROUP BY 1""")
+def board_redrawn(s):
+    """SNK-13, OCR-19: every board drawn again from its recognised cells at four pixels a cell and read back; codes don't fit such tiles."""
+    cells = _status(s).select(*O.KEY, "code", "status", "color_hex")
+    boards = cells.select("job").distinct().select("job", F.lit(7).alias("rows"), F.lit(8).alias("cols"))
+    drawn = Y.redraw(boards, cells, 4)
+    got = I.measured(drawn.select(F.col("job").alias("id"), F.lit("orig").alias("variant"), "content"), "pixels")
+    total = F.aggregate("values", F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return got.select(F.col("id").alias("job"), F.size("values").alias("n"), total.alias("total")).join(drawn.select("job", "recognised", "missed"), "job")
