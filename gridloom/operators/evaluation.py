@@ -113,6 +113,12 @@ def parity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("_d", d).agg(F.count("*").alias("n"), F.max(F.array_max("_d")).alias("max_diff"), F.avg(F.aggregate("_d", F.lit(0.0).cast("double"), lambda s, x: s + x) / F.size("_d")).alias("mean_diff"))
 
 
+def within(pairs: DataFrame, a: str, b: str, relative: float = 1e-4, absolute: float = 1e-5) -> DataFrame:
+    """OCR-25: ``pairs`` with ``close``: all of ``a`` within absolute + relative * |b| of ``b``; arrays of other lengths, NULL and NaN aren't close."""
+    near = F.forall(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), lambda x: F.coalesce(F.abs(x["a"] - x["b"]) <= absolute + relative * F.abs(x["b"]), F.lit(False)) & ~F.isnan(F.coalesce(x["a"] - x["b"], F.lit(0.0))))
+    return pairs.withColumn("close", F.coalesce((F.size(a) == F.size(b)) & near, F.lit(False)))
+
+
 def parity_gate(n: int, prep: float, logits: float, conf: float, mismatches: int) -> bool:
     """GAT-03."""
     return n >= 64 and prep < 1.0 and logits < 0.05 and conf < 0.01 and mismatches == 0

@@ -335,7 +335,7 @@ def dict_version_hash(s):
 
 @query("SELECT brand, count(*) AS n, count(DISTINCT code) AS codes FROM dict_raw GROUP BY 1")
 def brand_counts(s):
-    """AGG-18, AGG-22."""
+    """AGG-18, AGG-22, PAL-21."""
     return L.brand_counts(s("dict_raw"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import codes as C
 from gridloom.operators import cells as O
 from gridloom.operators import datasets as D
+from gridloom.operators import evaluation as E
 from gridloom.operators import pixels as I
 from gridloom.operators import synth as Y
 from gridloom.plans import stores
@@ -170,3 +171,81 @@ def board_redrawn(s):
     got = I.measured(drawn.select(F.col("job").alias("id"), F.lit("orig").alias("variant"), "content"), "pixels")
     total = F.aggregate("values", F.lit(0.0).cast("double"), lambda a, x: a + x)
     return got.select(F.col("id").alias("job"), F.size("values").alias("n"), total.alias("total")).join(drawn.select("job", "recognised", "missed"), "job")
+
+
+SAMPLE = "chr((65 + s_suppkey % 26)::int) || (s_suppkey % 1200)"
+FILE = f"CASE WHEN s_suppkey % 4 < 2 THEN 'sample_' || s_suppkey || '_' || {SAMPLE} || '.png' WHEN s_suppkey % 4 = 2 THEN {SAMPLE} || '_r1_c' || s_suppkey || '.png' ELSE 'blank_' || s_suppkey || '.png' END"
+
+
+def _sample_files(s: Source) -> DataFrame:
+    """A file for each supplier, its name in one of three styles and the supplier's name as content."""
+    k = F.col("s_suppkey")
+    code = F.concat(F.char((65 + k % 26).cast("int")), (k % 1200).cast("string"))
+    name = F.when(k % 4 < 2, F.concat(F.lit("sample_"), k.cast("string"), F.lit("_"), code, F.lit(".png"))).when(k % 4 == 2, F.concat(code, F.lit("_r1_c"), k.cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("blank_"), k.cast("string"), F.lit(".png")))
+    return s.table("supplier").select(k, name.alias("name"), F.col("s_name").cast("binary").alias("content"), code.alias("code"))
+
+
+@query(f"SELECT name, label, cast(row_number() OVER (ORDER BY name) AS int) AS place FROM (SELECT {FILE} AS name, {SAMPLE} AS label, s_suppkey FROM supplier) x WHERE s_suppkey % 4 < 2 AND s_suppkey % 1200 < 1000")
+def sample_folder(s):
+    """SRC-12, SRC-13, SRT-13: the files of a folder whose name is sample_<n>_<letter and up to three digits>.png, in the order of their names."""
+    path = folder(s.spark, "samples")
+    sinks.write_files(_sample_files(s), path)
+    found = readers.labelled_folder(s.spark, path, r"^sample_\d+_[A-Z]\d{1,3}\.png$")
+    return O.with_rank(found.select("name", C.code_from_filename(F.col("name")).alias("label")), F.col("name"), "place").select("name", "label", F.col("place").cast("int").alias("place"))
+
+
+@query(f"SELECT {FILE} AS name, sha256(s_name) AS digest FROM supplier")
+def file_digests(s):
+    """STR-12: the digest of each file of a folder."""
+    path = folder(s.spark, "samples")
+    sinks.write_files(_sample_files(s), path)
+    return readers.labelled_folder(s.spark, path).select("name", F.sha2("content", 256).alias("digest"))
+
+
+@query(f"""SELECT name, label FROM (SELECT {FILE} AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'Q' || s_suppkey % 7 WHEN s_suppkey % 4 = 3 THEN 'BLANK' ELSE {SAMPLE} END AS label FROM supplier) x
+    WHERE label = 'BLANK' OR regexp_full_match(label, '[A-Q0-9]*')""")
+def labelled_samples(s):
+    """SRC-14, SRC-15: a label of the manifest before one of the file name; labels out of the vocabulary fall away."""
+    path, k = folder(s.spark, "samples"), F.col("s_suppkey")
+    files = _sample_files(s)
+    sinks.write_files(files, path)
+    listed = files.filter(k % 3 == 0).select("name", F.concat(F.lit("q"), (k % 7).cast("string")).alias("code"))
+    sinks.write_manifest(listed.select("code", F.col("name").alias("file"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("0").alias("hue"), F.lit(9).alias("brightness")), f"{path}-manifest")
+    return readers.labels(readers.labelled_folder(s.spark, path), readers.manifest(s.spark, f"{path}-manifest"), [*"ABCDEFGHIJKLMNOPQ0123456789"]).select("name", "label")
+
+
+@query("""SELECT replace(brand, '#', '') AS brand, code, name || ', "new"' AS name, hex, brand_rank FROM dict_raw WHERE ord % 5 <> 0 AND brand_rank <= 3""")
+def brand_files(s):
+    """SRC-09: a headerless file for each brand, names with commas and quotes, short rows; brands that aren't listed are left out."""
+    d = s("dict_raw").withColumn("brand", F.replace("brand", F.lit("#"), F.lit("")))
+    whole = F.format_string('%s,"%s, ""new""",1,2,3,%s,x', "code", "name", F.lower("hex"))
+    lines = d.select("brand", F.when(F.col("ord") % 5 == 0, F.concat("code", F.lit(",short"))).otherwise(whole).alias("line"))
+    path = folder(s.spark, "brands")  # a brand's part of a dictionary is one file
+    sinks.write_files(lines.groupBy(F.concat("brand", F.lit(".csv")).alias("name")).agg(F.concat_ws("\n", F.collect_list("line")).cast("binary").alias("content")), path)
+    listed = [r["brand"] for r in d.filter("brand_rank <= 3").select("brand").distinct().orderBy("brand").collect()]
+    return readers.brand_csvs(s.spark, path, listed).select("brand", "code", "name", "hex", F.substring("brand", -1, 1).cast("int").alias("brand_rank"))
+
+
+@query("SELECT code, name, substr(hex, 2) AS hex FROM dict")
+def library_from_default(s):
+    """SRC-07: no argument and no environment variable, so the default path."""
+    path = folder(s.spark, "library")
+    s("dict").select("code", "name", "hex", "brand").agg(F.to_json(F.collect_list(F.struct("code", "name", "hex", "brand"))).alias("value")).write.text(path)
+    return readers.color_seed(s.spark, readers.library_path(None, "GRIDLOOM_NO_SUCH_LIBRARY", path)).select("code", "name", "hex")
+
+
+@query("SELECT job, max(length(code))::int AS code_length, greatest(length((max(row) + 1)::varchar), length((max(col) + 1)::varchar))::int AS axis_length FROM cells WHERE code NOT IN ('BLANK', 'UNMAPPED', '') GROUP BY 1")
+def font_sizes(s):
+    """STR-19: what sizes a board's letters: its longest code and its longest axis label."""
+    cells = s("cells").filter("code NOT IN ('BLANK', 'UNMAPPED', '')")
+    label = lambda c: F.length((F.max(c) + 1).cast("string"))
+    axis = cells.groupBy("job").agg(F.greatest(label("row"), label("col")).alias("axis_length"))
+    return O.longest_code(cells).select("job", F.length("code").alias("code_length")).join(axis, "job")
+
+
+@query("SELECT vec_id AS id, list_bool_and(list_transform(embedding, lambda x: abs(x::double - round(x::double, 4)) <= 1e-5::double + 1e-4::double * abs(round(x::double, 4)))) AS close FROM embeddings")
+def export_within_tolerance(s):
+    """OCR-25: outputs of two exports within a relative and an absolute tolerance."""
+    v = F.col("embedding").cast("array<double>")
+    pairs = s.table("embeddings").select(F.col("vec_id").alias("id"), v.alias("a"), F.transform(v, lambda x: F.round(x, 4)).alias("b"))
+    return E.within(pairs, "a", "b").select("id", "close")

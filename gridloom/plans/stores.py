@@ -320,12 +320,12 @@ def append_and_compact(s):
     return readers.table(s.spark, to, "job long, code string").groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT '{\"charset\": \"AB\", \"name\": \"bead\", \"version\": \"v2\"}' AS manifest, 4::int AS size")
+@query("SELECT '{\"charset\": \"AB\", \"name\": \"bead\", \"version\": \"v' || count(*) || '\"}' AS manifest, (count(*) % 100)::int AS size FROM lineitem")
 def model_publish(s):
-    """SNK-14, SNK-15, SNK-18: a second publication of a version fails, the pointer leads to the first."""
-    base = folder(s.spark, "models")
-    about = sinks.merge_manifest({"charset": "AB", "name": "old"}, {"name": "bead", "version": "v2"})
-    sinks.publish(s.spark, b"onnx", about, base, f"{base}/active")
+    """SNK-14, SNK-15, SNK-18: a version named by the table's rows; a second publication of it fails, the pointer leads to the first."""
+    base, n = folder(s.spark, "models"), s.table("lineitem").count()
+    about = sinks.merge_manifest({"charset": "AB", "name": "old"}, {"name": "bead", "version": f"v{n}"})
+    sinks.publish(s.spark, b"w" * (n % 100), about, base, f"{base}/active")
     try:
         sinks.publish(s.spark, b"other", about, base, f"{base}/active")
     except Exception as e:

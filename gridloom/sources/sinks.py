@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -118,18 +119,39 @@ def _content(where: pafs.FileSystem, path: str) -> bytes | None:
         return f.read()
 
 
-def write_boards_with_images(boards: DataFrame, path: str) -> None:
-    """SNK-13: boards (name, text JSON, height, width) as folders <name> with board.json and a white board.png; height 0: a file that is no image, below: none."""
+def write_files(files: DataFrame, path: str) -> None:
+    """Rows (name, content) as files under a folder that the executors share; a name may hold folders. Each is written aside and renamed."""
 
     def run(rows: Iterator[Row]) -> None:
         where, at = shared(path)
+        made = set()
         for r in rows:
-            where.create_dir(f"{at}/{r['name']}", recursive=True)
-            files = {"board.json": r["text"].encode()}
-            if r["height"] >= 0:
-                files["board.png"] = png_encode(np.full((r["height"], r["width"], 3), 255, np.uint8)) if r["height"] else b"no image"
-            for name, data in files.items():
-                with where.open_output_stream(f"{at}/{r['name']}/{name}") as out:
-                    out.write(data)
+            parent = f"{at}/{r['name']}".rsplit("/", 1)[0]
+            if parent not in made:
+                where.create_dir(parent, recursive=True)
+                made.add(parent)
+            part = f"{at}/_{uuid.uuid4().hex}"
+            with where.open_output_stream(part) as out:
+                out.write(bytes(r["content"]))
+            where.move(part, f"{at}/{r['name']}")
+
+    files.select("name", "content").foreachPartition(run)
+
+
+def save_boards(boards: DataFrame, images: DataFrame, previews: DataFrame, path: str) -> None:
+    """SNK-13: boards (job, and the columns of their document) as folders <job> with board.json, board.png and preview.png, images and previews being (job, content)."""
+    text = boards.select(F.concat(F.col("job").cast("string"), F.lit("/board.json")).alias("name"), F.to_json(F.struct(*(c for c in boards.columns if c != "job"))).cast("binary").alias("content"))
+    named = lambda df, name: df.select(F.concat(F.col("job").cast("string"), F.lit(f"/{name}.png")).alias("name"), "content")
+    write_files(text.unionByName(named(images, "board")).unionByName(named(previews, "preview")), path)
+
+
+def write_boards_with_images(boards: DataFrame, path: str) -> None:
+    """SNK-13: boards (name, text JSON, height, width) as folders <name> with board.json and a white board.png; height 0: a file that is no image, below: none."""
+
+    def drawn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            files = [(f"{r.name}/board.json", r.text.encode()) for r in pdf.itertuples(index=False)]
+            files += [(f"{r.name}/board.png", png_encode(np.full((r.height, r.width, 3), 255, np.uint8)) if r.height else b"no image") for r in pdf.itertuples(index=False) if r.height >= 0]
+            yield pd.DataFrame(files, columns=["name", "content"])
 
-    boards.select("name", "text", "height", "width").foreachPartition(run)
+    write_files(boards.select("name", "text", "height", "width").mapInPandas(drawn, "name string, content binary"), path)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import pixels as I
 from gridloom.operators import synth as Y
@@ -86,3 +87,18 @@ def test_redraw_counts(spark):
     r = Y.redraw(spark.createDataFrame([(1, 2, 2)], "job long, rows int, cols int"), cells, 4).first()
     img = I.png_decode(bytes(r.content))
     assert (r.recognised, r.missed) == (1, 2) and img[0, 0].tolist() == [16, 32, 48] and img[0, 7].tolist() == [255] * 3 and img[7, 0].tolist() == [204] * 3 == img[7, 7].tolist()
+
+
+def test_saved_boards_are_read_back(spark, tmp_path):
+    from gridloom.sources import readers, sinks
+
+    cells = spark.createDataFrame([(j, r, c, "A1", 9 * j, 8, 7) for j in (1, 2) for r in range(2) for c in range(3)], "job long, row long, col long, code string, r int, g int, b int")
+    grid = spark.createDataFrame([(1, 2, 3), (2, 2, 3)], "job long, rows int, cols int")
+    listed = cells.groupBy("job").agg(F.collect_list(F.struct((F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), "code", F.lit("#000000").alias("color_hex"))).alias("cells"))
+    docs = grid.join(listed, "job").select("job", F.lit(1).alias("format_version"), F.struct(F.lit("mard").alias("brand"), "rows", "cols", F.lit(10).alias("cell_size_px")).alias("board"), "cells")
+    sinks.save_boards(docs, Y.board_images(grid, cells, 10), Y.board_images(grid, cells, 2), f"file://{tmp_path}/boards")
+    found = readers.board_folder(spark, f"{tmp_path}/boards").collect()
+    assert [(r.reason, r.board.rows, len(r.cells)) for r in found] == [(None, 2, 6)] * 2
+    for j in (1, 2):
+        whole, small = (I.png_decode((tmp_path / "boards" / str(j) / f"{n}.png").read_bytes()) for n in ("board", "preview"))
+        assert whole.shape == (20, 30, 3) and small.shape == (4, 6, 3) and (whole == (9 * j, 8, 7)).all() and (small == (9 * j, 8, 7)).all()
