@@ -30,19 +30,16 @@ def nearest(colours: DataFrame, palette: DataFrame) -> DataFrame:
     distinct = distinct.withColumns({f"_v{x}": F.shiftright(F.col(x), 8 - VOXEL) for x in "rgb"})
     voxel = ["_vr", "_vg", "_vb"]
 
-    def least(e: Column) -> Column:  # squared distance of an entry to the voxel
-        gaps = [F.greatest(F.lit(0), F.col(f"_v{x}") * side - e[x], e[x] - F.col(f"_v{x}") * side - (side - 1)) for x in "rgb"]
-        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-
-    def most(e: Column) -> Column:  # of its farthest corner
-        gaps = [F.greatest(F.abs(e[x] - F.col(f"_v{x}") * side), F.abs(e[x] - F.col(f"_v{x}") * side - (side - 1))) for x in "rgb"]
-        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-
-    index = distinct.select(*voxel).distinct().crossJoin(F.broadcast(one)).withColumn("_m", F.array_min(F.transform("_p", most)))
-    index = index.select(*voxel, F.filter("_p", lambda e: least(e) <= F.col("_m")).alias("_near"))
-    me = F.struct("r", "g", "b")
-    best = F.array_min(F.transform("_near", lambda e: F.struct(distance2(me, e).alias("d2"), e["code"].alias("code"))))
-    matched = distinct.join(index, voxel).select("r", "g", "b", best.alias("_b"))
+    low = {x: F.col(f"_v{x}") * side for x in "rgb"}
+    gap = lambda x: F.greatest(F.lit(0), low[x] - F.col(f"_e.{x}"), F.col(f"_e.{x}") - low[x] - (side - 1))  # noqa: E731  of an entry to the voxel
+    reach = lambda x: F.greatest(F.abs(F.col(f"_e.{x}") - low[x]), F.abs(F.col(f"_e.{x}") - low[x] - (side - 1)))  # noqa: E731  to its farther side
+    square = lambda f: f("r") * f("r") + f("g") * f("g") + f("b") * f("b")
+    pairs = distinct.select(*voxel).distinct().crossJoin(F.broadcast(one)).select(*voxel, F.explode("_p").alias("_e"))
+    index = pairs.groupBy(*voxel).agg(F.min(square(reach)).alias("_m"), F.collect_list(F.struct(square(gap).alias("least"), F.col("_e.code").alias("code"), *(F.col(f"_e.{x}").alias(f"e{x}") for x in "rgb"))).alias("_near"))
+    index = index.select(*voxel, F.filter("_near", lambda e: e["least"] <= F.col("_m")).alias("_near"))
+    met = distinct.join(index, voxel).select("r", "g", "b", F.explode("_near").alias("_e"))
+    d2 = square(lambda x: F.col(x) - F.col(f"_e.e{x}"))
+    matched = met.groupBy("r", "g", "b").agg(F.min(F.struct(d2.alias("d2"), F.col("_e.code").alias("code"))).alias("_b"))
     return colours.join(matched, ["r", "g", "b"]).select("id", F.col("_b.code").alias("code"), F.col("_b.d2").alias("d2"))
 
 

@@ -175,11 +175,17 @@ def board_images(boards: DataFrame, cells_: DataFrame, tile: int = 8, labels: bo
     strung = bands.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("row", "data", "sum", "length"))).alias("bands"))
 
     def string(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        jobs, files = [], []
         for b in it:
             for job, own_bands in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 height, width = tile * len(own_bands), (own_bands[0]["length"] // tile - 1) // 3
                 stream = b"\x78\x01" + b"".join(x["data"] for x in own_bands) + b"\x03\x00" + joined_sum([(x["sum"], x["length"]) for x in own_bands]).to_bytes(4, "big")
-                yield pa.RecordBatch.from_arrays([pa.array([job], pa.int64()), pa.array([png_file(width, height, stream)], pa.binary())], names=["job", "content"])
+                jobs.append(job)
+                files.append(png_file(width, height, stream))
+                if len(files) == 256 or len(stream) > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(files, pa.binary())], names=["job", "content"])
+                    jobs, files = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(files, pa.binary())], names=["job", "content"])
 
     return strung.mapInArrow(string, "job long, content binary")
 

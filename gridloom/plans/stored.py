@@ -86,7 +86,7 @@ def zip_cells_split(s):
     """SRC-11, JON-09: eight archive files, each read by many tasks through pieces of its directory, joined with their manifests."""
     path = folder(s.spark, "zips")
     sinks.write_archives(I.export_corrections(_corrected(s, F.col("job") % 8)), path)
-    return readers.zip_cells(s.spark, path, 16 << 10).select("label", "name", "row", "col", "size")
+    return readers.zip_cells(s.spark, path, 64 << 10).select("label", "name", "row", "col", "size")
 
 
 TENSOR = ", ".join(EMB.format(i + 1) for i in range(48))
@@ -155,7 +155,9 @@ def synthetic_cells(s):
     """PAL-18, PAL-20, PAL-11: a drawn cell of 20 x 20 pixels for each sample, decoded; the corner of those without noise."""
     k = F.col("id")
     hex_ = F.format_string("#%02X%02X%02X", k % 256, F.floor(k / 7) % 256, k * 31 % 256)
-    cells = Y.cells(s("samples").select("id", "code", hex_.alias("hex")), SEED, 20)
+    path = folder(s.spark, "corpus")
+    Y.cells(s("samples").select("id", "code", hex_.alias("hex")), SEED, 20).write.parquet(path)
+    cells = s.spark.read.parquet(path)
     got = I.measured(cells.select("id", F.lit("orig").alias("variant"), "content"), "pixels").join(cells.select("id", "code", "level"), "id")
     v = lambda i: F.get("values", i)
     return got.select("id", "code", "level", F.size("values").alias("n"), F.when(F.col("level") == "clean", v(0) + 2 * v(1) + 3 * v(2)).alias("corner"))
@@ -167,7 +169,9 @@ def board_redrawn(s):
     """SNK-13, OCR-19: every board drawn again from its recognised cells at four pixels a cell and read back; codes don't fit such tiles."""
     cells = _status(s).select(*O.KEY, "code", "status", "color_hex")
     boards = cells.select("job").distinct().select("job", F.lit(7).alias("rows"), F.lit(8).alias("cols"))
-    drawn = Y.redraw(boards, cells, 4)
+    path = folder(s.spark, "redrawn")
+    Y.redraw(boards, cells, 4).write.parquet(path)
+    drawn = s.spark.read.parquet(path)
     got = I.measured(drawn.select(F.col("job").alias("id"), F.lit("orig").alias("variant"), "content"), "pixels")
     total = F.aggregate("values", F.lit(0.0).cast("double"), lambda a, x: a + x)
     return got.select(F.col("id").alias("job"), F.size("values").alias("n"), total.alias("total")).join(drawn.select("job", "recognised", "missed"), "job")
