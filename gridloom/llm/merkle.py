@@ -5,9 +5,9 @@ and every ``FANOUT`` consecutive nodes become their hash, level by level, until
 groups' order, give the root of the whole in the same way.
 
 Ranks come from one range sort of the narrow table of leaves and from counts of each task before; a group never meets in
-one task. Ranks deal a group into aligned blocks of 3^9 nodes, which are independent: a block is one contiguous
+one task. Ranks deal a group into aligned blocks of 3^7 nodes, which are independent: a block is one contiguous
 numpy matrix of 64-byte digests, reshaped by the fanout and hashed row by row a level at a time. Blocks' roots are the nodes of the next,
-19,683 times smaller round, until each group has one. Going down again, each block is joined with the path of its root,
+2,187 times smaller round, until each group has one. Going down again, each block is joined with the path of its root,
 and a row's siblings at every level are found by index arithmetic in the block's matrices, those of all rows of a level at once. A path is a string of
 steps, ``<place in its run><siblings' digests>;`` from the leaf to the root, enough to recompute the root from any leaf.
 
@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from gridloom.llm.common import drop, fold_id, materialize, table
 
 FANOUT = 3
-HEIGHT = 9  # levels of a block, which has 19,683 nodes
+HEIGHT = 7  # levels of a block, which has 2,187 nodes
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROWS = 8192  # of a result batch
 
@@ -176,7 +176,7 @@ def sink(nodes: DataFrame, above: DataFrame | None, tall: int, kept: tuple[str,
 
 
 def climb(nodes: DataFrame, tall: int) -> list[DataFrame]:
-    """The rounds of nodes up to one a group; with blocks of 3^9 one round for groups of up to 19,683 nodes, two up to 387 million, three up to 7.6 * 10^12."""
+    """The rounds of nodes up to one a group; with blocks of 3^7 one round for groups of up to 2,187 nodes, two up to 4.8 million, three up to 10^10, four up to 2 * 10^13."""
     rounds, most = [nodes], nodes.agg(F.max("n")).first()[0] or 0
     while most > 1 or len(rounds) == 1:
         rounds.append(materialize(rise(rounds[-1], tall), "roots", narrow=True))
