@@ -10,7 +10,8 @@ white space) that are shorter than that. ``words`` = 0 leaves the second kind ou
 2. An anchor that occurs once has no equal window anywhere and goes. Equal contexts are one string
    with a weight: a hot passage is one row however often it occurs. If its weight is over one all its
    windows repeat.
-3. The different contexts of an anchor meet in one shard. A shard's contexts are concatenated and
+3. The different contexts of an anchor meet in one shard. A task fills shards with whole anchors, up to
+   SHARD_BYTES each, so what it holds is bounded whatever the hash deals to it. A shard's contexts are concatenated and
    sorted by external induced sorting (``suffix``): windows repeat whose neighbours in suffix order share
    them whole. No window is lost: equal windows have one anchor, so one shard. An anchor with over
    SPLIT_BYTES of different contexts is split: its windows are dealt by their hash and counted.
@@ -29,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from gridloom.llm.common import drop, fresh, materialize, small_batches
 from gridloom.llm.suffix import scratch, suffixes
 
 LENGTH, WORDS, GRAM = 400, 51, 96
-SHARD_BYTES, SPLIT_BYTES = 8 << 20, 1 << 20  # of a shard; of an anchor's different contexts beyond which it is split
+SHARD_BYTES, SPLIT_BYTES = 4 << 20, 1 << 20  # of a shard at most; of an anchor's different contexts beyond which it is split
 PIECE = 1 << 23  # windows of one text that are anchored at once
 MEMORY = 1 << 22  # suffixes that the sorter of a shard holds; more go to disk
 _POS = np.uint64(28)
@@ -261,35 +263,44 @@ def repeated(contexts: list[bytes], shape: np.ndarray, heavy: np.ndarray, length
 FOUND = "anchor long, context long, bytes_runs array<int>, words_runs array<int>"
 
 
-def _sort_shards(rows: DataFrame, length: int, words: int, memory: int) -> DataFrame:
-    """(anchor, context, runs) of contexts (anchor, context, weight, shape, bytes, shard) sorted by shard."""
+def _sort_shards(rows: DataFrame, length: int, words: int, memory: int, shard_bytes: int) -> DataFrame:
+    """(anchor, context, runs) of contexts (anchor, context, weight, shape, bytes) sorted by anchor."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         runs = repeated(t.column("bytes").to_pylist(), t.column("shape").to_numpy(), t.column("weight").to_numpy() > 1, length, words, memory)
         kind = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks(), t.column("context").combine_chunks(), pa.array([x for x, _ in runs], kind), pa.array([x for _, x in runs], kind)], ["anchor", "context", "bytes_runs", "words_runs"])
 
-    return rows.mapInArrow(_by_shard(solve), FOUND)
+    return rows.mapInArrow(_by_shard(solve, shard_bytes), FOUND)
 
 
-def _by_shard(solve: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+def _by_shard(solve: Callable[[pa.Table], pa.RecordBatch], shard_bytes: int) -> Callable:
+    """``solve`` of shards: anchors that follow each other, as many as ``shard_bytes`` hold, one at least."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        full: list[pa.RecordBatch] = []  # whole anchors
+        last: list[pa.RecordBatch] = []  # the anchor that may go on in the next batch
+        full_size = last_size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard = batch.column("shard").to_numpy()
-            cut = (np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist()
-            if held and held[0].column("shard")[0].as_py() != shard[0]:
-                cut = [0, *cut]
-            at = 0
-            for c in cut:
-                held.append(batch.slice(at, c - at))
-                yield solve(pa.Table.from_batches([x for x in held if x.num_rows]))
-                held, at = [], c
-            held.append(batch.slice(at))
-        if held:
-            yield solve(pa.Table.from_batches(held))
+            anchor = batch.column("anchor").to_numpy()
+            starts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), batch.num_rows]
+            sums = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())])
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if last and (a or last[0].column("anchor")[0].as_py() != anchor[0]):
+                    if full and full_size + last_size > shard_bytes:
+                        yield solve(pa.Table.from_batches(full))
+                        full, full_size = [], 0
+                    full.extend(last)
+                    full_size, last, last_size = full_size + last_size, [], 0
+                last.append(batch.slice(a, b - a))
+                last_size += int(sums[b] - sums[a])
+        if full and full_size + last_size > shard_bytes:
+            yield solve(pa.Table.from_batches(full))
+            full = []
+        if full or last:
+            yield solve(pa.Table.from_batches(full + last))
 
     return run
 
@@ -353,14 +364,14 @@ def spans(docs: DataFrame, length: int = LENGTH, words: int = 0, gram: int = GRA
     distinct = materialize(distinct.select("anchor", "context", "weight", "at.*"), "contexts")
     several = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(_field("shape", 0).cast("long")).alias("held")).filter("m > 1").select("anchor", "held"), "several")
     total, most = several.agg(F.sum("held"), F.max("held")).first()
-    shards, split = max(1, -(-(total or 0) // shard_bytes)), min(SPLIT_BYTES, shard_bytes)
+    tasks, split = max(1, -(-(total or 0) // shard_bytes)), min(SPLIT_BYTES, shard_bytes)
     mixed = distinct.join(several.hint("merge"), "anchor")
-    placed = mixed.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).withColumn("size", _field("shape", 0))
+    placed = mixed.withColumn("size", _field("shape", 0))
     own = texts.dropDuplicates(KEYS)
-    cut = placed.join(own.hint("merge"), KEYS).select("anchor", "context", "weight", "shape", "shard", "held", F.expr("substring(cast(text AS binary), lo + 1, size)").alias("bytes"))
+    cut = placed.join(own.hint("merge"), KEYS).select("anchor", "context", "weight", "shape", "held", F.expr("substring(cast(text AS binary), lo + 1, size)").alias("bytes"))
     if (most or 0) > split:
         cut = materialize(cut, "cut")
-    found = _sort_shards(cut.filter(F.col("held") <= split).repartition(int(min(shards, 20000)), "shard").sortWithinPartitions("shard"), length, words, memory).filter("size(bytes_runs) + size(words_runs) > 0")
+    found = _sort_shards(cut.filter(F.col("held") <= split).repartition(int(min(tasks, 20000)), "anchor").sortWithinPartitions("anchor"), length, words, memory, shard_bytes).filter("size(bytes_runs) + size(words_runs) > 0")
     if (most or 0) > split:
         found = found.unionByName(_split_anchors(cut.filter(F.col("held") > split), length, words))
     alone = distinct.filter("weight > 1").join(several.hint("merge"), "anchor", "left_anti")

@@ -2,11 +2,13 @@
 
 import base64
 import itertools
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as PT
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -101,6 +103,20 @@ def test_repeated_windows(ts, memory):
         assert list(zip(more[::2], more[1::2], strict=True)) == [(x, y) for x, y in ws if count_two[b[x:y]] > 1]
 
 
+def test_shards_of_a_task_are_bounded():
+    """Whole anchors, in one shard each, whatever the batches; no shard is larger than asked for."""
+    rnd = random.Random(4)
+    rows = [(k, bytes(rnd.randrange(1, 90))) for k in range(300) for _ in range(rnd.randrange(1, 9))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 37], strict=True)], ["anchor", "bytes"]) for i in range(0, len(rows), 37)]
+    seen = []
+    for t in sub._by_shard(lambda t: t, 1000)([batches[0].slice(0, 0), *batches]):
+        assert sum(map(len, t.column("bytes").to_pylist())) <= 1000
+        seen.append(t.column("anchor").to_pylist())
+    assert sum(seen, []) == [k for k, _ in rows]
+    assert all(a[-1] != b[0] for a, b in zip(seen[:-1], seen[1:], strict=True))
+    assert len(seen) < 2 * sum(len(b) for _, b in rows) / 1000 + 1
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.public_codec()
