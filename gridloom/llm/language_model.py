@@ -46,6 +46,8 @@ SLICES = 4  # of the documents, scored one after the other, so that the shuffle
 BITS = 27  # of a bit set's size
 END = np.uint64(0xE17D0F5EED0F7E87)
 HELD = 1 << 19  # keys a counting task holds before it compacts them
+BUCKET = 1 << 20  # tokens for each bucket of n-grams
+BLOCK = 1000  # n-grams of a bucket that are one row of a shuffle at most
 
 
 @dataclass
@@ -116,10 +118,57 @@ def _compact(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [*(c[order[first]] for c in cols[:-1]), np.add.reduceat(cols[-1][order], first) if len(key) else cols[-1]]
 
 
-def _counted(docs: DataFrame, order: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(key, n) of the words, or (context, rest, n) of the n-grams whose context and rest may be in the two bit sets ``known``; pre-aggregated in the tasks."""
-    names = ["key"] if order == 1 else ["context", "rest"]
+def _blocks(x: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Context, rest and count (key, context, rest, n) in order of their keys, packed by bucket: the first ``bits`` bits of the key. A bucket's rows are a block of BLOCK at most."""
+    bucket = (x[0] >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    size = np.diff(np.append(first, len(bucket)))
+    n = -(-size // BLOCK)
+    start = np.repeat(first, n) + tv.ramp(n) * BLOCK
+    off = np.append(start, len(bucket))
+    for k in range(0, len(start), 500):
+        part = off[k : k + 501]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int32)), *(tv.blobs(c[part[0] : part[-1]], part - part[0]) for c in x[1:])], ["bucket", "context", "rest", "n"])
+
+
+def _merged(floor: int):
+    """Counts of the n-grams of blocks in order of their buckets, a bucket at a time; those of ``floor`` and more."""
+    names = ["context", "rest", "n"]
+
+    def solve(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x = _compact(held)
+        often = np.flatnonzero(x[-1] >= floor)
+        for k in range(0, len(often), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[often[k : k + 50_000]].view(np.int64)) for c in x], ["key", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], -1
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            edge = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else []
+            for a, b in zip(edge[:-1], edge[1:]):
+                if bucket[a] != now and held:
+                    yield from solve(held)
+                    held = []
+                now = bucket[a]
+                cols = []
+                for c in names:
+                    data, off = tv.buffers(batch.column(c).slice(a, b - a))
+                    cols.append(np.frombuffer(data[off[0] : off[-1]].tobytes(), np.int64 if c == "n" else np.uint64))
+                held.append([gram_key(cols[0], cols[1]), *cols])
+        if held:
+            yield from solve(held)
+
+    return run
+
+
+def _counted(docs: DataFrame, order: int, known: tuple[np.ndarray, np.ndarray] | None = None, floor: int = 1, total: int = 0) -> DataFrame:
+    """(key, n) of the words, or (key, context, rest, n) of the n-grams of ``floor`` occurrences and more whose context and rest may be in the two bit sets ``known``; pre-aggregated in the tasks.
+
+    N-grams go through the shuffle in blocks of a bucket, not as a row each; the buckets grow in number with the ``total`` of tokens, so each is bounded.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
+    bits = min(24, max(8, (total // BUCKET).bit_length()))
 
     def grams(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
         if order == 1:
@@ -136,8 +185,11 @@ def _counted(docs: DataFrame, order: int, known: tuple[np.ndarray, np.ndarray] |
         size = 0
 
         def out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if order > 1:
+                yield from _blocks(x, bits)
+                return
             for k in range(0, len(x[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000].view(np.int64)) for c in x[-len(names) - 1 :]], [*names, "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000].view(np.int64)) for c in x], ["key", "n"])
 
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
@@ -154,18 +206,11 @@ def _counted(docs: DataFrame, order: int, known: tuple[np.ndarray, np.ndarray] |
         if held:
             yield from out(_compact(held))
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
-
-
-def _with_key(grams: DataFrame) -> DataFrame:
-    """``grams`` (context, rest, n) with their key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, r = (batch.column(x).to_numpy().view(np.uint64) for x in ("context", "rest"))
-            yield batch.append_column("key", pa.array(gram_key(c, r).view(np.int64)))
-
-    return grams.mapInArrow(run, "context long, rest long, n long, key long")
+    if order == 1:
+        return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    blocks = docs.mapInArrow(run, "bucket int, context binary, rest binary, n binary")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(floor), "key long, context long, rest long, n long")
 
 
 def _diverging(rows: DataFrame) -> DataFrame:
@@ -179,7 +224,7 @@ def _diverging(rows: DataFrame) -> DataFrame:
     return sums.select("context", F.col("c"), left.alias("left"), keep.alias("keep"))
 
 
-def grow(training: DataFrame, words: DataFrame, floor: int, least: int, depth: int) -> list[tuple[DataFrame, DataFrame]]:
+def grow(training: DataFrame, words: DataFrame, floor: int, least: int, depth: int, total: int = 0) -> list[tuple[DataFrame, DataFrame]]:
     """(continuations (key, context, rest, n, q, p), states (context, c, left, keep)) of each level; q: probability in the suffix, p: in the state."""
     levels = []
     shorter = words.select("key", "n", "p")
@@ -190,7 +235,7 @@ def grow(training: DataFrame, words: DataFrame, floor: int, least: int, depth: i
             break
         # an n-gram is no more frequent than what is left of it without its first word
         rests = bit_set(shorter.filter(F.col("n") >= floor).select("key"))
-        counted = materialize(_with_key(_counted(training, order, (bits, rests)).filter(F.col("n") >= floor)), "counted")
+        counted = materialize(_counted(training, order, (bits, rests), floor, total), "counted")
         rows = counted.join(shorter.select(F.col("key").alias("rest"), F.col("p").alias("q")).hint("merge"), "rest").join(contexts.hint("merge"), "context")
         rows = materialize(rows.select("key", "context", "rest", "n", "q", "c"), "rows")
         states = materialize(_diverging(rows), "states")
@@ -207,7 +252,7 @@ def learn(training: DataFrame, floor: int = FLOOR, least: int = LEAST, depth: in
     words = materialize(_counted(training, 1), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = words.withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (kinds + 1)))
-    levels = grow(training, words, floor, least, depth)
+    levels = grow(training, words, floor, least, depth, total)
     back = F.log10((F.col("left") + MU) / (F.col("c") + MU))
     nothing = F.lit(None).cast("double")
     parts = [words.select("key", "n", F.log10("p").alias("root"), F.log10("p").alias("more"))]

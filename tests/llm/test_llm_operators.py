@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
@@ -325,6 +326,23 @@ def test_tree_distributions_sum_to_one(spark):
         assert sum(10 ** log_p(history, w) for w in ("a", "b", "c", "d", None, "unseen")) == pytest.approx(1.0)
 
 
+def test_grams_are_counted_in_blocks():
+    """Blocks of different tasks, dealt by bucket, give the n-grams of ``floor`` occurrences; a block is bounded."""
+    rnd = np.random.default_rng(5)
+    rows, want = [], Counter()
+    for _ in range(3):
+        context, rest, n = rnd.integers(0, 40, 4000).astype(np.uint64), rnd.integers(0, 400, 4000).astype(np.uint64), rnd.integers(1, 3, 4000)
+        for c, r, k in zip(context.tolist(), rest.tolist(), n.tolist(), strict=True):
+            want[c, r] += k
+        x = language_model._compact([[language_model.gram_key(context, rest), context, rest, n]])
+        rows += [row for b in language_model._blocks(x, 2) for row in b.to_pylist()]
+    assert 12 <= len(rows) < 30 and max(len(r["n"]) for r in rows) <= 8 * language_model.BLOCK
+    rows.sort(key=lambda r: r["bucket"])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 5]) for i in range(0, len(rows), 5)]
+    got = [(r["context"], r["rest"], r["n"], r["key"]) for b in language_model._merged(4)(batches) for r in b.to_pylist()]
+    assert {(c, r): n for c, r, n, _ in got} == {k: n for k, n in want.items() if n >= 4} and len(got) == len({k for *_, k in got})
+
+
 def test_tree_keeps_contexts_by_count_in_any_corpus(spark):
     """A context of LEAST occurrences among nine million tokens is kept with its continuation, in the table or in the hot part."""
     often = spark.createDataFrame([("once upon time",)] * language_model.LEAST, "text string")
