@@ -69,12 +69,19 @@ class Encoder:
         space, end = (self.tokenizer.id_to_token(self.tokenizer.encode(c, add_special_tokens=False).ids[0]) for c in " \n")
         self.begins = np.zeros(max(words.values()) + 1, bool)
         self.begins[[k for w, k in words.items() if w.startswith(space) or w == end]] = True
+        # signs that this tokenizer always splits from the letters before them, with their ids
+        pre = self.tokenizer.pre_tokenizer
+        self.tails = {c: code for c, code in self._each([",", "."]) if pre and len(pre.pre_tokenize_str(f" ab{c}")) == 2}
 
     def parts(self, text: str) -> list[str]:
         """The text cut before its single spaces and line ends; the spaces go, so but for the very first a part follows one or begins with a line end."""
         out: list[str] = []
-        for k, line in enumerate(SAFE_END.split(text) if "\n" in text else [text]):
-            words = line.split(" ") if not UNSAFE.search(line) else self.careful(line)
+        lines = text.split("\n")
+        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            lines = SAFE_END.split(text)
+        for k, line in enumerate(lines):
+            # printable: no white space but spaces
+            words = line.split(" ") if line.isprintable() and "  " not in line or not UNSAFE.search(line) else self.careful(line)
             if k:
                 words[0] = "\n" + words[0]
             out += words
@@ -138,10 +145,17 @@ class Encoder:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         new = set().union(*(s for t in cut for s in t)).difference(memo)
-        again = new.intersection(older)
+        again = [p for p in new if p in older]  # not intersection(), which would go through all of ``older``
         memo.update((p, older[p]) for p in again)
-        new = list(new.difference(again))
-        memo.update(self._joined(new))
+        new = new.difference(again)
+        ended = [p for p in new if p[-1:] in self.tails and p.isascii() and p[:-1].isalpha()]
+        new.difference_update(ended)
+        stems = {p[:-1] for p in ended}.difference(memo)
+        memo.update((p, older[p]) for p in stems if p in older)
+        new.update(p for p in stems if p not in older)
+        memo.update(self._joined(list(new)))
+        memo.update([(p, memo[p[:-1]] + self.tails[p[-1]]) for p in ended])
+        new.update(ended)
         out = [first[h] + b"".join([b"".join(map(memo.__getitem__, s)) for s in t]) for h, t in zip(heads, cut)]
         for p in new:
             if len(p) > 64:

@@ -42,6 +42,18 @@ def test_parts_give_the_ids_of_the_whole_text(tokenizer):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_signs_after_letters_are_not_encoded_again(monkeypatch, tokenizer):
+    """A word with a sign after it takes its ids from the word alone; other ends, letters beyond ASCII and what was met before go on giving the library's ids."""
+    monkeypatch.setattr(packing, "MEMO", 4)
+    encoder, given = packing.Encoder(PATH), []
+    joined = encoder._joined
+    monkeypatch.setattr(encoder, "_joined", lambda parts: joined([given.append(p) or p for p in parts]))
+    texts = ["so word, word. word word,. é, don't, 12. a", "x word. other, other.\nNext, next. " + "y" * 80 + ", word", "x ., . , ,"]
+    for _ in range(2):
+        assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "word" in given and not {"word,", "word.", "other,", "other.", "next."} & set(given)
+
+
 def test_long_texts_go_through_in_slices(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "SLICE", 50)
     encoder, text = packing.Encoder(PATH), "one  two three\n four " * 40
