@@ -54,6 +54,15 @@ class Index:
     words: list[np.ndarray]
     answer: list[np.ndarray]
     lookup: tv.Lookup | None = None
+    plain: dict[int, tuple[list[int], set[int]]] | None = None
+
+    def passage(self, q: int) -> tuple[list[int], set[int]]:
+        """The words of a passage and of its answer as Python's, as a window has too few words for array calls."""
+        if self.plain is None:
+            self.plain = {}
+        if q not in self.plain:
+            self.plain[q] = self.words[q].tolist(), set(self.answer[q].tolist())
+        return self.plain[q]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Position of each hash in the vocabulary, -1 if it isn't there."""
@@ -221,16 +230,17 @@ def _search(w: tv.Words, index: Index) -> Iterator[tuple[int, int, float, float,
         cos = both @ index.latent.T / np.sqrt(w_norm2[pick]).astype(np.float32)[:, None]
         for p, q in zip(*np.nonzero(cos >= index.bar), strict=True):
             blk = pick[p]
-            r, item = int(doc[blk]), index.words[q]
+            r, (item, answer) = int(doc[blk]), index.passage(int(q))
             lo = max(int(w.ptr[r]), int(start[blk]) - len(item))
             hi = min(int(w.ptr[r + 1]), int(start[blk]) + 2 * BLOCK + len(item))
-            span = w.h[lo:hi]
-            here = np.isin(index.answer[q], span).mean()
-            if here < ANSWER or np.isin(item, span).mean() < LCS:
+            span = w.h[lo:hi].tolist()
+            met = set(span)
+            here = len(answer & met) / len(answer)
+            if here < ANSWER or sum(map(met.__contains__, item)) / len(item) < LCS:
                 continue
-            share = lcs(item.tolist(), span.tolist()) / len(item)
+            share = lcs(item, span) / len(item)
             if share >= LCS:
-                yield r, int(q), float(cos[p, q]), share, float(here)
+                yield r, int(q), float(cos[p, q]), share, here
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:

@@ -221,6 +221,18 @@ def test_broken_markup_never_fails(html):
     html_text.main_text(html)
 
 
+def test_candidates_are_checked_without_array_calls(monkeypatch):
+    """A window has too few words for them: they were most of the search's time."""
+    item = "one two three four five six seven eight nine ten two three"
+    h = decontaminate._words(item)
+    vocab, col = np.unique(h, return_inverse=True)
+    v = np.bincount(col).astype(np.float32)
+    index = decontaminate.Index(vocab, np.ones(len(vocab)), 1.0, np.eye(len(vocab), dtype=np.float32), (v / np.linalg.norm(v))[None], np.array([0.2], np.float32), np.array([7]), [h], [vocab[:3]])
+    monkeypatch.setattr(np, "isin", None)
+    found = list(decontaminate._found(*decontaminate._lower(pa.array([f"x y {item} z", "one two other words", item.replace("six", "6")])), [index]))
+    assert [(r, i, round(f[1], 4), f[2] > 0.5) for r, i, f in found] == [(0, 7, 1.0, True), (2, 7, round(11 / 12, 4), True)]
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(100):
