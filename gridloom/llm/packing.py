@@ -19,11 +19,13 @@ Null and empty texts are one piece, the closing id. Repeated ids and texts are d
 empty table gives no rows; other columns are ignored.
 
 Texts are split before single spaces and line ends between other characters, where the tokenizer's own pattern always splits; a worker keeps the ids of
-MEMO such parts, those used last, and gives the others to the tokenizer some thousand at a time. Long texts go through in slices of such parts.
+MEMO such parts, those used last, and gives the others to the tokenizer some dozens at a time. A block of texts is split, its different parts told apart and their ids
+laid out by Arrow, so Python meets each part once a block. Texts with a space or line end beside other white space are split with more care, and long ones go through in slices of parts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -34,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +46,16 @@ from gridloom.llm.common import doc_texts, materialize, table
 
 CAPACITY = 2048
 CLOSING = 0
-MEMO = 400_000  # parts; twice as many are some 160 MB
+MEMO = 800_000  # parts, some 160 MB; when there are more, those of the last texts stay
 SLICE = 1 << 19  # characters of a text that are split at once
+BLOCK = 1 << 23  # bytes of texts that are encoded together; longer texts go through in slices
+JOINED = 64  # parts that the tokenizer gets as one text; more are slower, as its results outgrow the cache
 ROUNDS = 40  # of pricing
 RATE = 4.0  # how fast prices fall
 TIE = 1e-12  # prices that differ by less are equal
 TIGHT = 0.02  # configurations worth this much less than the best are used too
 
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"  # Latin ones, after which signs are split off
 UNSAFE = re.compile(r" \s|\s ")  # a space beside white space
 SAFE_END = re.compile(r"\n(?<=\S\n)(?=\S)")  # a line end without
 
@@ -64,7 +70,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
         space, end = (self.tokenizer.id_to_token(self.tokenizer.encode(c, add_special_tokens=False).ids[0]) for c in " \n")
         self.begins = np.zeros(max(words.values()) + 1, bool)
@@ -72,6 +77,7 @@ class Encoder:
         # signs that this tokenizer always splits from the letters before them, with their ids
         pre = self.tokenizer.pre_tokenizer
         self.tails = {c: code for c, code in self._each([",", "."]) if pre and len(pre.pre_tokenize_str(f" ab{c}")) == 2}
+        self.ended = f"^[{LETTERS}]+[{''.join(self.tails)}]$" if self.tails else "^$"
 
     def parts(self, text: str) -> list[str]:
         """The text cut before its single spaces and line ends; the spaces go, so but for the very first a part follows one or begins with a line end."""
@@ -115,86 +121,148 @@ class Encoder:
         for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             yield t, np.array(e.ids, "<u4").tobytes()
 
-    def _joined(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of parts but the first of a text: many in one text, as a token that begins with a space or is a line end begins a part."""
-        rest = []
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            block = [p for p in some if p.isprintable() and " " not in p and p or p[:1] == "\n" and p[1:].isprintable() and " " not in p]  # printable: no white space but spaces
-            if len(block) < len(some):
-                rest += set(some).difference(block)
-            if block:
-                ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(self.whole, block))], add_special_tokens=False)[0].ids, "<u4")
-                edges, code = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)], ids.tobytes()
-                if len(edges) == len(block) + 1:
-                    yield from ((p, code[x:y]) for p, x, y in zip(block, edges, edges[1:]))
-                else:  # a tokenizer of another kind
-                    rest += block
-        yield from zip(rest, (code for _, code in self._each(list(map(self.whole, rest)))))
+    def _joined(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of different parts but the first of a text: many in one text, as a token that begins with a space or is a line end begins a part."""
+        words = [p for p in parts if p.isprintable() and " " not in p and p]  # printable: no white space but spaces
+        rest: list[str] = []
+        if len(words) < len(parts):
+            others = set(parts).difference(words)
+            lines = [p for p in others if p[:1] == "\n" and p[1:].isprintable() and " " not in p]
+            rest += others.difference(lines)
+            words += lines
+        out = {}
+        for at in range(0, len(words), 32 * JOINED):
+            block = words[at : at + 32 * JOINED]
+            texts = [(" " + " ".join(block[k : k + JOINED])).replace(" \n", "\n") for k in range(0, len(block), JOINED)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+            edges, code = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)], ids.tobytes()
+            if len(edges) == len(block) + 1:
+                out.update(zip(block, [code[x:y] for x, y in zip(edges, edges[1:])]))
+            else:  # a tokenizer of another kind
+                rest += block
+        out.update(zip(rest, (code for _, code in self._each(list(map(self.whole, rest))))))
+        return out
 
     @staticmethod
     def whole(part: str) -> str:
         return part if part[:1] == "\n" else " " + part
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of all texts. ``memo`` holds those of parts but the first of a text, ``older`` what it held when it was last full; those of long parts are kept for this call only."""
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of all texts. ``memo`` keeps those of parts but the first of a text that are short and have no white space at their ends."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        long = pc.greater(pc.binary_length(column), BLOCK)
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(long, "", column), "\n", " \n"), " ")
+        edges, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        whole, at = coded.dictionary, coded.indices.to_numpy()
+        ended = pc.match_substring_regex(whole, self.ended)
+        stems = pc.if_else(ended, pc.utf8_slice_codeunits(whole, 0, -1), whole).dictionary_encode()
+        parts, stem = stems.dictionary.to_numpy(zero_copy_only=False).tolist(), stems.indices.to_numpy()
+        codes = list(map(self.memo.get, parts))
+        missing = [k for k, code in enumerate(codes) if code is None]
+        # other parts have no white space beside the space or line end that they were split at, nor have those in ``memo``
+        odd = np.zeros(len(parts), bool)
+        odd[[k for k in missing if not (parts[k] and parts[k].isprintable()) and self.beside(parts[k])]] = True
+        odds = np.append(0, np.cumsum(odd[stem][at]))
+        careful = long.to_numpy(zero_copy_only=False) | (odds[edges[1:]] > odds[edges[:-1]])
+
+        rows = np.flatnonzero(~careful)
+        heads = whole.take(pa.array(at[edges[rows]])).to_pylist()
+        first = dict(self._each(list(set(heads))))
+        others = np.repeat(~careful, np.diff(edges))
+        others[edges[rows]] = False
+        used = np.zeros(len(whole), bool)
+        used[at[others]] = True
+        wanted = np.zeros(len(parts), bool)
+        wanted[stem[used]] = True
+        missing = [k for k, w in zip(missing, wanted[missing].tolist()) if w]
+        if len(self.memo) > MEMO:
+            self.memo = {p: code for p, code in zip(parts, codes) if code is not None}
+        new = [parts[k] for k in missing]
+        got = self._joined(new)
+        for k, code in zip(missing, map(got.__getitem__, new)):
+            codes[k] = code
+        self.memo.update(got)
+        for k in np.flatnonzero(pc.greater(pc.binary_length(stems.dictionary), 64).to_numpy(zero_copy_only=False)).tolist():
+            self.memo.pop(parts[k], None)
+
+        signs = pc.if_else(ended, pc.utf8_slice_codeunits(whole, -1), "").dictionary_encode()
+        tails = pa.array([self.tails.get(c, b"") for c in signs.dictionary.to_pylist()], pa.binary()).take(signs.indices)
+        ids = pc.binary_join_element_wise(pa.array(codes, pa.binary()).take(stems.indices), tails, b"")
+        where = np.where(others, at, len(whole))  # no ids: texts that are encoded with care
+        where[edges[rows]] = np.arange(len(whole) + 1, len(whole) + 1 + len(rows))
+        ids = pa.concat_arrays([ids, pa.array([b"", *map(first.__getitem__, heads)], pa.binary())]).take(pa.array(where))
+        _, ends, data = ids.buffers()
+        ends, data = np.frombuffer(ends, np.int32)[edges].tolist(), data.to_pybytes() if data else b""
+        out = [data[x:y] for x, y in zip(ends, ends[1:])]
+        rows = np.flatnonzero(careful)
+        sizes = pc.binary_length(column).to_numpy()[rows]
+        for own in np.split(rows, np.flatnonzero(np.diff(np.cumsum(sizes) // (2 * SLICE))) + 1) if len(rows) else ():  # about a megabyte together
+            for k, code in zip(own.tolist(), self.with_care(column.take(pa.array(own)).to_pylist())):
+                out[k] = code
+        return out
+
+    @staticmethod
+    def beside(part: str) -> bool:
+        """Whether the part may have white space beside the space or line end that it was split at."""
+        rest = part[1:] if part[:1] == "\n" else part
+        return not rest or rest[0].isspace() or rest[-1].isspace()
+
+    def with_care(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of any length, whatever white space they have."""
         cut = [list(self.slices(t)) for t in texts]
         heads = [t[0].pop(0) if t else "" for t in cut]
         first = dict(self._each(list(set(heads))))
+        parts = set().union(*(s for t in cut for s in t))
+        codes = {p: code for p in parts if (code := self.memo.get(p)) is not None}
         if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        new = set().union(*(s for t in cut for s in t)).difference(memo)
-        again = [p for p in new if p in older]  # not intersection(), which would go through all of ``older``
-        memo.update((p, older[p]) for p in again)
-        new = new.difference(again)
-        ended = [p for p in new if p[-1:] in self.tails and p.isascii() and p[:-1].isalpha()]
-        new.difference_update(ended)
-        stems = {p[:-1] for p in ended}.difference(memo)
-        memo.update((p, older[p]) for p in stems if p in older)
-        new.update(p for p in stems if p not in older)
-        memo.update(self._joined(list(new)))
-        memo.update([(p, memo[p[:-1]] + self.tails[p[-1]]) for p in ended])
-        new.update(ended)
-        out = [first[h] + b"".join([b"".join(map(memo.__getitem__, s)) for s in t]) for h, t in zip(heads, cut)]
-        for p in new:
-            if len(p) > 64:
-                del memo[p]
-        return out
+            self.memo = dict(codes)
+        new = self._joined(list(parts.difference(codes)))
+        self.memo.update((p, code) for p, code in new.items() if len(p) <= 64 and (p.isprintable() or not self.beside(p)))
+        codes |= new
+        return [first[h] + b"".join([b"".join(map(codes.__getitem__, s)) for s in t]) for h, t in zip(heads, cut)]
 
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """One for all tasks of a worker, as they share most parts."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads of the tokenizer's own would spin
     return Encoder(path)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that have no more than BLOCK bytes of text together, or a single one."""
+    held, size = [], 0
+    for b in batches:
+        at = 0
+        for k, n in enumerate(pc.binary_length(b.column(1)).to_pylist()):
+            if size + n > BLOCK and (held or k > at):
+                yield pa.Table.from_batches([*held, b.slice(at, k - at)])
+                held, size, at = [], 0, k
+            size += n
+        if at < b.num_rows:
+            held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """PIECES of all documents: part and nth say that the piece is the nth (from 0) of its length in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = encoder_of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         closing, step = np.array([CLOSING], "<u4").tobytes(), 4 * capacity
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at = 0
-            while at < len(texts):  # about a megabyte of text at a time
-                end, size = at + 1, len(texts[at])
-                while end < len(texts) and size < SLICE * 2:
-                    size += len(texts[end])
-                    end += 1
-                rows = []
-                for doc, code in zip(ids[at:end], encoder.encode(texts[at:end])):
-                    code += closing
-                    start = 0
-                    first = len(code) % step or step
-                    for piece, stop in enumerate(range(first, len(code) + 1, step)):
-                        own, length = code[start:stop], (stop - start) // 4
-                        rows.append((doc, piece, start // 4, length, own if keep_ids else None, zlib.crc32(own), part, int(seen[length])))
-                        seen[length] += 1
-                        start = stop
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
-                at = end
+        for block in blocks(batches):
+            rows = []
+            for doc, code in zip(block.column(0).to_pylist(), encoder.encode(block.column(1).combine_chunks())):
+                code += closing
+                start = 0
+                first = len(code) % step or step
+                for piece, stop in enumerate(range(first, len(code) + 1, step)):
+                    own, length = code[start:stop], (stop - start) // 4
+                    rows.append((doc, piece, start // 4, length, own if keep_ids else None, zlib.crc32(own), part, int(seen[length])))
+                    seen[length] += 1
+                    start = stop
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
 
     return doc_texts(docs).mapInArrow(run, PIECES)
 

@@ -3,11 +3,13 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -61,6 +63,61 @@ def test_long_texts_go_through_in_slices(monkeypatch, tokenizer):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_part_is_looked_up_once_a_block(monkeypatch, tokenizer):
+    """However often a block has a part, Python meets it once; texts with white space beside white space long ones in the same block, and a full memo change no ids."""
+    seen = Counter()
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            seen[key] += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            seen[key] += 1
+            return super().__getitem__(key)
+
+    encoder = packing.Encoder(PATH)
+    encoder.memo = Counted()
+    ids = lambda texts: [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = lambda texts: [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(pa.array(texts, pa.string()))]
+    texts = ["so it is, so it is\nso it is" * 40, "it is so", "is"]
+    for _ in range(2):
+        seen.clear()
+        assert got(texts) == ids(texts)
+        assert seen["it"] and max(seen.values()) == 1
+    monkeypatch.setattr(packing, "BLOCK", 300)
+    texts = ["", " ", "\n", "a\n", "\na", "a \nb", "a\n b", "a\n\nb", "a\tb c\t d", "tab\t", "x tab\t", "x tab\t y", "\x00 a\x1f b\x85", "a\r\nb c\r\nd", "é\nÉa, né. 12, a%%% '%% x's,", "ab " * 200 + "ab", "y" * 500, "a " + "y" * 90, "<|endoftext|> a <|endoftext|>, b"]
+    for memo, characters in ((4, 20), (100, 1 << 19)):
+        monkeypatch.setattr(packing, "MEMO", memo)
+        monkeypatch.setattr(packing, "SLICE", characters)
+        for some in (texts, texts[::-1], texts[3:4], [], texts * 3):
+            assert got(some) == ids(some)
+    assert not any(len(p) > 64 or p != p.strip() and packing.Encoder.beside(p) for p in encoder.memo)
+
+
+def test_signs_after_latin_letters(monkeypatch, tokenizer):
+    """The same for all letters that ``LETTERS`` names: the library splits signs from each of them, and a word with a sign isn't given to it."""
+    encoder, given = packing.Encoder(PATH), []
+    joined = encoder._joined
+    monkeypatch.setattr(encoder, "_joined", lambda parts: joined([given.append(p) or p for p in parts]))
+    letters = [c for c in map(chr, range(0x300)) if re.match(f"[{packing.LETTERS}]", c)]
+    texts = [f"x {c}{sign} a{c}{sign} {c}b{sign} ª{sign} {c}{sign}{sign}" for c in letters for sign in ",.!"]
+    for kind in (pa.string(), pa.large_string()):
+        assert encoder.encode(pa.array(texts, kind)) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(letters) == 450 and "é" in given and "aé!" in given and not {"é,", "é.", "aé,", "éb."} & set(given)
+
+
+def test_blocks_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 10)
+    sizes = [3, 7, 1, 0, 25, 0, 10, 4, 4, 4, 0, 11, 11, 2]
+    rows = pa.table({"doc_id": range(len(sizes)), "text": ["x" * n for n in sizes]})
+    for step in (1, 3, 100):
+        own = list(packing.blocks(iter(rows.to_batches(step))))
+        assert [k for t in own for k in t.column(0).to_pylist()] == list(range(len(sizes)))
+        assert [[len(x) for x in t.column(1).to_pylist()] for t in own] == [[3, 7], [1, 0], [25], [0, 10], [4, 4], [4, 0], [11], [11], [2]]
+    assert not list(packing.blocks(iter([])))
+
+
 def checked(rows, texts, tokenizer, capacity):
     """Every piece where the contract wants it; returns the number of sequences."""
     want = Counter()
