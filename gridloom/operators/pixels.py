@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def area_weights(src: int, dst: int) -> np.ndarray:
@@ -95,8 +96,9 @@ def png_decode(data: bytes) -> np.ndarray:
     samples = CHANNELS[colour]
     bpp, width = max(1, samples * depth // 8), -(-w * samples * depth // 8)
     lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + width)
-    out = np.zeros((h, width), np.uint8)
-    for y in range(h):
+    plain = not lines[:, 0].any()
+    out = lines[:, 1:].copy() if plain else np.zeros((h, width), np.uint8)
+    for y in () if plain else range(h):
         line, kind, up = lines[y, 1:], lines[y, 0], out[y - 1] if y else np.zeros(width, np.uint8)
         if kind == 1:  # sums along the line, channel by channel
             whole = np.zeros(-(-width // bpp) * bpp, np.uint8)
@@ -293,6 +295,19 @@ def measured(images: DataFrame, what: str) -> DataFrame:
     return images.select("id", "variant", "content").mapInPandas(run, "id long, variant string, values array<double>")
 
 
+def totals(images: DataFrame) -> DataFrame:
+    """The images' other columns with n, the number of values of the decoded ``content`` (PNG), and total, their sum; the values stay in the task."""
+    others = [c for c in images.columns if c != "content"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            decoded = [(v.size, float(v.sum())) for v in map(png_decode, b.column("content").to_pylist())]
+            made = [pa.array([x[k] for x in decoded], t) for k, t in enumerate((pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *made], names=[*others, "n", "total"])
+
+    return images.mapInArrow(run, images.select(*others).schema.add("n", IntegerType()).add("total", DoubleType()))
+
+
 def archive_lines(archives: DataFrame) -> DataFrame:
     """SRC-11, JON-09 for archives held in a column (job, archive): (job, code, file, row, col, size) of the manifest's lines whose file is inside."""
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.functions.colour import rgb
 from gridloom.operators.datasets import QUALITY_LEVELS, draw, unit
@@ -118,25 +119,6 @@ def palette_cells(dictionary: DataFrame, per_colour: int, seed: int, size: int =
     return cells(dictionary.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(per_colour - 1)), lambda k: ids + k)).alias("id"), "code", "hex"), seed, size)
 
 
-def _bands(it: Iterator[pa.RecordBatch], tile: int, labels: bool) -> Iterator[tuple[int, int, bytes, int, int]]:
-    """(job, row, deflated lines, their check sum, their length) of rows (job, row, cols, cells)."""
-    for b in it:
-        for job, row, cols, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            colours = np.full((cols, 3), 255, np.uint8)
-            for c in own or ():
-                if 0 <= c["col"] < cols:
-                    colours[c["col"]] = c["r"], c["g"], c["b"]
-            lines = np.broadcast_to(colours.repeat(tile, 0)[None], (tile, cols * tile, 3)).copy()
-            if labels:
-                for c in own or ():
-                    if 0 <= c["col"] < cols and c["code"]:
-                        _write(lines[:, c["col"] * tile : (c["col"] + 1) * tile], c["code"], colours[c["col"]])
-            raw = np.zeros((tile, 1 + 3 * cols * tile), np.uint8)
-            raw[:, 1:] = lines.reshape(tile, -1)
-            data, pack = raw.tobytes(), zlib.compressobj(6, zlib.DEFLATED, -15)
-            yield job, row, pack.compress(data) + pack.flush(zlib.Z_SYNC_FLUSH), zlib.adler32(data), len(data)
-
-
 def _write(tile: np.ndarray, code: str, colour: np.ndarray) -> None:
     """The code in the middle of a tile, as large as it fits, in black or white."""
     mask = text_mask([code])[0][0]
@@ -156,45 +138,105 @@ def joined_sum(parts: list[tuple[int, int]]) -> int:
     return b << 16 | a
 
 
+#: bytes of pixels that a task draws at once, but for a single row of cells that is larger
+BAND = 1 << 20
+
+
 def board_images(boards: DataFrame, cells_: DataFrame, tile: int = 8, labels: bool = False) -> DataFrame:
     """SNK-13, OCR-19: boards (job, rows, cols) and cells (job, row, col, r, g, b, code) to images (job, content PNG) of ``tile`` pixels a cell; places without a cell are white.
 
-    A row of cells becomes a deflated band of lines; the bands of a board, packed as they are, are strung together to one image. So a task holds a row of
-    cells, 500 at most, and never the pixels of a board. ``labels`` writes the codes on the tiles where they fit; a small tile makes a preview.
+    The cells come board by board, in order, as plain columns, so that small boards of one shape are drawn together. A board is cut in bands of lines, which are
+    deflated apart and strung together to one image: a task holds the cells of a board, 500 x 500 at most, and its bands as they are packed, but never the
+    pixels of a large one. ``labels`` writes the codes on the tiles where they fit; a small tile makes a preview.
     """
-    own = cells_.groupBy("job", "row").agg(F.array_sort(F.collect_list(F.struct("col", "r", "g", "b", F.coalesce("code", F.lit("")).alias("code")))).alias("cells"))
-    rows = boards.filter("rows > 0 AND cols > 0").select("job", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows").cast("long") - 1)).alias("row"), F.col("cols").cast("int").alias("cols"))
-    rows = rows.join(own, ["job", "row"], "left").select("job", "row", "cols", "cells")
+    return _drawn(boards, cells_.withColumn("kind", F.lit(0)), tile, labels).select("job", "content")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            made = list(zip(*_bands(iter([b]), tile, labels))) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["job", "row", "data", "sum", "length"])
 
-    bands = rows.mapInArrow(run, "job long, row long, data binary, sum long, length long")
-    strung = bands.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("row", "data", "sum", "length"))).alias("bands"))
+def _drawn(boards: DataFrame | None, cells_: DataFrame, tile: int, labels: bool) -> DataFrame:
+    """(job, content, recognised, missed); the cells' ``kind`` is 1 for a recognised one, 2 for a missed one. Without ``boards`` they carry rows and cols."""
+    labels = labels and tile >= 9  # no letter fits on less
+    code = F.coalesce("code", F.lit("")) if labels else F.lit("")
+    size = [] if boards is not None else ["rows", "cols"]
+    own = cells_.select("job", *(F.col(c).cast("long").alias(c) for c in ("row", "col")), *(F.col(c).cast("int").alias(c) for c in ("r", "g", "b")), code.alias("code"), "kind", *size)
+    rows = boards.select("job", "rows", "cols").join(own, "job", "left") if boards is not None else own
+    rows = rows.filter("rows > 0 AND cols > 0").withColumns({c: F.col(c).cast(t) for c, t in (("job", "long"), ("rows", "int"), ("cols", "int"))})
+    # the window brings a board's cells together, and its first row tells where a board begins
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("job").orderBy("row", "col")))
 
-    def string(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        jobs, files = [], []
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in it:
-            for job, own_bands in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                height, width = tile * len(own_bands), (own_bands[0]["length"] // tile - 1) // 3
-                stream = b"\x78\x01" + b"".join(x["data"] for x in own_bands) + b"\x03\x00" + joined_sum([(x["sum"], x["length"]) for x in own_bands]).to_bytes(4, "big")
-                jobs.append(job)
-                files.append(png_file(width, height, stream))
-                if len(files) == 256 or len(stream) > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(files, pa.binary())], names=["job", "content"])
-                    jobs, files = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(files, pa.binary())], names=["job", "content"])
-
-    return strung.mapInArrow(string, "job long, content binary")
-
-
-def redraw(boards: DataFrame, cells_: DataFrame, tile: int = 8) -> DataFrame:
+            begins = np.flatnonzero(b.column("at").to_numpy() == 1)
+            if len(begins):
+                yield from _images([*held, b.slice(0, begins[-1])], tile, labels)
+                b, held = b.slice(begins[-1]), []
+            held.append(b)
+        yield from _images(held, tile, labels)
+
+    return rows.mapInArrow(run, "job long, content binary, recognised long, missed long")
+
+
+def _images(parts: list[pa.RecordBatch], tile: int, labels: bool) -> Iterator[pa.RecordBatch]:
+    """The images of whole boards, a few megabytes of pixels at a time."""
+    t = pa.Table.from_batches(parts) if parts else None
+    if not t:
+        return
+    number = lambda c: t[c].combine_chunks().fill_null(-1).to_numpy()
+    first = np.flatnonzero(number("at") == 1)
+    board, kind = np.cumsum(number("at") == 1) - 1, number("kind")
+    recognised, missed = (np.bincount(board[kind == k], minlength=len(first)) for k in (1, 2))
+    height, width, row, col = number("rows")[first], number("cols")[first], number("row"), number("col")
+    by_shape = np.lexsort((width, height))
+    place = np.empty(len(first), np.int64)
+    place[by_shape] = np.arange(len(first))
+    inside = np.flatnonzero((row >= 0) & (row < height[board]) & (col >= 0) & (col < width[board]))
+    colour = np.clip(np.stack([t[c].combine_chunks().fill_null(255).to_numpy() for c in "rgb"]), 0, 255).astype(np.uint8)
+    inside = inside[np.lexsort((*colour[::-1, inside], col[inside], row[inside], place[board[inside]]))]  # of cells at one place the last lies on top
+    place, row, col, colour = place[board[inside]], row[inside], col[inside], colour[:, inside].T
+    codes = t["code"].combine_chunks().take(pa.array(inside)).to_pylist() if labels else []
+    begin = 0
+    while begin < len(first):
+        h, w = int(height[by_shape[begin]]), int(width[by_shape[begin]])
+        some = by_shape[begin : begin + max(1, 4 * BAND // (h * w * tile * tile * 3))]
+        alike = (height[some] == h) & (width[some] == w)
+        some = some if alike.all() else some[: alike.argmin()]
+        lo, hi = np.searchsorted(place, (begin, begin + len(some)))
+        streams = _streams(len(some), h, w, tile, place[lo:hi] - begin, row[lo:hi], col[lo:hi], colour[lo:hi], codes[lo:hi])
+        files = [png_file(w * tile, h * tile, x) for x in streams]
+        counts = [pa.array(x[some], pa.int64()) for x in (recognised, missed)]
+        yield pa.RecordBatch.from_arrays([t["job"].combine_chunks().take(pa.array(first[some])), pa.array(files, pa.binary()), *counts], names=["job", "content", "recognised", "missed"])
+        begin += len(some)
+
+
+def _streams(n: int, h: int, w: int, tile: int, board: np.ndarray, row: np.ndarray, col: np.ndarray, colour: np.ndarray, codes: list[str]) -> list[bytes]:
+    """The zlib streams of ``n`` boards of h x w cells, drawn and deflated band by band."""
+    packed: list[list[tuple[bytes, int, int]]] = [[] for _ in range(n)]
+    deep = max(1, BAND // (w * tile * tile * 3))
+    for top in range(0, h, deep):
+        lines = min(deep, h - top)
+        here = np.arange(len(row)) if lines == h else np.flatnonzero((row >= top) & (row < top + lines))
+        flat = np.full((n, lines, w, 3), 255, np.uint8)
+        flat[board[here], row[here] - top, col[here]] = colour[here]
+        image = flat.repeat(tile, 1).repeat(tile, 2)
+        for k in here if codes else ():
+            if codes[k]:
+                y, x = (row[k] - top) * tile, col[k] * tile
+                _write(image[board[k], y : y + tile, x : x + tile], codes[k], flat[board[k], row[k] - top, col[k]])
+        raw = np.zeros((n, lines * tile, 1 + 3 * w * tile), np.uint8)
+        raw[:, :, 1:] = image.reshape(n, lines * tile, -1)
+        for own, data in zip(packed, raw):
+            pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+            own.append((pack.compress(data) + pack.flush(zlib.Z_SYNC_FLUSH), zlib.adler32(data), data.size))
+    return [b"\x78\x01" + b"".join(x[0] for x in own) + b"\x03\x00" + joined_sum([x[1:] for x in own]).to_bytes(4, "big") for own in packed]
+
+
+def redraw(boards: DataFrame | None, cells_: DataFrame, tile: int = 8) -> DataFrame:
     """OCR-19: recognised cells (job, row, col, code, status, color_hex) drawn again: (job, content, recognised, missed). A mapped cell has its colour and code, a blank one
-    is white, an unmapped one grey; only #RRGGBB colours count (PAL-22)."""
+    is white, an unmapped one grey; only #RRGGBB colours count (PAL-22). Without ``boards`` the cells carry rows and cols of their board, which saves a join where each board has a cell."""
     known = (F.col("status") == "MAPPED") & F.coalesce(F.col("color_hex").rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False))
-    c = rgb(F.when(known, F.col("color_hex")).when(F.col("code") == "BLANK", "#FFFFFF").otherwise("#CCCCCC"))
-    drawn = cells_.select("job", "row", "col", *(c[x].alias(x) for x in "rgb"), F.when(known, F.col("code")).otherwise("").alias("code"))
-    counts = cells_.groupBy("job").agg(F.count_if(known).alias("recognised"), F.count_if(~known & (F.col("code") != "BLANK")).alias("missed"))
-    return board_images(boards, drawn, tile, labels=True).join(counts, "job", "left").select("job", "content", F.coalesce("recognised", F.lit(0)).alias("recognised"), F.coalesce("missed", F.lit(0)).alias("missed"))
+    whole = F.when(known, F.conv(F.substring("color_hex", 2, 6), 16, 10).cast("int")).when(F.col("code") == "BLANK", 0xFFFFFF).otherwise(0xCCCCCC)
+    kind = F.when(known, 1).when(~known & (F.col("code") != "BLANK"), 2).otherwise(0)
+    size = [] if boards is not None else ["rows", "cols"]
+    drawn = cells_.select("job", "row", "col", *size, whole.alias("rgb"), F.when(known, F.col("code")).otherwise("").alias("code"), kind.alias("kind"))
+    channels = (F.shiftright("rgb", by).bitwiseAND(255).alias(c) for c, by in (("r", 16), ("g", 8), ("b", 0)))
+    return _drawn(boards, drawn.select("job", "row", "col", *size, *channels, "code", "kind"), tile, labels=True)

@@ -12,7 +12,7 @@ from gridloom.operators import evaluation as E
 from gridloom.operators import pixels as I
 from gridloom.operators import synth as Y
 from gridloom.plans import stores
-from gridloom.plans.queries import EMB, HASH, RGB, SEED, ST, _status, query
+from gridloom.plans.queries import EMB, HASH, RGB, SEED, ST, query
 from gridloom.plans.surrogate import Source
 from gridloom.sources import readers, sinks
 from gridloom.sources.scratch import folder
@@ -167,14 +167,10 @@ def synthetic_cells(s):
     SELECT job, (28 * 32 * 3)::int AS n, ((56 - count(*)) * 765 + sum(total))::double * 16 AS total, count_if(status = 'MAPPED') AS recognised, count_if(status = 'UNMAPPED') AS missed FROM c GROUP BY 1""")
 def board_redrawn(s):
     """SNK-13, OCR-19: every board drawn again from its recognised cells at four pixels a cell and read back; codes don't fit such tiles."""
-    cells = _status(s).select(*O.KEY, "code", "status", "color_hex")
-    boards = cells.select("job").distinct().select("job", F.lit(7).alias("rows"), F.lit(8).alias("cols"))
+    cells = O.with_status(s("cells", by="job"), s("dict")).select(*O.KEY, "code", "status", "color_hex", F.lit(7).alias("rows"), F.lit(8).alias("cols"))
     path = folder(s.spark, "redrawn")
-    Y.redraw(boards, cells, 4).write.parquet(path)
-    drawn = s.spark.read.parquet(path)
-    got = I.measured(drawn.select(F.col("job").alias("id"), F.lit("orig").alias("variant"), "content"), "pixels")
-    total = F.aggregate("values", F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return got.select(F.col("id").alias("job"), F.size("values").alias("n"), total.alias("total")).join(drawn.select("job", "recognised", "missed"), "job")
+    Y.redraw(None, cells, 4).write.parquet(path)
+    return I.totals(s.spark.read.parquet(path)).select("job", "n", "total", "recognised", "missed")
 
 
 SAMPLE = "chr((65 + s_suppkey % 26)::int) || (s_suppkey % 1200)"

@@ -73,12 +73,14 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def __call__(self, name: str) -> DataFrame:
+    def __call__(self, name: str, by: str | None = None) -> DataFrame:
+        """``by``: a column of the relation below that deals out its rows once, for what follows by it."""
         if name not in VIEWS:
             return self.table(name)
         sql = VIEWS[name].format(**_DIALECT["spark"])
         base = next(t for t in ("dict_raw", "raw_cells", "part", "orders", "lineitem", "documents", "events") if f"FROM {t}" in sql)
-        return self.spark.sql(sql.replace(f"FROM {base}", "FROM {base}"), base=self(base))
+        below = self(base).repartition(by) if by else self(base)
+        return self.spark.sql(sql.replace(f"FROM {base}", "FROM {base}"), base=below)
 
     def jobs_as_grids(self) -> DataFrame:
         return self("jobs").select(F.col("id").alias("job"), "rows", "cols")

@@ -89,6 +89,39 @@ def test_redraw_counts(spark):
     assert (r.recognised, r.missed) == (1, 2) and img[0, 0].tolist() == [16, 32, 48] and img[0, 7].tolist() == [255] * 3 and img[7, 0].tolist() == [204] * 3 == img[7, 7].tolist()
 
 
+def test_boards_of_any_shape_in_one_stream(spark):
+    """Boards that are cut in bands, that go over the end of a batch, that have no cell or no job, and cells on top of each other, against a plain loop."""
+    rng = np.random.default_rng(8)
+    sizes = {1: (400, 60), 2: (3, 2), 3: (1, 500), 4: (3, 2), 5: (2, 3)} | {k: (7, 8) for k in range(6, 60)}
+    cells = [(j, int(rng.integers(-1, h + 1)), int(rng.integers(-1, w + 1)), *rng.integers(0, 256, 3).tolist(), "A1") for j, (h, w) in sizes.items() if j != 4 for _ in range(min(2 * h * w, 9000))]
+    cells += [(None, 0, 0, 1, 2, 3, "A1"), (2, None, 0, 1, 2, 3, "A1"), (2, 0, None, 1, 2, 3, "A1")]
+    df = spark.createDataFrame(cells, "job long, row long, col long, r int, g int, b int, code string").repartition(5)
+    boards = spark.createDataFrame([(j, *x) for j, x in sizes.items()] + [(None, 1, 1)], "job long, rows int, cols int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        got = {r.job: bytes(r.content) for r in Y.board_images(boards, df, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got.keys() == sizes.keys() | {None} and 400 * 60 * 5 * 5 * 3 > Y.BAND and I.png_decode(got[None]).min() == 255
+    for j, (h, w) in sizes.items():
+        want = np.full((h, w, 3), 255, np.uint8)
+        for c in sorted(c for c in cells if c[0] == j and None not in c):
+            if 0 <= c[1] < h and 0 <= c[2] < w:
+                want[c[1], c[2]] = c[3:6]
+        assert np.array_equal(I.png_decode(got[j]), want.repeat(5, 0).repeat(5, 1))
+
+
+def test_redraw_shuffles_once_and_measures_in_place(spark):
+    """Many small boards: cells that are dealt out by job and carry their board's size are drawn without another shuffle; sums of decoded images."""
+    ids = spark.range(4000).select((F.col("id") % 1000).alias("job"), F.floor(F.col("id") / 1000).alias("row"), (F.col("id") % 3).alias("col"))
+    cells = ids.repartition("job").select("*", F.lit("A1").alias("code"), F.lit("MAPPED").alias("status"), F.lit("#010203").alias("color_hex"), F.lit(7).alias("rows"), F.lit(8).alias("cols"))
+    drawn = Y.redraw(None, cells, 4)
+    assert drawn._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.recognised, r.missed, r.n, r.total) for r in I.totals(drawn).collect()}
+    assert got == {(4, 0, 28 * 32 * 3, 16.0 * (52 * 765 + 4 * 6))} and I.totals(drawn).count() == 1000
+
+
 def test_saved_boards_are_read_back(spark, tmp_path):
     from gridloom.sources import readers, sinks
 
