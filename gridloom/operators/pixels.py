@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import struct
 import zipfile
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.window import Window
 
 
 def area_weights(src: int, dst: int) -> np.ndarray:
@@ -204,21 +206,59 @@ def infer(tensors: DataFrame, model: bytes, size: int = 48) -> DataFrame:
 MANIFEST = ["编码", "文件名", "行", "列", "色相", "亮度"]
 
 
-def corrections_zip(rows: pd.DataFrame) -> bytes:
-    """SNK-09: archive of a blueprint's corrected cells (code, file, row, col, hue, brightness, png) with its manifest."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        lines = [",".join(MANIFEST)]
-        for r in rows.sort_values(["row", "col"]).itertuples():
-            z.writestr(zipfile.ZipInfo(r.file), bytes(r.png))
-            lines.append(f"{r.code},{r.file},{r.row + 1},{r.col + 1},{r.hue},{r.brightness}")
-        z.writestr(zipfile.ZipInfo("manifest.csv"), "﻿" + "\r\n".join(lines) + "\r\n")
-    return out.getvalue()
+class CorrectionsZip:
+    """SNK-09: the archive of a blueprint's corrected cells, filled one after the other, with their manifest."""
+
+    def __init__(self):
+        self.out, self.lines = io.BytesIO(), [",".join(MANIFEST)]
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+
+    def add(self, code: str, file: str, row: int | None, col: int | None, hue: object, brightness: object, png: bytes) -> None:
+        self.zip.writestr(zipfile.ZipInfo(file), png)
+        place = ",".join("" if x is None else str(x + 1) for x in (row, col))
+        self.lines.append(f"{code},{file},{place},{hue},{brightness}")
+
+    def closed(self) -> bytes:
+        with self.zip:
+            self.zip.writestr(zipfile.ZipInfo("manifest.csv"), "\ufeff" + "\r\n".join(self.lines) + "\r\n")
+        return self.out.getvalue()
 
 
 def export_corrections(cells: DataFrame) -> DataFrame:
-    """SNK-09 over a relation: one archive for each blueprint; a group is at most a grid of 500 x 500."""
-    return cells.groupBy("job").applyInPandas(lambda pdf: pd.DataFrame({"job": [pdf["job"].iloc[0]], "archive": [corrections_zip(pdf)]}), "job long, archive binary")
+    """SNK-09 over a relation (job, row, col, code, file, hue, brightness, png): (job, archive), one archive for each blueprint, its cells in order.
+
+    The cells come as a stream in the order of the archives, so a task holds the archive that it fills and those of a batch, and no call is made for each blueprint.
+    """
+    # the window brings a blueprint's cells together, and its first row tells where an archive begins
+    at = F.row_number().over(Window.partitionBy("job").orderBy("row", "col", "code", "file"))
+    rows = cells.select(F.col("job").cast("long").alias("job"), "row", "col", "code", "file", "hue", "brightness", "png").withColumn("at", at)
+
+    def made(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        archive = owner = None
+        for b in it:
+            for job, row, col, code, file, hue, brightness, png, n in zip(*(c if k == 7 else c.to_pylist() for k, c in enumerate(b.columns)), strict=True):
+                if n == 1:
+                    if archive:
+                        yield owner, archive.closed()
+                    archive, owner = CorrectionsZip(), job
+                archive.add(code, file, row, col, hue, brightness, png.as_py())
+        if archive:
+            yield owner, archive.closed()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, held = [], 0
+        for x in made(it):
+            some, held = [*some, x], held + len(x[1])
+            if held > 4 << 20 or len(some) == 1000:
+                yield _archives(some)
+                some, held = [], 0
+        yield _archives(some)
+
+    return rows.mapInArrow(run, "job long, archive binary")
+
+
+def _archives(rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["job", "archive"])
 
 
 def augment(img: np.ndarray) -> dict[str, np.ndarray]:
@@ -310,15 +350,20 @@ def totals(images: DataFrame) -> DataFrame:
 
 def archive_lines(archives: DataFrame) -> DataFrame:
     """SRC-11, JON-09 for archives held in a column (job, archive): (job, code, file, row, col, size) of the manifest's lines whose file is inside."""
+    names = ["job", "code", "file", "row", "col", "size"]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for job, content in zip(pdf["job"], pdf["archive"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    table = pd.read_csv(io.BytesIO(z.read("manifest.csv")), encoding="utf-8-sig", dtype=str)
-                    sizes = {i.filename: i.file_size for i in z.infolist()}
-                out += [(job, r[0], r[1], int(r[2]), int(r[3]), sizes[r[1]]) for r in table.itertuples(index=False) if r[1] in sizes]
-            yield pd.DataFrame(out, columns=["job", "code", "file", "row", "col", "size"])
-
-    return archives.mapInPandas(run, "job long, code string, file string, row long, col long, size long")
+    def lines(job: int | None, content: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            sizes = {i.filename: i.file_size for i in z.infolist()}
+            manifest = z.read("manifest.csv").decode("utf-8-sig")
+        for r in islice(csv.reader(io.StringIO(manifest, newline="")), 1, None):
+            if r and r[1] in sizes:
+                yield job, r[0], r[1], *(int(v) if v.isdigit() else None for v in r[2:4]), sizes[r[1]]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = (x for job, content in zip(b.column("job").to_pylist(), b.column("archive")) for x in lines(job, content.as_py()))
+            while some := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (1, 2) else pa.int64()) for k, c in enumerate(zip(*some))], names=names)
+
+    return archives.mapInArrow(run, "job long, code string, file string, row long, col long, size long")

@@ -289,7 +289,7 @@ def corpus_manifest(s):
 def corrections_archive(s):
     """SNK-09, SRC-11, JON-09: archives of each job's corrected cells, read again by their manifests."""
     name = C.export_name(F.col("code"), F.col("row"), F.col("col"), F.lit(0), F.lit(9))
-    c = s("cells").filter("corrected_code IS NOT NULL").select(*O.KEY, "code", name.alias("file"), F.lit(0).alias("hue"), F.lit(9).alias("brightness"), F.lit(b"png").alias("png"))
+    c = s("cells", by="job").filter("corrected_code IS NOT NULL").select(*O.KEY, "code", name.alias("file"), F.lit(0).alias("hue"), F.lit(9).alias("brightness"), F.lit(b"png").alias("png"))
     return I.archive_lines(I.export_corrections(c))
 
 

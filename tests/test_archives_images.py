@@ -146,6 +146,28 @@ def test_archives_are_written_whole(spark, tmp_path):
     assert archive.members(spark, f"file://{tmp_path}/z").count() == 3
 
 
+def test_many_small_archives_are_one_stream(spark):
+    """Archives that go over the end of a batch, with codes that look like missing values, against cells one by one; no call for each group and one shuffle."""
+    cells = [(k % 700 if k % 5 else None, k // 7 % 9, k % 7, ("NA", "null", "A1")[k % 3], f"f{k}.png", k % 4, "9", bytearray(b"p" * (k % 50))) for k in range(4000)]
+    df = spark.createDataFrame(cells, "job long, row long, col long, code string, file string, hue int, brightness string, png binary").repartition(4)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 90)
+    try:
+        archives = I.export_corrections(df)
+        plan = archives._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") == 1
+        files = {r.job: bytes(r.archive) for r in archives.collect()}
+        got = {(r.job, r.code, r.file, r.row, r.col, r.size) for r in I.archive_lines(archives).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {(c[0], c[3], c[4], c[1] + 1, c[2] + 1, len(c[7])) for c in cells} and files.keys() == {c[0] for c in cells}
+    for job in (None, 1, 699):
+        own = sorted((c for c in cells if c[0] == job), key=lambda c: (c[1:5]))
+        with zipfile.ZipFile(io.BytesIO(files[job])) as z:
+            assert z.testzip() is None and z.namelist() == [*(c[4] for c in own), "manifest.csv"] and all(z.read(c[4]) == bytes(c[7]) for c in own)
+            assert z.read("manifest.csv").decode("utf-8-sig").split("\r\n")[1] == f"{own[0][3]},{own[0][4]},{own[0][1] + 1},{own[0][2] + 1},{own[0][5]},9"
+
+
 def test_artifacts_are_immutable(spark, tmp_path):
     from gridloom.sources import sinks
 
