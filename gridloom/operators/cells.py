@@ -53,14 +53,30 @@ def positions(jobs: DataFrame) -> DataFrame:
     return jobs.filter("rows > 0 AND cols > 0").select("job", F.explode(seq(F.col("rows"))).alias("row"), "cols").select("job", "row", F.explode(seq(F.col("cols"))).alias("col"))
 
 
+def _by_job(jobs: DataFrame, cells: DataFrame, how: str, *more: str) -> DataFrame:
+    """(job, _all, _own, _gaps): each job's cells, those inside its grid and the places without one. A grid, 500 x 500 at most, stays in one row: its places are made
+    after the join of the jobs and never shuffled."""
+    all_ = cells.groupBy("job").agg(F.collect_list(F.struct("row", "col", *more)).alias("_all"))
+    rows, cols = F.col("rows").cast("long"), F.col("cols").cast("long")
+    inside = F.filter("_all", lambda c: (c["row"] >= 0) & (c["row"] < rows) & (c["col"] >= 0) & (c["col"] < cols))
+    grids = jobs.filter("rows > 0 AND cols > 0").select("job", "rows", "cols").join(all_, "job", how)
+    grids = grids.withColumns({"_all": F.coalesce("_all", F.array()), "_own": F.coalesce(inside, F.array())})
+    gaps = F.array_except(F.sequence(F.lit(0).cast("long"), rows * cols - 1), F.transform("_own", lambda c: c["row"] * cols + c["col"]))
+    places = F.transform(gaps, lambda p: F.struct(F.floor(p / cols).alias("row"), (p % cols).alias("col")))
+    return grids.select("job", "_all", "_own", F.coalesce(places, F.array()).alias("_gaps"))  # no grid: no gaps
+
+
 def missing(jobs: DataFrame, cells: DataFrame) -> DataFrame:
     """SET-07: positions without a cell."""
-    return positions(jobs).join(cells.select(*KEY), KEY, "left_anti")
+    return _by_job(jobs, cells, "left").select("job", F.inline("_gaps"))
 
 
-def fill_gaps(jobs: DataFrame, cells: DataFrame) -> DataFrame:
-    """JON-06: missing positions as code UNMAPPED with confidence 0."""
-    return cells.select(*KEY, "code", "confidence").unionByName(missing(jobs, cells).select(*KEY, F.lit("UNMAPPED").alias("code"), F.lit(0.0).alias("confidence")))
+def fill_gaps(jobs: DataFrame, cells: DataFrame, strays: bool = True) -> DataFrame:
+    """JON-06: the cells, and missing positions as code UNMAPPED with confidence 0; ``strays``: cells beside their grid, or of no job listed, stay too."""
+    rest = [c for c in ("code", "confidence") if c in cells.columns]
+    filler = {"code": F.lit("UNMAPPED"), "confidence": F.lit(0.0)}
+    made = F.transform("_gaps", lambda p: F.struct(p["row"].alias("row"), p["col"].alias("col"), *(filler[c].alias(c) for c in rest)))
+    return _by_job(jobs, cells, "full" if strays else "left", *rest).select("job", F.inline(F.concat("_all" if strays else "_own", made)))
 
 
 def review(cells: DataFrame, threshold: float) -> DataFrame:

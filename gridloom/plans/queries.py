@@ -77,8 +77,8 @@ def cell_upsert_lww(s):
     FROM jobs g CROSS JOIN (SELECT unnest(range(7)) AS row) r CROSS JOIN (SELECT unnest(range(8)) AS col) k LEFT JOIN cells c ON c.job = g.id AND c.row = r.row AND c.col = k.col GROUP BY 1""")
 def gap_fill_grid(s):
     """ARR-04, JON-06, SET-07."""
-    full = O.fill_gaps(s.jobs_as_grids(), s("cells"))
-    gap = F.col("code") == "UNMAPPED"
+    full = O.fill_gaps(s.jobs_as_grids(), s("cells", by="job").select(*O.KEY, "code"), strays=False)
+    gap = F.coalesce("code", F.lit("UNMAPPED")) == "UNMAPPED"
     return full.groupBy("job").agg(F.count("*").alias("cells"), F.count_if(gap).alias("filled"), F.sum(F.when(gap, (F.col("row") + 1) * 10 + F.col("col")).otherwise(0)).cast("long").alias("check_sum"))
 
 

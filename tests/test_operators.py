@@ -56,6 +56,26 @@ def test_gaps_and_redelivery(spark):
     assert sorted((r.row, r.col, r.code, r.confidence) for r in full.collect()) == [(0, 0, "A2", 0.6), (0, 1, "B1", 0.7), (1, 0, "UNMAPPED", 0.0), (1, 1, "UNMAPPED", 0.0)]
 
 
+def test_gaps_are_found_without_a_shuffle_of_places(spark):
+    """Against a plain loop: no places go through an exchange, cells beside a grid or without a job stay or fall away, two cells at a place stay."""
+    grids = {1: (2, 3), 2: (1, 1), 3: (0, 4), 4: (30, 40), 5: (2, 2), None: (1, 2)}
+    rnd = np.random.default_rng(5)
+    cells = [(4, int(rnd.integers(-2, 32)), int(rnd.integers(-2, 42)), f"A{k}", k / 900) for k in range(900)]
+    cells += [(1, 0, 1, None, None), (1, 1, 2, "UNMAPPED", 0.5), (1, 1, 2, "B", 0.5), (1, 2, 0, "out", 0.1), (1, 0, 3, "out", 0.1), (2, 0, 0, "C", 1.0), (2, None, 0, "out", 1.0), (9, 0, 0, "out", 1.0), (None, 0, 0, "out", 1.0), (3, 0, 0, "out", 1.0)]
+    jobs = spark.createDataFrame([(j, *x) for j, x in grids.items()], "job long, rows int, cols int").repartition(3)
+    df = spark.createDataFrame(cells, "job long, row long, col long, code string, confidence double").repartition(3)
+    inside = [c for c in cells if c[0] is not None and c[1] is not None and 0 <= c[1] < grids.get(c[0], (0, 0))[0] and 0 <= c[2] < grids[c[0]][1]]
+    gaps = [(j, r, c) for j, (h, w) in grids.items() for r in range(h) for c in range(w) if (j, r, c) not in {x[:3] for x in inside}]
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(map(tuple, O.fill_gaps(jobs, df).collect()), key=key) == sorted(cells + [(*g, "UNMAPPED", 0.0) for g in gaps], key=key)
+    full = O.fill_gaps(jobs, df, strays=False)
+    assert full.dtypes == [("job", "bigint"), ("row", "bigint"), ("col", "bigint"), ("code", "string"), ("confidence", "double")]
+    assert sorted(map(tuple, full.collect()), key=key) == sorted(inside + [(*g, "UNMAPPED", 0.0) for g in gaps], key=key)
+    assert sorted(map(tuple, O.missing(jobs, df).collect()), key=key) == sorted(gaps, key=key)
+    plan = full.groupBy("job").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Generate" not in plan[plan.index("Exchange") :]  # the tree's lower nodes come later
+
+
 def test_natural_order(spark):
     df = spark.createDataFrame([(c,) for c in ("Z", "A10", "A2", "BLANK", "", "A1X", "MARD-A10", "B1", "A1")], "code string")
     assert [r.code for r in df.orderBy(C.natural_key(F.col("code"))).collect()] == ["", "A1", "A1X", "A2", "A10", "B1", "BLANK", "MARD-A10", "Z"]
