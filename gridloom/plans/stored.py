@@ -167,7 +167,9 @@ def synthetic_cells(s):
     SELECT job, (28 * 32 * 3)::int AS n, ((56 - count(*)) * 765 + sum(total))::double * 16 AS total, count_if(status = 'MAPPED') AS recognised, count_if(status = 'UNMAPPED') AS missed FROM c GROUP BY 1""")
 def board_redrawn(s):
     """SNK-13, OCR-19: every board drawn again from its recognised cells at four pixels a cell and read back; codes don't fit such tiles."""
-    cells = O.with_status(s("cells", by="job"), s("dict")).select(*O.KEY, "code", "status", "color_hex", F.lit(7).alias("rows"), F.lit(8).alias("cols"))
+    known = folder(s.spark, "dictionary")  # written first, so that its size is known when the join is planned and the cells stay where they are
+    s("dict").write.parquet(known)
+    cells = O.with_status(s("cells", by="job"), s.spark.read.parquet(known)).select(*O.KEY, "code", "status", "color_hex", F.lit(7).alias("rows"), F.lit(8).alias("cols"))
     path = folder(s.spark, "redrawn")
     Y.redraw(None, cells, 4).write.parquet(path)
     return I.totals(s.spark.read.parquet(path)).select("job", "n", "total", "recognised", "missed")

@@ -108,6 +108,16 @@ def test_png_kinds_under_every_filter(colour, samples, depth):
     assert (got == (want[:, :, :3] if samples > 2 else np.repeat(want[:, :, :1], 3, 2))).all() and got.shape == (h, w, 3)
 
 
+def test_sums_of_values_equal_decoded_images():
+    rng = np.random.default_rng(3)
+    images = [I.png_encode(rng.integers(0, 256, (h, w, 3))) for h, w in [(4, 5), (1, 1), (4, 5), (9, 2)] * 6]
+    raw = rng.integers(0, 256, (5, 12)).tolist()
+    images[3::5] = [png(filtered(raw, 3, [k % 5] * 5), 4, 5, 8, 2) for k in range(len(images[3::5]))]  # the filters that need the line above, and none
+    images[4::7] = [png([b"\0" + bytes(x) for x in raw], 12, 5, 8, 0)] * len(images[4::7])
+    want = [(v.size, float(v.sum())) for v in map(I.png_decode, images)]
+    assert list(I.value_sums(images)) == want == list(I.value_sums(images, 100)) and list(I.value_sums([])) == []
+
+
 @pytest.mark.parametrize("depth", [1, 2, 4, 8])
 def test_png_palettes_and_small_depths(depth):
     rng = np.random.default_rng(depth)
